@@ -12,6 +12,7 @@ from .bpe import bpe_decode, bpe_encode
 from .common import bucket_of
 from .exact_dedup import exact_dedup
 from .langid import fit_language_model, identify_language
+from .quality import fit_quality, score_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,3 +57,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_language_model(docs.where(~held_out(0)))
     return identify_language(docs, model).select("doc_id", held_out(0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out(0))
+    return score_quality(docs, model).select("doc_id", held_out(0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
