@@ -13,6 +13,7 @@ from .common import bucket_of
 from .exact_dedup import exact_dedup
 from .langid import fit_language_model, identify_language
 from .quality import fit_quality, score_quality
+from .toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -64,3 +65,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out(0))
     return score_quality(docs, model).select("doc_id", held_out(0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out(0))
+    return score_toxicity(docs, model).select("doc_id", held_out(0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
