@@ -13,6 +13,7 @@ from .chat import chat_digests, format_chats
 from .common import bucket_of
 from .exact_dedup import exact_dedup
 from .langid import fit_language_model, identify_language
+from .pii import pseudonymise
 from .quality import fit_quality, score_quality
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -81,3 +82,12 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     hostile = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], turns.schema)
     return chat_digests(format_chats(turns.unionByName(hostile), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+#: The queries' key; a deployment passes its own.
+PSEUDONYM_KEY = b"trailstone example key"
+
+
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
