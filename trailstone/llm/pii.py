@@ -186,22 +186,18 @@ class Pseudonymiser:
         x = day.toordinal() - _FIRST_DAY
         if not 0 <= x < _DAYS:
             return None
-        # a date that reads month first must still do so, or the text could not be inverted
-        if not year_first and (day.day > 12) != day_first:
-            return self._month_first(shown, day, back)
+        if not day_first:
+            return self._month_first(shown, x, back)
         if year_first:
             new = date.fromordinal(self.feistel.permute(x, _DAYS, b"date", back) + _FIRST_DAY)
             return f"{new.year}{shown[4]}{new.month:02d}{shown[7]}{new.day:02d}"
         new = date.fromordinal(self.feistel.permute(x, _DAYS, b"date", back) + _FIRST_DAY)
         return f"{new.day:02d}{shown[2]}{new.month:02d}{shown[5]}{new.year}"
 
-    def _month_first(self, shown: str, day: date, back: bool) -> str:
-        x, tweak = day.toordinal() - _FIRST_DAY, b"date"
-        if day.day <= 12:  # read day first as well as month first: day first holds
-            new = date.fromordinal(self.feistel.permute(x, _DAYS, tweak, back) + _FIRST_DAY)
-            return f"{new.day:02d}{shown[2]}{new.month:02d}{shown[5]}{new.year}"
-        while True:  # walk on within the dates that read month first only
-            x = self.feistel.permute(x, _DAYS, tweak, back)
+    def _month_first(self, shown: str, x: int, back: bool) -> str:
+        """Walks on within the dates that read month first only, so that the result reads that way too."""
+        while True:
+            x = self.feistel.permute(x, _DAYS, b"date", back)
             new = date.fromordinal(x + _FIRST_DAY)
             if new.day > 12:
                 return f"{new.month:02d}{shown[2]}{new.day:02d}{shown[5]}{new.year}"

@@ -14,6 +14,7 @@ from .common import bucket_of
 from .exact_dedup import exact_dedup
 from .langid import fit_language_model, identify_language
 from .pii import pseudonymise
+from .ppm import lm_scores
 from .quality import fit_quality, score_quality
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -91,3 +92,9 @@ PSEUDONYM_KEY = b"trailstone example key"
 @query
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+@query
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm_scores(table(spark, sf_dir, "documents"), ~held_out(1))
+    return scores.select("doc_id", held_out(1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
