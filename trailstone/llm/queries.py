@@ -13,6 +13,7 @@ from .chat import chat_digests, format_chats
 from .common import bucket_of
 from .exact_dedup import exact_dedup
 from .langid import fit_language_model, identify_language
+from .near_dedup import near_dedup
 from .pii import pseudonymise
 from .ppm import lm_scores
 from .quality import fit_quality, score_quality
@@ -98,3 +99,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = lm_scores(table(spark, sf_dir, "documents"), ~held_out(1))
     return scores.select("doc_id", held_out(1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), k=2, share=80)
