@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_decode, bpe_encode
 from .chat import chat_digests, format_chats
 from .common import bucket_of
+from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .langid import fit_language_model, identify_language
 from .near_dedup import near_dedup
@@ -104,3 +105,8 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), k=2, share=80)
+
+
+@query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
