@@ -28,6 +28,7 @@ from .labelled import class_counts, labelled_sample
 WINDOW, STEP = 32, 16
 #: Labelled texts of each class that training sees at most, and rounds over their chosen windows.
 SAMPLE, ROUNDS = 2000, 7
+SLICE = 8192  # words whose n-grams are held at once
 WORD_ROWS, CHAR_ROWS, DIM, HIDDEN = 1 << 13, 1 << 13, 12, 8
 _STRIP = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¡¿«»“”„’…"
 
@@ -87,9 +88,13 @@ class ToxicityModel:
 
     def inputs(self, words: list[str]) -> np.ndarray:
         """Input vectors of words; row 0 is the padding."""
-        rows, grams, at = word_inputs(words)
-        chars = np.add.reduceat(self.p["char"][grams], at[:-1], axis=0) / np.diff(at)[:, None]
-        return np.concatenate([np.zeros((1, 2 * DIM), np.float32), np.concatenate([self.p["word"][rows], chars], 1)]).astype(np.float32)
+        out = np.zeros((len(words) + 1, 2 * DIM), np.float32)
+        for i in range(0, len(words), SLICE):  # n-grams of a slice of words at a time
+            rows, grams, at = word_inputs(words[i : i + SLICE])
+            part = out[i + 1 : i + 1 + SLICE]
+            part[:, :DIM] = self.p["word"][rows]
+            part[:, DIM:] = np.add.reduceat(self.p["char"][grams], at[:-1], axis=0) / np.diff(at)[:, None]
+        return out
 
     def _run(self, side: str, projected: np.ndarray, grid: np.ndarray, keep: list | None) -> np.ndarray:
         """Hidden states of one direction, batch x WINDOW x HIDDEN."""
@@ -178,9 +183,13 @@ class ToxicityModel:
         return z[at[:-1] + place], place
 
 
-def _stems(word: str) -> tuple[str, ...]:
-    w = word.lower().strip(_STRIP)
-    return (w, "^" + w[:4], "^" + w[:5], "^" + w[:6])
+STEM_ROWS = 1 << 20
+
+
+def _stems(word: str) -> list[int]:
+    """Hashed rows of a word and of its beginnings."""
+    w = word.lower().strip(_STRIP).encode()
+    return [zlib.crc32(w) % STEM_ROWS, *(zlib.crc32(b"^" + w[:n]) % STEM_ROWS for n in (4, 5, 6))]
 
 
 def train(texts: list[str], y: np.ndarray, share: float, seed: int = 11) -> ToxicityModel:
@@ -192,13 +201,13 @@ def train(texts: list[str], y: np.ndarray, share: float, seed: int = 11) -> Toxi
         ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
     words, grids = list(number), list(map(windows, ids))
 
-    stems = _Numbered()
-    of_word = np.array([[0] * 4, *([stems[s] for s in _stems(w)] for w in words)], np.int32)
-    counts = np.zeros((2, len(stems) + 1))
+    of_word = np.zeros((len(words) + 1, 4), np.int32)
+    for i, w in enumerate(words, 1):
+        of_word[i] = _stems(w)
+    counts = np.zeros((2, STEM_ROWS))
     for i, label in zip(ids, y, strict=True):
         counts[int(label), np.unique(of_word[i])] += 1
     rates = np.log((counts[1] + 0.5) / (y.sum() + 1)) - np.log((counts[0] + 0.5) / ((1 - y).sum() + 1))
-    rates[0] = -9
     suspect = rates[of_word].max(1)
     suspect[0] = -9
     ranked = [np.argsort(-suspect[g].max(1), kind="stable")[:2] for g in grids]
