@@ -7,9 +7,12 @@ than the next rank. Bands of the signature put documents into buckets. What foll
 1. documents with equal sets become one class; only its smallest id goes on;
 2. each bucket names a pivot (another for each band), a member is verified against the pivot it shares most bands with,
    and, where it is still in another component, against its other pivots;
-3. only where a bucket still spans several components, the members outside its largest one are compared with the members
-   of other components: first by signature, then on full sets. So every candidate pair is either connected or refused on
-   its full sets, and groups of thousands of copies cost a few comparisons a member.
+3. only where a bucket still spans several components, documents are compared across components: those of the smaller
+   component with all of the larger one, and documents that are alone with each other within their bucket. Both sides are
+   dealt out in blocks of about BLOCK documents, a block is compared with a block at once, and only links come out of it.
+
+So every two documents that share a band end in one component or have been compared on their full sets; groups of
+thousands of copies cost a few comparisons a member, and no pairs but those with pivots are ever rows.
 
 Links are exact once two documents share a band; with 32 bands of 4 registers a pair at the threshold of 0.8 shares none
 with a probability of 5e-8. The signature test of step 3 refuses a pair at the threshold with a probability below 1e-8.
@@ -35,8 +38,8 @@ from .components import components
 
 REGISTERS, BANDS = 128, 32
 ROWS = REGISTERS // BANDS
-#: Equal registers, of 128, that two signatures must have before full sets are compared in step 3.
-AGREE = 74
+#: Documents of either side that one comparison of blocks holds, about.
+BLOCK = 256
 _FRACTION = 25  # bits below the rank in a register
 _SLICE = 120_000  # shingles that a signature step works on at once
 
@@ -133,11 +136,10 @@ def _sign(k: int):
             sets = shingle_sets(block.column("text").to_pylist(), k)
             registers = signatures(sets)
             keys = band_keys(registers).view(np.int64).ravel()
-            short = (_mix(registers.astype(np.uint64)) >> np.uint64(48)).astype("<u2")
             names = [np.frombuffer(blake2b(x.tobytes(), digest_size=16).digest(), np.int64) for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([int(x[0]) for x in names], pa.int64()), pa.array([int(x[1]) for x in names], pa.int64()), pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32), pa.array(keys)), pa.array([x.tobytes() for x in short], pa.binary())],
-                ["doc_id", "n_shingles", "s1", "s2", "bands", "signature"],
+                [block.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([int(x[0]) for x in names], pa.int64()), pa.array([int(x[1]) for x in names], pa.int64()), pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32), pa.array(keys))],
+                ["doc_id", "n_shingles", "s1", "s2", "bands"],
             )
 
     return run
@@ -169,11 +171,30 @@ def _verify(share: int):
     return run
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in "xy")
-            yield batch.select(["u", "v"]).filter(pa.array((x == y).sum(1) >= AGREE))
+def _blocks(share: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Links between documents of different components, one from each side."""
+        found: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            theirs = [np.frombuffer(x, np.uint64) for x in right.column("shingles").to_pylist()]
+            sizes = np.array([len(x) for x in theirs])
+            starts = np.cumsum(sizes) - sizes
+            known, place = np.unique(np.concatenate(theirs), return_inverse=True)
+            v, cv = (np.asarray(right.column(c)) for c in ("id", "c"))
+            mark = np.zeros(len(known), bool)
+            for u, cu, own in zip(left.column("id").to_pylist(), left.column("c").to_pylist(), left.column("shingles").to_pylist(), strict=True):
+                own = np.frombuffer(own, np.uint64)
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                at = at[known[at] == own]
+                mark[at] = True
+                both = np.add.reduceat(mark[place], starts, dtype=np.int64)
+                mark[at] = False
+                hit = (cv != cu) & (100 * both >= share * (len(own) + sizes - both))
+                found += [(u, int(x)) for x in v[hit]]
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def _with(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
@@ -188,11 +209,11 @@ def near_dedup(docs: DataFrame, k: int = 5, share: int = 80, id_col: str = "doc_
     doc_id must be an integer.
     """
     rows = pick(docs, id_col, text_col)
-    signed = staged(rows.mapInArrow(_sign(k), f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, s1 long, s2 long, bands array<long>, signature binary"), "signed")
+    signed = staged(rows.mapInArrow(_sign(k), f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, s1 long, s2 long, bands array<long>"), "signed")
     classes = staged(signed.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").cast("long").alias("id")), "classes")
 
     # one signature for each class: that of its smallest id
-    heads = signed.where("n_shingles > 0").select(F.col("doc_id").cast("long").alias("id"), "s1", "s2", "bands", "signature").join(classes, ["id", "s1", "s2"], "left_semi").dropDuplicates(["id", "s1", "s2"])
+    heads = signed.where("n_shingles > 0").select(F.col("doc_id").cast("long").alias("id"), "s1", "s2", "bands").join(classes, ["id", "s1", "s2"], "left_semi").dropDuplicates(["id", "s1", "s2"])
     heads = staged(heads, "heads")
     seats = heads.select("id", F.explode("bands").alias("key"))
     mask = F.xxhash64("key")
@@ -219,14 +240,34 @@ def near_dedup(docs: DataFrame, k: int = 5, share: int = 80, id_col: str = "doc_
     roots = components(links)
 
     seated = staged(rooted(members.select("key", "id"), roots, "id", "c"), "seated")
-    sized = seated.groupBy("key", "c").agg(F.count("*").alias("n"))
-    spread = staged(sized.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main")).where("parts > 1"), "spread")
-    open_ = staged(seated.join(spread, "key").select("key", "id", "c", "main"), "open")
-    outside = open_.where("c <> main").select("key", F.col("id").alias("u"), F.col("c").alias("cu"))
-    inside = open_.select("key", F.col("id").alias("v"), F.col("c").alias("cv"), (F.col("c") == F.col("main")).alias("m"))
-    rest = outside.join(inside, "key").where("cu <> cv and (m or u < v)").select("u", "v").distinct()
-    alike = _with(staged(rest, "rest"), heads, "signature").mapInArrow(_alike, "u long, v long")
-    links = links.unionByName(verified(staged(alike, "alike")))
+    spread = seated.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    open_ = staged(seated.join(spread, "key"), "open")
+    sized = open_.select("id", "c").distinct().groupBy("c").agg(F.count("*").alias("size"))
+    open_ = staged(open_.join(sized, "c"), "open")
+    block = lambda n: F.pmod(F.xxhash64("id"), n)
+    blocks = lambda n: F.ceil(n / BLOCK)
+
+    # the smaller component's documents against all of the larger component
+    large = open_.where("size > 1").select("key", F.col("c").alias("g1"), F.col("size").alias("whole")).distinct()
+    meets = open_.join(large, "key").where("c <> g1 AND (size < whole OR size = whole AND c > g1)").select("id", "c", "g1", "whole").distinct()
+    meets = staged(meets, "meets")
+    dealt = staged(meets.groupBy("g1", "whole").agg(F.count("*").alias("n")).select("g1", blocks(F.col("whole")).alias("nv"), blocks(F.col("n")).alias("nu")), "dealt")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = meets.select("id", "c", "g1").join(dealt, "g1").withColumn("ub", block(F.col("nu"))).withColumn("vb", up_to("nv"))
+    right = open_.select("id", "c").distinct().join(dealt.withColumnRenamed("g1", "c"), "c").withColumn("g1", F.col("c")).withColumn("vb", block(F.col("nv"))).withColumn("ub", up_to("nu"))
+    place = [F.lit(0).alias("g0"), "g1", (F.col("vb") * F.col("nu") + F.col("ub")).alias("g2"), "id", "c"]
+    left, right = left.select(*place), right.select(*place)
+
+    # documents that are alone, within their bucket
+    alone = open_.where("size = 1").select("key", "id", "c")
+    crowd = alone.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", blocks(F.col("n")).alias("nb"))
+    alone = staged(alone.join(crowd, "key").withColumn("b", block(F.col("nb"))), "alone")
+    one = alone.withColumn("o", F.explode(F.sequence(F.col("b"), F.col("nb") - 1))).select(F.lit(1).alias("g0"), F.col("key").alias("g1"), (F.col("b") * F.col("nb") + F.col("o")).alias("g2"), "id", "c")
+    other = alone.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b")))).select(F.lit(1).alias("g0"), F.col("key").alias("g1"), (F.col("o") * F.col("nb") + F.col("b")).alias("g2"), "id", "c")
+
+    group = ["g0", "g1", "g2"]
+    sides = [x.unionByName(y).join(sets, "id").select(*(F.col(k).alias(k) for k in (*group, "id", "c", "shingles"))).groupBy(*group) for x, y in ((left, one), (right, other))]
+    links = links.unionByName(staged(sides[0].cogroup(sides[1]).applyInArrow(_blocks(share), "a long, b long"), "across"))
     roots = components(links)
 
     named = staged(rooted(classes, roots, "id", "component_id").select("s1", "s2", "component_id"), "named")
