@@ -26,7 +26,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """The documents whose id is among ids (left_anti: is not), null matching null."""
-    return docs.join(ids.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), how)
+    name = "_" + "".join(docs.columns)  # none of the columns has it
+    return docs.join(ids.select(F.col("doc_id").alias(name)).distinct(), F.col("doc_id").eqNullSafe(F.col(name)), how)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
