@@ -26,8 +26,8 @@ from .common import pick, text_blocks
 from .labelled import class_counts, labelled_sample
 
 WINDOW, STEP = 32, 16
-#: Labelled texts of each class that training sees at most, and rounds over their chosen windows.
-SAMPLE, ROUNDS = 2000, 7
+#: Labelled texts of each class that training sees at most; least rounds over their chosen windows, and least steps in all.
+SAMPLE, ROUNDS, STEPS = 2000, 7, 330
 SLICE = 8192  # words whose n-grams are held at once
 WORD_ROWS, CHAR_ROWS, DIM, HIDDEN = 1 << 13, 1 << 13, 12, 8
 _STRIP = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¡¿«»“”„’…"
@@ -215,8 +215,9 @@ def train(texts: list[str], y: np.ndarray, share: float, seed: int = 11) -> Toxi
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     steps = 0
     worst = None
-    for turn in range(ROUNDS):
-        if turn >= 2:
+    turn = 0
+    while turn < ROUNDS or steps < STEPS:
+        if turn >= 2 and turn % max(1, turn // ROUNDS) == 0:
             worst = model._worst(words, grids)[1]
         chosen, labels = [], []
         for i, g in enumerate(grids):
@@ -226,16 +227,17 @@ def train(texts: list[str], y: np.ndarray, share: float, seed: int = 11) -> Toxi
             chosen += [g[k] for k in picks]
             labels += [y[i]] * len(picks)
         grid, target = np.stack(chosen), np.array(labels, np.float32)
-        order = rng.permutation(len(grid))
-        for i in range(0, len(order), 128):
-            part = grid[order[i : i + 128]]
+        order, batch = rng.permutation(len(grid)), int(np.clip(len(grid) // 24, 16, 128))
+        turn += 1
+        for i in range(0, len(order), batch):
+            part = grid[order[i : i + batch]]
             uniques, local = np.unique(part, return_inverse=True)
             local = local.reshape(part.shape) + (uniques[0] != 0)
             present = [words[k - 1] for k in uniques if k]
+            steps += 1
             if not present:
                 continue
-            g = model.gradients(present, local, target[order[i : i + 128]])
-            steps += 1
+            g = model.gradients(present, local, target[order[i : i + batch]])
             for k, v in model.p.items():
                 m, s = moments[k]
                 m += 0.1 * (g[k] - m)
