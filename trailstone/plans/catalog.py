@@ -526,7 +526,7 @@ _SNAPSHOTS = "snaps AS (SELECT step_nr AS snapshot_step FROM poses WHERE (step_n
 @query(
     f"""WITH {_SNAPSHOTS}, e AS (SELECT min(snapshot_step) AS lo, max(snapshot_step) AS hi FROM snaps), o AS (SELECT step_nr, row_number() OVER (ORDER BY step_nr) - 1 AS i, count(*) OVER () AS n FROM poses),
  t AS (SELECT step_nr, CAST(floor(lo + i / CAST(greatest(n - 1, 1) AS DOUBLE) * (hi - lo)) AS BIGINT) AS tgt FROM o, e),
- r AS (SELECT step_nr, snapshot_step, row_number() OVER (PARTITION BY step_nr ORDER BY abs(snapshot_step - tgt), snapshot_step) AS k FROM t, snaps) SELECT step_nr, snapshot_step FROM r WHERE k = 1""",
+ r AS (SELECT step_nr, snapshot_step, row_number() OVER (PARTITION BY step_nr ORDER BY abs(snapshot_step - tgt), snapshot_step) AS k FROM t, snaps) SELECT p.step_nr, r.snapshot_step FROM poses p LEFT JOIN r ON r.step_nr = p.step_nr AND r.k = 1""",
     "poses",
 )
 def nearest_snapshot_step(spark, d):
