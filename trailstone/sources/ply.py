@@ -1,8 +1,9 @@
-"""PLY point clouds as a Spark data source, read and written (binary little-endian and ASCII)."""
+"""PLY point clouds: read from whatever store Spark reads, written as part files (binary little-endian)."""
 
 from __future__ import annotations
 
 import glob
+import io
 import os
 import re
 from collections.abc import Iterator
@@ -11,8 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 #: The format's type names.
 TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8", "int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4", "float32": "f4", "float64": "f8"}
@@ -61,52 +62,24 @@ def _batch(path: str, first: int, rows: dict[str, np.ndarray], n: int) -> pa.Rec
     return pa.RecordBatch.from_pydict(columns)
 
 
-@dataclass
-class PlySlice(InputPartition):
-    path: str
-    first: int
-    count: int
-
-
-class PlyReader(DataSourceReader):
-    """Binary files are read in slices of ROWS vertices, in parallel; ASCII files whole."""
-
-    def __init__(self, options):
-        self.paths = options["path"]
-        self.skip_bad = str(options.get("ignorecorruptfiles", "false")).lower() == "true"
-
-    def partitions(self) -> list[PlySlice]:
-        out = []
-        for path in sorted(p for part in self.paths.split(",") for p in glob.glob(part.removeprefix("file:"))):
-            try:
-                with open(path, "rb") as f:
-                    kind, n, _ = read_header(f)
-            except (ValueError, KeyError, OSError):
-                if not self.skip_bad:
-                    raise
-                continue
-            step = ROWS if kind != "ascii" else max(n, 1)
-            out += [PlySlice(path, a, min(step, n - a)) for a in range(0, n, step)]
-        return out or [PlySlice("", 0, 0)]
-
-    def read(self, part: PlySlice) -> Iterator[pa.RecordBatch]:
-        if not part.count:
-            return
-        with open(part.path, "rb") as f:
-            kind, _, fields = read_header(f)
-            names = [n for n, _ in fields]
-            if kind == "ascii":
-                grid = np.loadtxt(f, ndmin=2, max_rows=part.count)
-                rows = {n: grid[:, i] for i, n in enumerate(names)}
-                n = len(grid)
-            else:
-                dtype = np.dtype([(n, ("<" if kind == "binary_little_endian" else ">") + t) for n, t in fields])
-                f.seek(part.first * dtype.itemsize, os.SEEK_CUR)
-                table = np.frombuffer(f.read(part.count * dtype.itemsize), dtype)
-                rows, n = {k: table[k] for k in names}, len(table)
-        if n < part.count and not self.skip_bad:
-            raise ValueError(f"{part.path} ends after {part.first + n} vertices")
-        yield _batch(part.path, part.first, rows, n)
+def parse_ply(path: str, content: bytes) -> Iterator[pa.RecordBatch]:
+    """A file's points, ROWS at a time."""
+    f = io.BytesIO(content)
+    kind, n, fields = read_header(f)
+    names = [name for name, _ in fields]
+    if kind == "ascii":
+        grid = np.loadtxt(f, ndmin=2, max_rows=n) if n else np.empty((0, len(names)))
+        table = {name: grid[:, i] for i, name in enumerate(names)}
+        have = len(grid)
+    else:
+        dtype = np.dtype([(name, ("<" if kind == "binary_little_endian" else ">") + t) for name, t in fields])
+        have = min(n, (len(content) - f.tell()) // dtype.itemsize)
+        table = np.frombuffer(content, dtype, have, f.tell())
+    if have < n:
+        raise ValueError(f"{path} ends after {have} of {n} vertices")
+    for first in range(0, n, ROWS):
+        last = min(first + ROWS, n)
+        yield _batch(path, first, {name: table[name][first:last] for name in names}, last - first)
 
 
 @dataclass
@@ -154,6 +127,8 @@ class PlyWriter(DataSourceWriter):
 
 
 class PlyDataSource(DataSource):
+    """The writing side; the path must be on a file system that all executors and the driver mount."""
+
     @classmethod
     def name(cls) -> str:
         return "ply"
@@ -161,18 +136,28 @@ class PlyDataSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def reader(self, schema) -> PlyReader:
-        return PlyReader(self.options)
-
     def writer(self, schema, overwrite: bool) -> PlyWriter:
         return PlyWriter(self.options, schema, overwrite)
 
 
-def read_ply(spark: SparkSession, path: str, skip_bad: bool = False) -> DataFrame:
-    """Points of all files that match; absent colours, confidence and segments are null. step_nr comes from step_N in a path."""
-    spark.dataSource.register(PlyDataSource)
-    df = spark.read.format("ply").option("ignoreCorruptFiles", str(skip_bad).lower()).load(path)
-    return df.withColumn("step_nr", F.try_to_number(F.nullif(F.regexp_extract("path", r"step_(\d+)", 1), F.lit("")), F.lit("999999999")).cast("long"))
+def read_ply(spark: SparkSession, path: str | list[str], skip_bad: bool = False) -> DataFrame:
+    """Points of all files that match; absent colours, confidence and segments are null. step_nr comes from step_N in a path.
+
+    A file is one task's input, a run's clouds are one file a step. With skip_bad, files that are no clouds are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    yield from list(parse_ply(name, content)) if skip_bad else parse_ply(name, content)
+                except (ValueError, KeyError):
+                    if not skip_bad:
+                        raise
+
+    df = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+    step = F.regexp_extract("path", r"step_(\d+)", 1)
+    return df.withColumn("step_nr", F.when(step != "", step.cast("long")))
 
 
 def write_ply(points: DataFrame, path: str) -> None:
