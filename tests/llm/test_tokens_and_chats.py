@@ -79,3 +79,10 @@ def test_masked_tokens_are_whole_characters_of_assistant_turns(spark):
     starts, ends, mask = np.frombuffer(r.starts, "<u4"), np.frombuffer(r.ends, "<u4"), np.frombuffer(r.loss_mask, np.uint8) > 0
     assert len(np.frombuffer(r.ids, "<u4")) == len(mask)
     assert [chat.unescape(x) for x in chat.masked_texts(r.formatted, starts, ends, mask)] == [t for _, _, role, t in rows if role == "assistant"]
+
+
+def test_chat_query_equals_its_sql(spark):
+    from tests.oracle import assert_same
+    from trailstone.llm.queries import ORACLE_SQL
+
+    assert_same(QUERIES["op8_chat"](spark, SMALL), ORACLE_SQL["op8_chat"], SMALL)
