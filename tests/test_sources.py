@@ -79,3 +79,12 @@ def test_metadata_snapshots_and_run_names(spark, tmp_path):
     assert ply.next_run_name(["run_2", "run_10", "other"]) == "run_11" and ply.next_run_name([]) == "run_1"
     frames = spark.range(10).withColumnRenamed("id", "frame_idx")
     assert sorted(r.frame_idx for r in files.sampled_frames(frames, 2).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_component_config_and_candidate_paths(spark, tmp_path):
+    doc = {"pipeline_configuration": {"components": [{"type": "a", "config": {"x": 1}}, {"type": "b", "config": {"x": 45}}, {"type": "b", "config": {"x": 9}}]}}
+    (tmp_path / "metadata.json").write_text(json.dumps(doc))
+    meta = files.read_metadata(spark, str(tmp_path / "metadata.json"))
+    assert files.component_config(meta, "b") == {"x": 45} and files.component_config(meta, "c") == {}
+    assert files.first_existing(spark, None, str(tmp_path / "no"), str(tmp_path)) == str(tmp_path)
+    assert files.first_existing(spark, str(tmp_path / "no")) is None

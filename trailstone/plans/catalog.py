@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions import proximity
-from ..operators import align, asof, floor, fusion, graph, knn, masks, sampling, scene, stats, video
+from ..operators import align, asof, floor, fusion, graph, knn, masks, memory, sampling, scene, stats, video
 from ..operators import points as pt
 from ..sources import bindings as b
 
@@ -555,6 +555,47 @@ def memory_bank_last7(spark, d):
     return b.table(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).alias("k")).where("k <= 7")
 
 
+_FRAMES = "fr AS (SELECT user_id AS object_id, event_id AS frame_idx, event_type = 'purchase' AS conditioning, value AS score FROM events)"
+
+
+def _frames(spark, d):
+    return b.table(spark, d, "events").selectExpr("user_id AS object_id", "event_id AS frame_idx", "event_type = 'purchase' AS conditioning", "value AS score")
+
+
+@query(f"WITH {_FRAMES}, r AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY frame_idx DESC) AS k FROM fr WHERE NOT conditioning) SELECT object_id, frame_idx, CAST(k AS INT) AS k FROM r WHERE k <= 7")
+def memory_bank_unconditioned(spark, d):
+    return memory.bank(_frames(spark, d)).select("object_id", "frame_idx", "k")
+
+
+@query(f"WITH {_FRAMES} SELECT object_id, frame_idx FROM fr f WHERE NOT EXISTS (SELECT 1 FROM fr c WHERE c.conditioning AND c.object_id = f.object_id AND abs(c.frame_idx - f.frame_idx) <= 140)")
+def memory_cleared(spark, d):
+    f = _frames(spark, d)
+    return memory.cleared(f, f.where("conditioning"), 140).select("object_id", "frame_idx")
+
+
+@query(f"WITH {_FRAMES}, o AS (SELECT f.frame_idx // 100 AS frame_idx, f.object_id, max(score) AS score FROM fr f GROUP BY 1, 2), ids AS (SELECT a.frame_idx, g.object_id FROM (SELECT DISTINCT frame_idx FROM o) a, (SELECT DISTINCT object_id FROM o WHERE object_id < 10) g) SELECT ids.frame_idx, ids.object_id, coalesce(score, -1024) AS score FROM ids LEFT JOIN o USING (frame_idx, object_id)")
+def outputs_consolidated(spark, d):
+    out = _frames(spark, d).groupBy(F.expr("frame_idx DIV 100").alias("frame_idx"), "object_id").agg(F.max("score").alias("score"))
+    few = F.array_sort(F.collect_set(F.when(F.col("object_id") < 10, F.col("object_id")))).alias("ids")  # ten objects at most
+    wanted = out.select("frame_idx").distinct().join(F.broadcast(out.agg(few))).select("frame_idx", F.explode("ids").alias("object_id"))
+    return memory.consolidated(wanted, out)
+
+
+@query(
+    f"""WITH {_FRAMES}, a AS (SELECT object_id, frame_idx // 10 AS frame_idx, conditioning, score, 1 AS rk FROM fr WHERE frame_idx % 10 = 0), z AS (SELECT object_id, frame_idx // 10, conditioning, score, 0 FROM fr WHERE frame_idx % 10 = 5),
+ u AS (SELECT *, row_number() OVER (PARTITION BY object_id, frame_idx ORDER BY conditioning DESC, rk DESC) AS k FROM (SELECT * FROM a UNION ALL SELECT * FROM z)) SELECT object_id, frame_idx, conditioning, score FROM u WHERE k = 1"""
+)
+def outputs_merged(spark, d):
+    f = _frames(spark, d)
+    tenth = lambda r: f.where(f"frame_idx % 10 = {r}").withColumn("frame_idx", F.expr("frame_idx DIV 10"))
+    return memory.merged(tenth(0), tenth(5))
+
+
+@query("WITH v AS (SELECT CAST(step_nr % 16 AS INT) AS keyframe_id, step_nr AS valid_from, tx, ty, tz FROM poses WHERE step_nr <= 40), r AS (SELECT *, row_number() OVER (PARTITION BY keyframe_id ORDER BY valid_from DESC) AS k FROM v) SELECT keyframe_id, tx, ty, tz FROM r WHERE k = 1", "poses")
+def keyframe_poses_asof(spark, d):
+    return memory.poses_as_of(b.poses(spark, d).selectExpr("CAST(step_nr % 16 AS INT) AS keyframe_id", "step_nr AS valid_from", "tx", "ty", "tz"), 40)
+
+
 # ---- scene
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,3 +123,21 @@ def write_snapshots(points: DataFrame, path: str, interval: int = 10) -> None:
 def sampled_frames(frames: DataFrame, every: int) -> DataFrame:
     """Each `every`-th frame, renumbered."""
     return frames.where(F.pmod("frame_idx", F.lit(every)) == 0).withColumn("frame_idx", F.expr(f"frame_idx DIV {every}"))
+
+
+def component_config(metadata: DataFrame, kind: str) -> dict[str, str]:
+    """Configuration of the first component of a type in a run's metadata; empty if there is none."""
+    parts = metadata.select(F.posexplode("pipeline_configuration.components").alias("i", "c")).where(F.col("c.type") == kind)
+    row = parts.orderBy("i").select(F.to_json("c.config").alias("config")).first()
+    return json.loads(row.config) if row and row.config else {}
+
+
+def first_existing(spark: SparkSession, *paths: str | None) -> str | None:
+    """The first of several candidate paths that exists in its file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        if p:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            if path.getFileSystem(conf).exists(path):
+                return p
+    return None
