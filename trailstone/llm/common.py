@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Whitespace of the word contracts: space, tab, LF, VT, FF, CR.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: Text bytes that a vectorised step holds at once; larger single texts form a block of their own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def pick(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
