@@ -113,12 +113,15 @@ def test_levels_and_messages(spark):
         d = F.lit(d)
         return value(spark, proximity.warning_message(d, proximity.warning_level(d), F.lit(label), F.lit(5), F.lit(direction).cast("string"), **how))
 
-    assert message(0.15, "Chair", "ahead-right") == "🚨 CRITICAL: Chair #5 0.15m ahead-right"
+    assert message(0.15, "Chair", "ahead-right") == "🚨 CRITICAL: Chair #5 0.15m ahead-right!"
     assert message(0.3, "Chair", None) == "⚠️ WARNING: Chair #5 at 0.30m"
     assert message(0.8, "Chair", "ahead-right") == "Distance: 0.80m (ahead-right) - Chair #5"
     assert message(0.5, "unknown", "ahead-right") == "⚠️ CAUTION: Object #5 0.50m ahead-right"
     assert message(0.5, None, None, objects=False) == "⚠️ CAUTION: Point at 0.50m"
     assert message(0.15, "Chair", None, enabled=False) == "Distance: 0.150m (Chair #5)"
+    assert message(0.15, "unknown", None, enabled=False) == "Distance: 0.150m (Segment 5)"
+    assert message(0.1, "Chair", None) == "🚨 CRITICAL: Chair #5 at 0.10m!"
+    assert value(spark, proximity.duration_text(F.lit(3725.5))) == "1h 2m 5.50s" and value(spark, proximity.duration_text(F.lit(4.25))) == "4.25s"
 
 
 def test_statistics_by_hand(spark):

@@ -54,21 +54,30 @@ def direction_phrase(v: Vector, dead_zone: float = DEAD_ZONE) -> Column:
 
 
 def warning_message(distance: Column, level: Column, label: Column, segment: Column, direction: Column, objects: bool = True, enabled: bool = True) -> Column:
-    """Text of a record: objects name their label and segment, points don't; direction may be null."""
-    known = label.isNotNull() & (F.lower(label) != "unknown")
-    name = F.concat(F.when(known, label).otherwise("Object"), F.lit(" #"), segment.cast("string")) if objects else F.lit("Point")
+    """Text of a record: objects name their label and segment, points don't; direction may be null.
+
+    Segments that are null or negative are not named. Numbers are rounded half up.
+    """
+    known = label.isNotNull() & (label != "unknown")
+    segmented = F.coalesce(segment >= 0, F.lit(False))
+    number = F.concat(F.lit(" #"), segment.cast("string"))
     if not enabled:
-        shown = F.concat(F.when(known, label).otherwise("Object"), F.lit(" #"), segment.cast("string"))
-        return F.concat(F.format_string("Distance: %.3fm", F.round(distance, 3)), F.concat(F.lit(" ("), shown, F.lit(")")) if objects else F.lit(""))
+        named = F.when(known, F.concat(label, number)).otherwise(F.concat(F.lit("Segment "), segment.cast("string")))
+        plain = F.format_string("Distance: %.3fm", F.round(distance, 3))
+        return F.when(segmented, F.concat(plain, F.lit(" ("), named, F.lit(")"))).otherwise(plain)
+    metres = F.format_string("%.2fm", F.round(distance, 2))
+    name = F.when(segmented & known, F.concat(label, number)).when(segmented, F.concat(F.lit("Object"), number)).otherwise("Object") if objects else F.lit("Point")
     prefix = F.lit("")
     for k, v in PREFIXES.items():
         prefix = F.when(level == k, v).otherwise(prefix)
-    alert = F.concat(prefix, name, F.when(direction.isNull(), F.format_string(" at %.2fm", F.round(distance, 2))).otherwise(F.concat(F.format_string(" %.2fm ", F.round(distance, 2)), direction)))
-    calm = F.concat(F.format_string("Distance: %.2fm", F.round(distance, 2)), F.when(direction.isNull(), "").otherwise(F.concat(F.lit(" ("), direction, F.lit(")"))), F.concat(F.lit(" - "), name))
+    pointed = direction.isNotNull() & (direction != "")
+    where = F.when(pointed, F.concat(F.lit(" "), metres, F.lit(" "), direction)).otherwise(F.concat(F.lit(" at "), metres))
+    alert = F.concat(prefix, name, where, F.when(level == "critical", "!").otherwise(""))
+    calm = F.concat(F.lit("Distance: "), metres, F.when(pointed, F.concat(F.lit(" ("), direction, F.lit(")"))).otherwise(""), F.when(segmented, F.concat(F.lit(" - "), name)).otherwise(""))
     return F.when(level == "normal", calm).otherwise(alert)
 
 
 def duration_text(seconds: Column) -> Column:
     """Hours, minutes and seconds, as many of them as needed."""
     h, m, s = F.floor(seconds / 3600).cast("int"), F.floor((seconds % 3600) / 60).cast("int"), seconds % 60
-    return F.when(seconds >= 3600, F.format_string("%dh %dm %.1fs", h, m, s)).when(seconds >= 60, F.format_string("%dm %.1fs", m, s)).otherwise(F.format_string("%.1fs", s))
+    return F.when(seconds >= 3600, F.format_string("%dh %dm %.2fs", h, m, s)).when(seconds >= 60, F.format_string("%dm %.2fs", m, s)).otherwise(F.format_string("%.2fs", s))

@@ -11,10 +11,10 @@ from pyspark.sql.window import Window
 from ..functions import geometry as g
 
 #: Colours of the named detection classes, and of all others.
-CLASS_COLOURS = {"view": "255,0,0", "click": "0,255,0", "purchase": "0,0,255", "signup": "255,255,0", "error": "255,0,255"}
+CLASS_COLOURS = {"Chair": "255,165,0", "Window": "0,191,255", "Person": "255,20,147", "Car": "255,0,0", "Table": "50,205,50", "Door": "138,43,226"}
 OTHER_COLOUR = "128,128,128"
 #: The palette of segment classes.
-PALETTE = ["255,0,0", "0,255,0", "0,0,255", "255,255,0", "255,0,255", "0,255,255", "255,128,0", "128,0,255", "0,128,255", "128,255,0", "255,0,128", "0,255,128"]
+PALETTE = ["255,0,0", "0,255,0", "0,0,255", "255,255,0", "255,0,255", "0,255,255", "255,128,0", "128,0,255", "255,192,203", "128,128,128", "139,69,19", "0,128,0"]
 
 
 def boxes(detections: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ def direction_phrases(spark, d):
 @query(
     f"""WITH {_OBJECTS}, {_LOCAL}, shown AS (SELECT *, (CASE WHEN class_label = 'unknown' THEN 'Object' ELSE class_label END) || ' #' || segment_id AS name FROM phrased WHERE point_idx = 0 AND distance > 0)
  SELECT step_nr, CASE WHEN distance > 0.6E0 THEN 'Distance: ' || printf('%.2f', round(distance, 2)) || 'm (' || direction || ') - ' || name
- ELSE (CASE WHEN distance <= 0.2E0 THEN '🚨 CRITICAL: ' WHEN distance <= 0.4E0 THEN '⚠️ WARNING: ' ELSE '⚠️ CAUTION: ' END) || name || ' ' || printf('%.2f', round(distance, 2)) || 'm ' || direction END AS message FROM shown""",
+ ELSE (CASE WHEN distance <= 0.2E0 THEN '🚨 CRITICAL: ' WHEN distance <= 0.4E0 THEN '⚠️ WARNING: ' ELSE '⚠️ CAUTION: ' END) || name || ' ' || printf('%.2f', round(distance, 2)) || 'm ' || direction || CASE WHEN distance <= 0.2E0 THEN '!' ELSE '' END END AS message FROM shown""",
     "points poses segment_labels",
 )
 def warning_messages(spark, d):
