@@ -27,7 +27,7 @@ from .common import pick, text_blocks
 
 NONE = np.int32(2**31 - 1)
 #: Text bytes encoded together, and distinct pretokens remembered between such blocks.
-SHARD_BYTES, REMEMBERED = 12 << 20, 300_000
+SHARD_BYTES, REMEMBERED = 8 << 20, 200_000
 
 
 class Vocabulary:

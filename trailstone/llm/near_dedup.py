@@ -242,7 +242,7 @@ def near_dedup(docs: DataFrame, k: int = 5, share: int = 80, id_col: str = "doc_
     seated = staged(rooted(members.select("key", "id"), roots, "id", "c"), "seated")
     spread = seated.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     open_ = staged(seated.join(spread, "key"), "open")
-    sized = open_.select("id", "c").distinct().groupBy("c").agg(F.count("*").alias("size"))
+    sized = staged(open_.select("id", "c").distinct().groupBy("c").agg(F.count("*").alias("size")), "sized")
     open_ = staged(open_.join(sized, "c"), "open")
     block = lambda n: F.pmod(F.xxhash64("id"), n)
     blocks = lambda n: F.ceil(n / BLOCK)
