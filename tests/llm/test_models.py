@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailstone.llm import langid, ppm, quality, toxicity
-from trailstone.llm.common import text_bytes
 from trailstone.llm.queries import QUERIES
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -130,50 +129,31 @@ def test_network_learns_stems_wherever_they_stand():
 # ---- prediction by partial matching
 
 
-def tables(texts, order, least=1):
-    """Entries by order: key -> count, and the whole count of each context."""
-    out = []
-    grams = Counter()
+def contexts_of(texts, order):
+    """Counts of the symbols after each context of each length."""
+    out = defaultdict(Counter)
     for t in texts:
         s = bytes([ppm.START]) * order + t.encode().lower() + bytes([ppm.END])
         for i in range(order, len(s)):
-            grams[s[i - order : i + 1]] += 1
-    for k in range(order + 1):
-        c = Counter()
-        for g, n in grams.items():
-            c[g[order - k :]] += n
-        whole = Counter()
-        for g, n in c.items():
-            whole[g[:-1]] += n
-        kept = {g: n for g, n in c.items() if n >= least}
-        out.append((kept, whole))
+            for k in range(order + 1):
+                out[s[i - k : i]][s[i]] += 1
     return out
 
 
-def model_of(counts):
-    parts = []
-    for kept, whole in counts:
-        rows = sorted((int.from_bytes(g, "big"), n, whole[g[:-1]]) for g, n in kept.items())
-        parts.append((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)))
-    return ppm.PpmModel(parts)
-
-
-def slow_distribution(counts, context):
+def slow_distribution(contexts, context):
     """Probability of each next byte by the definition: longest known context, escape, exclusion."""
     p, left, excluded = {}, 1.0, set()
-    for k in range(len(counts) - 1, -1, -1):
-        kept, whole = counts[k]
-        own = context[len(context) - k :] if k else b""
-        here = {g[-1]: n for g, n in kept.items() if g[:-1] == own}
+    for k in range(len(context), -1, -1):
+        here = contexts.get(context[len(context) - k :])
         if not here:
             continue
         fresh = {s: n for s, n in here.items() if s not in excluded}
-        n = whole[own] - sum(c for s, c in here.items() if s in excluded)
-        if n <= 0:
+        n = sum(fresh.values())
+        if not n:
             continue
         for s, c in fresh.items():
             p[s] = left * (2 * c - 1) / (2 * n)
-        left *= 1 - sum(2 * c - 1 for c in fresh.values()) / (2 * n)
+        left *= len(fresh) / (2 * n)
         excluded |= set(here)
     rest = [s for s in range(256) if s not in excluded]
     for s in rest:
@@ -181,29 +161,40 @@ def slow_distribution(counts, context):
     return p
 
 
-@pytest.mark.parametrize("least", [1, 3])
-def test_model_equals_the_definition_and_sums_to_one(least):
-    rnd = random.Random(least)
-    texts = ["".join(rnd.choice("abbccc d") for _ in range(rnd.randrange(30))) for _ in range(60)] + ["Hello hello world", "", "é"]
-    order = 3
-    counts = tables(texts, order, least)
-    model = model_of(counts)
-    import pyarrow as pa
+def slow_score(contexts, text, order, seen={}):  # noqa: B006
+    s, total = bytes([ppm.START]) * order + text.encode().lower() + bytes([ppm.END]), 0.0
+    for i in range(order, len(s)):
+        key = id(contexts), s[i - order : i]
+        if key not in seen:
+            seen[key] = slow_distribution(contexts, s[i - order : i])
+            assert sum(seen[key].values()) == pytest.approx(1, abs=1e-9)
+        total += math.log10(seen[key][s[i]])
+    return total
 
-    for text in ("abc d", "hello", "zzz é", "", "Ccc\n"):
-        s = bytes([ppm.START]) * order + text.encode().lower() + bytes([ppm.END])
-        want = 0.0
-        for i in range(order, len(s)):
-            p = slow_distribution(counts, s[i - order : i])
-            assert sum(p.values()) == pytest.approx(1, abs=1e-9)
-            want += math.log10(p[s[i]])
-        assert model.log10(*text_bytes(pa.array([text])))[0] == pytest.approx(want, abs=1e-4)
+
+@pytest.mark.parametrize(("order", "share", "word_share"), [(3, 1, 1), (3, 1 << 23, 1 << 19), (5, 200, 50), (1, 30, 1), (0, 1, 1)])
+def test_model_equals_the_definition_wherever_grams_are_looked_up(spark, order, share, word_share):
+    rnd = random.Random(order)
+    texts = ["".join(rnd.choice("abbccc d") for _ in range(rnd.randrange(30))) for _ in range(40)] + ["Hello hello world", "", None, "é", "hello", "zzz é 漢", "Ccc\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in ppm.lm_scores(docs, F.when(F.col("doc_id") == 5, F.lit(None)).otherwise(F.col("doc_id") % 4 != 1), order=order, share=share, word_share=word_share).collect()}
+    contexts = contexts_of([t or "" for i, t in enumerate(texts) if i % 4 != 1 and i != 5], order)
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i].score == pytest.approx(slow_score(contexts, t or "", order), rel=1e-9)
+
+
+def test_nothing_to_learn_from_leaves_all_bytes_equally_likely(spark):
+    docs = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.score, r.n_known, r.train_tokens) for r in ppm.lm_scores(docs, F.lit(False)).collect()}
+    assert got == {1: (pytest.approx(-3 * math.log10(256)), 0, 0), 2: (pytest.approx(-math.log10(256)), 0, 0)}
 
 
 def test_scores_equal_brute_force_and_beat_the_base_on_what_was_learned(spark):
     folder = "/root/testdata/sf0.001"
     rows = {r.doc_id: r for r in QUERIES["op10_lm_score"](spark, folder).collect()}
-    words = {r.doc_id: (r.text or "").encode().lower().split() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    words = {i: t.encode().lower().split() for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in words}
     c, ends = Counter(), 0
     for i, w in words.items():
@@ -211,8 +202,10 @@ def test_scores_equal_brute_force_and_beat_the_base_on_what_was_learned(spark):
             c.update(w)
             ends += 1
     n, v = sum(c.values()) + ends, len(c) + 1
+    contexts = contexts_of([t for i, t in texts.items() if not held[i]], ppm.ORDER)
     for i, w in words.items():
         r = rows[i]
+        assert r.score == pytest.approx(slow_score(contexts, texts[i], ppm.ORDER), rel=1e-9)
         base = sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w) + math.log10((ends + 0.5) / (n + 0.5 * (v + 1)))
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w) + 1, sum(c[x] > 0 for x in w) + 1, n)
         assert r.base_score == pytest.approx(base, rel=1e-9)
@@ -226,4 +219,3 @@ def test_tables_find_what_they_hold():
     assert (t.find(keys) == np.arange(len(keys))).all()
     assert (t.find(keys + np.uint64(1))[~np.isin(keys + np.uint64(1), keys)] == -1).all()
     assert (ppm._Table(keys[:0]).find(keys[:5]) == -1).all()
-    assert defaultdict(int) == {}

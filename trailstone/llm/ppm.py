@@ -1,35 +1,38 @@
 """Language-model scores by prediction by partial matching, beside a smoothed unigram base.
 
-Model: a byte-context trie of ORDER bytes and less, pretrained on the training rows' lower-cased texts. Its counts are
-gathered on Spark over all of them; of each order, entries (context, symbol) with at least 1/SHARE of all training bytes
-stay, so at most SHARE entries an order can exist, however large the corpus, and the trie can be broadcast. A symbol is
-coded in the longest context the trie has: with count c of n and d kinds kept there its probability is (2c-1)/2n, and
-what is left, d/2n and the share of the kinds not kept, goes to the escape, after which the next shorter context codes
-it among the symbols not yet excluded; below order 0 all bytes left are equally likely. A text is its bytes and one end symbol, so that probabilities of all texts sum to 1.
-
-Base: token counts of all training rows. Counts of words above the same kind of share are broadcast; the other, rare
-words of each text meet their counts in a join on a 64-bit hash of the word (two words of a billion collide with a
-probability of 3 %).
+Model: a byte-context trie of ORDER bytes and less, pretrained on the training rows' lower-cased texts and kept whole, as
+tables: entries (context and symbol with its count) and nodes (contexts with their whole count and their kinds of symbols)
+of each order. A symbol is coded in the longest context the trie has: with count c of n and d kinds its probability is
+(2c-1)/2n, the escape's is d/2n; after an escape the next shorter context codes it among the symbols not yet excluded, and
+below order 0 all bytes left are equally likely. A text is its bytes and one end symbol, so that probabilities of all texts
+sum to 1.
+
+The symbol's probability depends on its gram (ORDER bytes and itself) only, so joins find it once for each distinct gram
+of the corpus, and documents add up their grams' logarithms. Grams that make up 1/SHARE of the corpus or more (so at most
+SHARE of them, however large the corpus) are looked up from a broadcast, all others in a join. The base does the same with
+words: counts of those above 1/WORD_SHARE of all tokens are broadcast, the other, rare words of each text meet their counts
+in a join on a 64-bit hash of the word (two words of a billion collide with a probability of 3 %).
 
 Defined cases: null text is empty: one end token; with no training rows all counts are 0 and all bytes equally likely;
-repeated rows are scored apart and count as often as they occur; other columns of the input don't matter; an empty table
-gives no rows.
+repeated rows are scored apart and count as often as they occur; rows for which `learn` is null don't teach; other columns
+of the input don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import LOWER, pick, staged, sums_between, text_blocks, text_bytes
 
-ORDER, SHARE, WORD_SHARE = 5, 1 << 22, 1 << 19
+ORDER, SHARE, WORD_SHARE = 5, 1 << 23, 1 << 19
 #: Bytes that UTF-8 never has: they stand before a text and behind it.
 START, END = 254, 255
 #: Distinct keys that a task adds up before it hands them on.
@@ -55,19 +58,18 @@ def coded_symbols(data: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndar
 
 
 class _Table:
-    """Open addressing: values by 64-bit key, looked up for many keys at once."""
+    """Open addressing: places of many 64-bit keys at once."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(len(keys) * 4).bit_length())
-        self.keys = np.full(1 << self.bits, np.uint64(2**64 - 1))
+        self.keys = keys
+        self.bits = max(4, int(len(keys) * 2).bit_length())
         self.place = np.full(1 << self.bits, -1, np.int32)
         left, at = np.arange(len(keys), dtype=np.int32), self._slot(keys)
         while len(left):
             free = self.place[at] < 0
             self.place[at[free]] = left[free]  # of several, the last stays
-            self.keys[at[free]] = keys[self.place[at[free]]]
             lost = self.place[at] != left
-            left, at = left[lost], (at[lost] + 1) & (len(self.keys) - 1)
+            left, at = left[lost], (at[lost] + 1) & (len(self.place) - 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -75,92 +77,19 @@ class _Table:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of each key among those the table was made from, or -1."""
         at = self._slot(keys)
-        found = np.where(self.keys[at] == keys, self.place[at], np.int32(-2))
-        found[(found == -2) & (self.place[at] < 0)] = -1
-        open_ = np.flatnonzero(found == -2)
+        found = self.place[at]
+        if not len(self.keys):
+            return found
+        open_ = np.flatnonzero((found >= 0) & (self.keys[found] != keys))
         at = at[open_]
         while len(open_):
-            at = (at + 1) & (len(self.keys) - 1)
-            hit, none = self.keys[at] == keys[open_], self.place[at] < 0
-            found[open_[hit]] = self.place[at[hit]]
-            found[open_[none & ~hit]] = -1
-            more = ~hit & ~none
+            at = (at + 1) & (len(self.place) - 1)
+            found[open_] = now = self.place[at]
+            more = (now >= 0) & (self.keys[now] != keys[open_])
             open_, at = open_[more], at[more]
         return found
 
 
-class PpmModel:
-    """The trie as one pair of tables an order: entries (context and symbol) and nodes (contexts)."""
-
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """counts[k]: of the entries with k bytes of context the sorted keys, the counts and how often the context occurs.
-
-        The suffix of each entry is in counts[k-1]."""
-        self.order = len(counts) - 1
-        self.counts = counts
-        self.ready = False
-
-    def __getstate__(self):
-        return {"order": self.order, "counts": self.counts, "ready": False}
-
-    def prepare(self) -> None:
-        if self.ready:
-            return
-        self.entries, self.nodes, self.levels = [], [], []
-        above: tuple | None = None
-        log = lambda x: np.log10(np.maximum(x, 1e-300))
-        for k, (keys, c, whole) in enumerate(self.counts):
-            contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
-            node_of = np.repeat(np.arange(len(contexts)), np.diff(np.append(first, len(keys))))
-            n, d = whole[first].astype(float), np.bincount(node_of, minlength=len(contexts)).astype(float)
-            d += 2 * (n - np.bincount(node_of, c, len(contexts)))  # twice what the escape gets, the kinds not kept with it
-            kinds = np.bincount(node_of, minlength=len(contexts)).astype(float)
-            level = {"entry": log(2 * c - 1) - log(2 * n[node_of]), "count": log(2 * c - 1), "escape": log(d) - log(2 * n)}
-            if above is None:
-                left = 256.0 - kinds
-                level["rest"], level["rest_escape"] = np.where(left > 0, log(left), 0.0), np.zeros(len(contexts))
-            else:  # what the next shorter context has left when this one's symbols are excluded
-                short_keys, short_c, short_contexts, short_n, short_d = above
-                shared = short_c[np.searchsorted(short_keys, keys & np.uint64((1 << 8 * k) - 1))]
-                parent = np.searchsorted(short_contexts, contexts & np.uint64((1 << 8 * (k - 1)) - 1))
-                n_left, d_left = short_n[parent] - np.bincount(node_of, shared, len(contexts)), short_d[parent] - kinds
-                level["rest"] = log(2 * n_left)
-                level["rest_escape"] = np.where(n_left > 0, log(d_left) - log(2 * n_left), 0.0)
-            self.levels.append({a: v.astype(np.float32) for a, v in level.items()})
-            self.entries.append(_Table(keys))
-            self.nodes.append(_Table(contexts))
-            above = keys, c.astype(float), contexts, n, d
-        self.ready = True
-
-    def log10(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of each text of a block."""
-        key, ends = coded_symbols(data, at, max(self.order, 0))
-        if self.order < 0 or not len(self.counts[0][0]):
-            return np.diff(ends) * -np.log10(256)
-        self.prepare()
-        total = np.zeros(len(key), np.float32)
-        left, node = np.arange(len(key)), np.full(len(key), -1, np.int32)
-        for k in range(self.order, -1, -1):
-            level, longer = self.levels[k], self.levels[k + 1] if k < self.order else None
-            own = key[left] & np.uint64((1 << 8 * (k + 1)) - 1)
-            entry = self.entries[k].find(own)
-            came = node >= 0
-            hit = entry >= 0
-            fresh, after = hit & ~came, hit & came
-            total[left[fresh]] += level["entry"][entry[fresh]]
-            if longer is not None:
-                total[left[after]] += level["count"][entry[after]] - longer["rest"][node[after]]
-                missed = ~hit & came
-                total[left[missed]] += longer["rest_escape"][node[missed]]
-            left, came = left[~hit], came[~hit]
-            now = self.nodes[k].find(own[~hit] >> np.uint64(8))
-            first = ~came & (now >= 0)
-            total[left[first]] += level["escape"][now[first]]
-            node = now
-        total[left] -= self.levels[0]["rest"][node]
-        return sums_between(total, ends)
-
-
 def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -191,27 +120,74 @@ class _Sums:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
 
 
-def fit_ppm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, share: int = SHARE) -> PpmModel:
-    """The trie of the given rows."""
+def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """key, n and m of each gram in the rows' texts: how often it occurs where `learn` holds, and at all."""
+    flag = 1 << 8 * (order + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
         for block in text_blocks(batches):
-            keys, n = np.unique(coded_symbols(*text_bytes(block.column("text")), order)[0], return_counts=True)
-            yield from sums.add(keys, n)
+            keys, ends = coded_symbols(*text_bytes(block.column("text")), order)
+            learned = block.column("learn").to_numpy(zero_copy_only=False).astype(np.uint64)
+            keys |= np.repeat(learned * np.uint64(flag), np.diff(ends))
+            yield from sums.add(*np.unique(keys, return_counts=True))
         yield from sums.flush()
 
-    grams = staged(pick(docs, id_col, text_col).select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    counts = []
-    for k in range(order + 1):
-        short = grams.groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n"))
-        node = F.shiftrightunsigned("key", 8)
-        entries = short.where(F.col("n") * share >= total).withColumn("node", node)
-        nodes = short.groupBy(node.alias("node")).agg(F.sum("n").alias("whole"))
-        kept = entries.join(nodes, "node").select("key", "n", "whole").toPandas().sort_values("key")  # at most `share` rows
-        counts.append((kept["key"].to_numpy(np.int64).view(np.uint64), kept["n"].to_numpy(np.int64), kept["whole"].to_numpy(np.int64)))
-    return PpmModel(counts)
+    tagged = rows.select("text", "learn").mapInArrow(count, "key long, n long")
+    learned = F.when(F.col("key") >= flag, F.col("n")).otherwise(0)
+    return tagged.groupBy(F.col("key").bitwiseAND(flag - 1).alias("key")).agg(F.sum(learned).alias("n"), F.sum("n").alias("m"))
+
+
+def _last(k: int) -> Column:
+    """The key's last k bytes."""
+    return F.col("key").bitwiseAND((1 << 8 * k) - 1)
+
+
+def _context(k: int) -> Column:
+    """The k bytes before the key's symbol."""
+    return F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * k) - 1)
+
+
+def _few(table: DataFrame, n_bytes: int) -> DataFrame:
+    """A table with one row for each of at most 256 ** n_bytes keys, broadcast where that is 65,536 or less."""
+    return F.broadcast(table) if n_bytes <= 2 else table
+
+
+def gram_logs(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """key, m and log (log10 of the symbol's probability after its context) for each gram, the trie learned from n."""
+    node = Window.partitionBy(_context(order))  # at most 256 rows
+    placed = grams.withColumn("whole", F.sum("n").over(node)).withColumn("kinds", F.count_if(F.col("n") > 0).over(node))
+    placed = staged(placed, "placed")
+    known = placed.where("n > 0").select("key", "m", (F.log10(2 * F.col("n") - 1) - F.log10(2 * F.col("whole"))).alias("log"))
+
+    came = F.col("whole") > 0  # the trie has this context, and the symbol escaped from it
+    log = F.when(came, F.log10("kinds") - F.log10(2 * F.col("whole"))).otherwise(0.0)
+    open_ = staged(placed.where("n = 0").select("key", "m", log.alias("log"), came.alias("came")), "open")
+    entries, done = grams.where("n > 0").select("key", "n"), []
+    for k in range(order - 1, -1, -1):
+        longer, entries = entries, staged(entries.groupBy(_last(k + 1).alias("key")).agg(F.sum("n").alias("n")), "entries")
+        nodes = entries.groupBy(_context(k).alias("node")).agg(F.sum("n").alias("whole"), F.count("*").alias("kinds"))
+        counts = entries.select(F.col("key").alias("short"), F.col("n").alias("c"))
+        # what this order has of the symbols that the longer context excludes
+        asked = open_.where("came").select(_context(k + 1).alias("long")).distinct()
+        taken = longer.select(_context(k + 1).alias("long"), _last(k + 1).alias("short")).join(asked, "long", "left_semi")
+        taken = taken.join(_few(counts, k + 1), "short").groupBy("long").agg(F.sum("c").alias("taken"), F.count("*").alias("gone"))
+
+        met = open_.withColumn("short", _last(k + 1)).withColumn("node", _context(k)).withColumn("long", _context(k + 1))
+        met = met.join(_few(counts, k + 1), "short", "left").join(_few(nodes, k), "node", "left").join(_few(taken, k + 1), "long", "left")
+        left = F.col("whole") - F.when(F.col("came"), F.col("taken")).otherwise(0)
+        kinds = F.col("kinds") - F.when(F.col("came"), F.col("gone")).otherwise(0)
+        hit = F.log10(2 * F.col("c") - 1) - F.log10(2 * left)
+        escape = F.when(left > 0, F.log10(kinds) - F.log10(2 * left)).otherwise(0.0)  # nothing left: the escape is certain
+        log = F.col("log") + F.when(F.col("c").isNotNull(), hit).when(F.col("whole").isNotNull(), escape).otherwise(0.0)
+        met = staged(met.select("key", "m", log.alias("log"), (F.col("came") | F.col("whole").isNotNull()).alias("came"), F.col("c").isNotNull().alias("hit")), "met")
+        done.append(met.where("hit").select("key", "m", "log"))
+        open_ = met.where("NOT hit").drop("hit")
+    symbols = entries.count() if order else grams.where("n > 0").count()  # of order 0: at most 256
+    rest = open_.select("key", "m", (F.col("log") - math.log10(max(256 - symbols, 1))).alias("log"))
+    for part in (*done, rest):
+        known = known.unionByName(part)
+    return known
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -248,56 +224,81 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score for each row; `learn` selects training rows by doc_id."""
-    rows = pick(docs, id_col, text_col)
-    training = rows.where(learn)
-    model = fit_ppm(training, order=order)
-    words = staged(count_words(training), "words")
-    ends = training.count()
+def _rests(h: np.ndarray, owner: np.ndarray, n: int) -> list[pa.Array]:
+    """For each of n rows its distinct keys, and how often each occurs."""
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])) if len(h) else np.empty(0, int)
+    cuts = np.searchsorted(owner[first], np.arange(n + 1)).astype(np.int32)
+    times = np.diff(np.append(first, len(h))).astype(np.int32)
+    return [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (h[first].view(np.int64), times)]
+
+
+def _top(table: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their values."""
+    found = table.select("key", value).toPandas()
+    keys = found["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found[value].to_numpy(float)[order]
+
+
+def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, share: int = SHARE, word_share: int = WORD_SHARE) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score for each row; `learn` selects training rows by doc_id.
+
+    `share` and `word_share` (most grams and words in a broadcast) decide where work is done, not what comes out."""
+    rows = pick(docs, id_col, text_col).withColumn("learn", F.coalesce(learn, F.lit(False)))
+    grams = staged(gram_counts(rows, order), "grams")
+    logs = staged(gram_logs(grams, order), "logs")
+    symbols = logs.agg(F.sum("m")).first()[0] or 0
+
+    words = staged(count_words(rows.where("learn")), "words")
+    ends = rows.where("learn").count()
     stats = words.agg(F.sum("n"), F.count("*")).first()
     n_all, kinds = (stats[0] or 0) + ends, stats[1] + (ends > 0)
-    scale = float(np.log10(n_all + 0.5 * (kinds + 1)))
+    scale = math.log10(n_all + 0.5 * (kinds + 1))
 
-    often = words.where(F.col("n") * WORD_SHARE >= n_all)  # at most WORD_SHARE rows
-    rare = words.where(F.col("n") * WORD_SHARE < n_all)
-    top: pd.DataFrame = often.toPandas()
-    order_of = np.argsort(top["key"].to_numpy(np.int64).view(np.uint64))
-    shared = docs.sparkSession.sparkContext.broadcast((model, top["key"].to_numpy(np.int64).view(np.uint64)[order_of], top["n"].to_numpy(np.int64)[order_of]))
+    often, rare = (logs.where(f"m * {share} {test} {symbols}") for test in (">=", "<"))
+    top, common = _top(often, "log"), _top(words.where(F.col("n") * word_share >= n_all), "n")
+    shared = docs.sparkSession.sparkContext.broadcast((top, common))
     kind = dict(rows.dtypes)["doc_id"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, keys, counts = shared.value
-        end_log = np.log10(ends + 0.5)
+        (gram_keys, gram_values), (word_keys, word_counts) = shared.value
+        gram_table, word_table = _Table(gram_keys), _Table(word_keys)
+        gram_values, word_logs = np.append(gram_values, 0.0), np.append(np.log10(word_counts + 0.5), 0.0)  # -1: found elsewhere
+        end_log = math.log10(ends + 0.5)
         for block in text_blocks(batches):
+            n = block.num_rows
             names, ids = _block_words(block)
-            h = _hashes(names)
-            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0)) if len(keys) else np.zeros(len(h), int)
-            met = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-            logs = np.where(met, np.log10(counts[at] + 0.5), 0.0) if len(keys) else np.zeros(len(h))
-            size, known, part, rest, times = [], [], [], [], []
-            for x in ids:
-                m = met[x]
-                size.append(len(x) + 1)
-                known.append(int(m.sum()) + (ends > 0))
-                part.append(float(logs[x].sum() + end_log))
-                u, k = np.unique(x[~m], return_counts=True)
-                rest.append(h[u].view(np.int64))
-                times.append(k.astype(np.int32))
-            cuts = np.cumsum([0, *map(len, rest)]).astype(np.int32)
-            total = trie.log10(*text_bytes(block.column("text")))
+            size = np.fromiter(map(len, ids), np.int64, n)
+            x, owner, h = np.concatenate(ids), np.repeat(np.arange(n), size), _hashes(names)
+            at, place = np.append(0, np.cumsum(size)), word_table.find(h)
+            part, known = sums_between(word_logs[place][x], at) + end_log, sums_between((place >= 0)[x], at, np.int64) + (ends > 0)
+            away = place[x] < 0
+            word_rests = _rests(h[x[away]], owner[away], n)
+
+            keys, cuts = coded_symbols(*text_bytes(block.column("text")), order)
+            place = gram_table.find(keys)
+            total, away = sums_between(gram_values[place], cuts), np.flatnonzero(place < 0)
+            gram_rests = _rests(keys[away], np.searchsorted(cuts, away, "right") - 1, n)
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(part, pa.float64()), pa.array(total, pa.float64()), pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(rest) if rest else [], pa.int64())), pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(times) if times else [], pa.int32()))],
-                ["doc_id", "n_tokens", "known", "part", "score", "rest", "times"],
+                [block.column("doc_id"), pa.array(size + 1), pa.array(known), pa.array(part), pa.array(total), *word_rests, *gram_rests],
+                ["doc_id", "n_tokens", "known", "part", "total", "words", "word_times", "grams", "gram_times"],
             )
 
-    scored = rows.mapInArrow(score, f"doc_id {kind}, n_tokens long, known long, part double, score double, rest array<long>, times array<int>")
+    lists = "words array<long>, word_times array<int>, grams array<long>, gram_times array<int>"
+    scored = rows.mapInArrow(score, f"doc_id {kind}, n_tokens long, known long, part double, total double, {lists}")
     scored = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    tail = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("row", F.col("w.rest").alias("key"), F.col("w.times").alias("times"))
-    c = F.coalesce("n", F.lit(0))
-    found = tail.join(rare, "key", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    out = scored.drop("rest", "times").join(found, "row", "left")
-    return out.select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("part") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * scale).alias("base_score"), "score",
+
+    def tail(keys: str, times: str) -> DataFrame:
+        return scored.select("row", F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(times).alias("times"))).alias("w")).select("row", "w.key", "w.times")
+
+    c, times = F.coalesce("n", F.lit(0)), F.col("times")
+    by_word = tail("words", "word_times").join(words, "key", "left").select("row", (times * F.log10(c + 0.5)).alias("part"), F.when(c > 0, times).otherwise(0).alias("known"), F.lit(0.0).alias("total"))
+    by_gram = tail("grams", "gram_times").join(rare, "key").select("row", F.lit(0.0).alias("part"), F.lit(0).alias("known"), (times * F.col("log")).alias("total"))
+    found = by_word.unionByName(by_gram).groupBy("row").agg(*(F.sum(x).alias(f"more_{x}") for x in ("part", "known", "total")))
+    more = lambda x: F.col(x) + F.coalesce(f"more_{x}", F.lit(0))
+    return scored.drop("words", "word_times", "grams", "gram_times").join(found, "row", "left").select(
+        "doc_id", "n_tokens", more("known").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
+        (more("part") - F.col("n_tokens") * scale).alias("base_score"), more("total").alias("score"),
     )
