@@ -4,16 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-
-def with_ordinal(df: DataFrame, order: str, name: str = "i") -> DataFrame:
-    """0-based position by `order` (a trajectory's own order), counted within ranges and offset by their sizes."""
-    ranged = df.repartitionByRange(order).withColumn("_range", F.spark_partition_id())
-    local = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1)
-    sizes = local.groupBy("_range").agg(F.count("*").alias("_size"))
-    offsets = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
-    return local.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_n")).drop("_range", "_n", "_before")
+from .asof import asof_join
+from .ordered import with_ordinal
 
 
 def trajectory_closest(poses: DataFrame, closest: DataFrame) -> DataFrame:
@@ -34,8 +27,8 @@ def zip_by_position(left: DataFrame, right: DataFrame, left_order: str, right_or
 def nearest_snapshot(poses: DataFrame, snapshots: DataFrame) -> DataFrame:
     """step_nr, snapshot_step: poses spread evenly over the snapshots' range, each with the nearest one, the smaller on a tie.
 
-    With as many poses as snapshots they are matched one to one. The neighbours below and above a target come from one
-    running window each over both tables.
+    With as many poses as snapshots they are matched one to one. The neighbours below and above a target come from an
+    as-of join each.
     """
     numbered = with_ordinal(poses.select("step_nr"), "step_nr")
     lo, hi, m = snapshots.agg(F.min("snapshot_step"), F.max("snapshot_step"), F.count("*")).first()
@@ -45,10 +38,10 @@ def nearest_snapshot(poses: DataFrame, snapshots: DataFrame) -> DataFrame:
     if m == n:
         return numbered.join(with_ordinal(snapshots, "snapshot_step"), "i").select("step_nr", "snapshot_step")
     target = F.floor(F.lit(float(lo)) + F.col("i") / F.lit(float(max(n - 1, 1))) * F.lit(float(hi - lo)))
-    wanted = numbered.select("step_nr", target.alias("at"), F.lit(None).cast("long").alias("s"))
-    both = wanted.unionByName(snapshots.select(F.lit(None).cast("long").alias("step_nr"), F.col("snapshot_step").alias("at"), F.col("snapshot_step").alias("s")))
-    below, above = Window.orderBy("at", F.col("s").isNull()).rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("at", F.col("s").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    both = both.withColumns({"b": F.last("s", True).over(below), "a": F.first("s", True).over(above)}).where("step_nr IS NOT NULL")
+    wanted = numbered.select("step_nr", target.alias("at"), (-target).alias("back"))
+    s = F.col("snapshot_step")
+    both = asof_join(wanted, snapshots.select(s.alias("at"), s.alias("b")), "at", values=["b"])
+    both = asof_join(both, snapshots.select((-s).alias("back"), s.alias("a")), "back", values=["a"])
     near = F.when(F.col("a").isNull() | (F.col("at") - F.col("b") <= F.col("a") - F.col("at")), F.col("b")).otherwise(F.col("a"))
     return both.select("step_nr", F.coalesce(near, "a").alias("snapshot_step"))
 

@@ -1,4 +1,4 @@
-"""Backward as-of joins as one union, one sort and one running window: no range join."""
+"""Backward as-of joins as one union, one sort and a running value, and numbers by first appearance: no range join."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ordered import last_so_far, with_ordinal
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str] = (), values: Sequence[str] = (), tie: str | None = None) -> DataFrame:
@@ -14,14 +15,13 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str] = ()
 
     Of right rows equal in `on` the largest `tie` wins. Null keys of left find nothing.
     """
-    order = [F.col(on), F.col("_side")] + ([F.col("_tie")] if tie else [])
+    order = [on, "_side"] + (["_tie"] if tie else [])
     packed = F.struct(*values)
     blank = F.lit(None).cast(right.select(packed.alias("v")).schema["v"].dataType)
     row = F.struct(*(F.col(c) for c in left.columns))
     lefts = left.select(*by, on, F.lit(1).alias("_side"), *([F.lit(None).cast(dict(right.dtypes)[tie]).alias("_tie")] if tie else []), row.alias("_row"), blank.alias("_value"))
     rights = right.where(F.col(on).isNotNull()).select(*by, on, F.lit(0).alias("_side"), *([F.col(tie).alias("_tie")] if tie else []), F.lit(None).cast(lefts.schema["_row"].dataType).alias("_row"), packed.alias("_value"))
-    so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    both = lefts.unionByName(rights).withColumn("_value", F.last("_value", ignorenulls=True).over(so_far))
+    both = last_so_far(lefts.unionByName(rights), by, order, "_value")
     return both.where("_side = 1").select("_row.*", *(F.col(f"_value.{v}").alias(v) for v in values))
 
 
@@ -34,13 +34,7 @@ def label_points(closest: DataFrame, labels: DataFrame, default: str = "unknown"
 def object_numbers(detections: DataFrame, key: str, step: str = "step_nr") -> DataFrame:
     """A dense number for each object in order of first appearance (ties by key), never reused.
 
-    The objects are ranked within ranges of a range partitioning, whose offsets come from the range sizes, so the
-    ranking isn't done by a single task.
+    The objects are ranked within ranges, so the ranking isn't done by a single task.
     """
     first = detections.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(step).alias("first_step"))
-    placed = first.repartitionByRange("first_step", key).withColumn("_range", F.spark_partition_id())
-    local = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy("first_step", key)))
-    sizes = local.groupBy("_range").agg(F.max("_n").alias("_size"))
-    # one row a partition
-    offsets = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
-    return local.join(F.broadcast(offsets), "_range").select(key, "first_step", (F.col("_before") + F.col("_n")).cast("long").alias("object_nr"))
+    return with_ordinal(first, "first_step", key, name="_place").select(key, "first_step", (F.col("_place") + 1).cast("long").alias("object_nr"))

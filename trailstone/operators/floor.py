@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..plans.staging import written
+from .ordered import over_recent
 from .sampling import lcg
 
 #: Fixed values of the score: inliers weighted by horizontality, horizontality, camera support.
@@ -17,13 +18,10 @@ LEVEL, EXCELLENT_LEVEL, EXCELLENT_SUPPORT = 0.7, 0.95, 0.8
 
 
 def gravity(poses: DataFrame, window: int = 30, first: int = 10) -> DataFrame:
-    """step_nr, gx, gy, gz: mean camera-down of the oldest `first` poses of the last `window`; (0,0,-1) if it vanishes.
-
-    `poses` is one run: its frames have a total order, which the running window needs.
-    """
+    """step_nr, gx, gy, gz: mean camera-down of the oldest `first` poses of the last `window`; (0,0,-1) if it vanishes."""
     down = g.down(g.pose_quaternion())
-    w = Window.orderBy("step_nr").rowsBetween(-(window - 1), 0)
-    kept = poses.select("step_nr", F.slice(F.collect_list(F.struct(*(d.alias(k) for d, k in zip(down, "xyz", strict=True)))).over(w), 1, first).alias("d"))
+    downs = poses.select("step_nr", F.struct(*(d.alias(k) for d, k in zip(down, "xyz", strict=True))).alias("down"))
+    kept = over_recent(downs, "step_nr", window - 1, "d", F.collect_list("down")).withColumn("d", F.slice("d", 1, first))
     total = [F.aggregate(F.col(f"d.{k}"), F.lit(0.0), lambda s, v: s + v) / F.size("d") for k in "xyz"]
     mean = kept.select("step_nr", *(t.alias(k) for t, k in zip(total, "xyz", strict=True)))
     size = g.norm(g.vec())

@@ -12,6 +12,7 @@ from ..functions import geometry as g
 from ..functions import proximity
 from ..operators import align, asof, floor, fusion, graph, knn, masks, memory, sampling, scene, stats, video
 from ..operators import points as pt
+from ..operators.ordered import over_recent
 from ..sources import bindings as b
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,8 +159,8 @@ def warning_messages(spark, d):
     "points poses segment_labels",
 )
 def warning_transitions(spark, d):
-    # one run's frames are totally ordered, a row a frame
-    s = _warned(spark, d).select("step_nr", "level").withColumn("previous", F.lag("level").over(Window.orderBy("step_nr")))
+    last_two = over_recent(_warned(spark, d).select("step_nr", "level"), "step_nr", 1, "levels", F.collect_list("level"))
+    s = last_two.select("step_nr", "level", F.when(F.size("levels") > 1, F.col("levels")[0]).alias("previous"))
     return s.where("previous IS NULL OR previous <> level")
 
 
