@@ -73,6 +73,25 @@ def test_assignments_of_secrets():
         assert len(spans) == 1 and out != text and P.apply(out, back=True)[0] == text
 
 
+@pytest.mark.parametrize("text", ['TOKEN = "068C00265143945820A8ECF7C"', "API_KEY=Abc123xyZ", "Password: hunter2x", "db_password=2594be4dd6", '{"token": "Abc123xyZ"}', '{\\"token\\": \\"Abc123xyZ\\"}', "authToken='Abc123xyZ'"])
+def test_key_names_in_any_case_prefixed_or_quoted(text):
+    out, spans = P.apply(text)
+    assert [s[2] for s in spans] == ["secret"] and out != text and P.apply(out, back=True)[0] == text
+
+
+@pytest.mark.parametrize("text", ["monkey: business", "TOKENS of thanks", "turkey=delicious", "Key facts follow"])
+def test_words_that_only_end_like_key_names_stay(text):
+    assert P.apply(text) == (text, [])
+
+
+@pytest.mark.parametrize("value", ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (212) 055-0100"])
+def test_phones_with_an_unassigned_area_keep_that_and_invert(value):
+    out, spans = P.apply(f"call {value} now")
+    new = out[5:-4]
+    assert spans == [(5, 22, "phone")] and new != value and new[:4] == "+1 (" and (new[4] in "01" or new[9] in "01")
+    assert P.apply(out, back=True)[0] == f"call {value} now"
+
+
 def test_documents_round_trip(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     done = pii.pseudonymise(docs, b"k")

@@ -7,7 +7,9 @@ validates too, equal values get equal pseudonyms in all documents whatever their
 invert the text. Work is local to a row: no shuffle, and the key is all that is sent.
 
 Kinds: card, phone, ssn, iban, ipv4, email (local part), date, secret (values of password/token/key assignments and
-access-key ids). Where candidates overlap the earlier wins, then the longer.
+access-key ids). Key names are in any case, quoted or not, and may end a longer name (db_password, authToken). Phones
+written +1 (NNN) NNN-NNNN count also where the plan has no such area or exchange; their pseudonyms are such numbers too.
+Where candidates overlap the earlier wins, then the longer.
 
 Defined cases: null and empty texts come back empty with no spans; text without accepted values comes back as it was;
 repeated rows come back alike; other columns of the input don't matter; an empty table gives no rows.
@@ -34,13 +36,13 @@ _FIRST_DAY, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() -
 _SHAPES = [
     ("date", re.compile(r"[0-9]{2}(?<![\w/.-][0-9]{2})(?:[0-9]{2}([-/.])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|([-/.])[0-3][0-9]\2(?:19|20)[0-9]{2})(?![\w]|[-/.][0-9])")),
     ("card", re.compile(r"[0-9](?<![\w.+][0-9])(?:[ -]?[0-9]){12,18}(?![\w]|[.][0-9])")),
-    ("phone", re.compile(r"[+(2-9](?<![\w.][+(2-9])(?:(?<=[+])1[ .-]?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}|(?<=[(])[2-9][0-9]{2}\)[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}|(?<=[2-9])[0-9]{2}[.-][2-9][0-9]{2}[.-][0-9]{4}|(?<=[+])[2-9][0-9]{0,2}(?:[ .-]?[0-9]){6,13})(?!\w)")),
+    ("phone", re.compile(r"[+(2-9](?<![\w.][+(2-9])(?:(?<=[+])1[ .-]?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}|(?<=[+])1[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?<=[(])[2-9][0-9]{2}\)[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}|(?<=[2-9])[0-9]{2}[.-][2-9][0-9]{2}[.-][0-9]{4}|(?<=[+])[2-9][0-9]{0,2}(?:[ .-]?[0-9]){6,13})(?!\w)")),
     ("ssn", re.compile(r"[0-9]{3}(?<![\w.-][0-9]{3})-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("iban", re.compile(r"[A-Z]{2}(?<!\w[A-Z]{2})[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("ipv4", re.compile(r"(?<![\w.-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w-]|\.[0-9])")),
     ("email", re.compile(r"[A-Za-z0-9](?<![\w.+%-].)[A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\w-])")),
     ("secret", re.compile(r"AKIA(?<!\wAKIA)[0-9A-Z]{16}(?!\w)")),
-    ("secret", re.compile(r"[pstka](?<!\w.)(?:assword|asswd|ecret|ecret_key|oken|pi_key|ccess_key|ey)\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9][A-Za-z0-9_+/.-]{6,})")),
+    ("secret", re.compile(r"[pstkaPSTKA](?:(?<![^\W_].)|(?<=[a-z][PSTKA]))(?i:assword|asswd|ecret|ecret[_-]?key|oken|pi[_-]?key|ccess[_-]?key|ey)(?:\\?[\"'])?\s*[=:]\s*(?:\\?[\"'])?(?P<value>[A-Za-z0-9][A-Za-z0-9_+/.-]{6,})")),
 ]
 
 
@@ -133,14 +135,23 @@ class Pseudonymiser:
         if shown[0] == "+" and d[0] != "1":
             return _refill(shown, d[:2] + self._number(d[2:], "phone" + d[:2], back)) if 8 <= len(d) <= 15 and d[0] != "0" else None
         country, d = d[:-10], d[-10:]
-        if len(d) != 10 or country not in ("", "1") or d[0] < "2" or d[3] < "2":
+        if len(d) != 10 or country not in ("", "1"):
             return None
+        if d[0] < "2" or d[3] < "2":
+            return _refill(shown, country + self._unassigned(d, back)) if shown[0] == "+" and "(" in shown else None
         x = ((int(d[0]) - 2) * 100 + int(d[1:3])) * 800 + (int(d[3]) - 2) * 100 + int(d[4:6])
         x = self.feistel.permute(x * 10_000 + int(d[6:]), 6_400_000_000, b"phone1", back)
         x, line = divmod(x, 10_000)
         area, exchange = divmod(x, 800)
         return _refill(shown, f"{country}{area + 200}{exchange + 200}{line:04d}")
 
+    def _unassigned(self, d: str, back: bool) -> str:
+        """Walks on within the ten digits that the number plan gives to nobody."""
+        while True:
+            d = self._number(d, "phone0", back)
+            if d[0] < "2" or d[3] < "2":
+                return d
+
     def ssn(self, shown: str, back: bool) -> str | None:
         area, group, serial = int(shown[:3]), int(shown[4:6]), int(shown[7:])
         if area in (0, 666) or area >= 900 or not group or not serial:
