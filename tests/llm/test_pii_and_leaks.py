@@ -92,6 +92,29 @@ def test_phones_with_an_unassigned_area_keep_that_and_invert(value):
     assert P.apply(out, back=True)[0] == f"call {value} now"
 
 
+@pytest.mark.parametrize("around", ["{} 123", "{} 12/26", "12 {}", "123 {} 12", "1234 {}", "{} 5500 0000 0000 0004", "on 2024-01-02 {}", "078-05-1120 {} 1"])
+@pytest.mark.parametrize("card", ["4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "5500000000000004"])
+def test_cards_with_numbers_beside_them(around, card):
+    text = f"paid {around.format(card)}."
+    out, spans = P.apply(text)
+    at = text.index(card)
+    assert any(k == "card" and a <= at and at + len(card) <= b for a, b, k in spans) and card not in out
+    assert P.apply(out, back=True)[0] == text
+
+
+def test_runs_with_several_cards_invert():
+    rnd = random.Random(5)
+    for _ in range(300):
+        parts = []
+        for _ in range(rnd.randrange(1, 7)):
+            d = rnd.choice("3456") + "".join(rnd.choice("0123456789") for _ in range(14))
+            d += pii.luhn_digit(d)
+            parts.append(rnd.choice([d, f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}", str(rnd.randrange(10000)), str(rnd.randrange(1000))]))
+        text = " ".join(parts)
+        out, spans = P.apply(text)
+        assert P.apply(out)[1] == spans and P.apply(out, back=True)[0] == text
+
+
 def test_documents_round_trip(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     done = pii.pseudonymise(docs, b"k")

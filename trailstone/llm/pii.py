@@ -9,7 +9,9 @@ invert the text. Work is local to a row: no shuffle, and the key is all that is
 Kinds: card, phone, ssn, iban, ipv4, email (local part), date, secret (values of password/token/key assignments and
 access-key ids). Key names are in any case, quoted or not, and may end a longer name (db_password, authToken). Phones
 written +1 (NNN) NNN-NNNN count also where the plan has no such area or exchange; their pseudonyms are such numbers too.
-Where candidates overlap the earlier wins, then the longer.
+Cards are found with other
+numbers before or behind them (expiry, CVV); where a pseudonym would make such a neighbour part of a card it is walked
+on, the one case in which equal cards can get different pseudonyms. Where candidates overlap the earlier wins, then the longer.
 
 Defined cases: null and empty texts come back empty with no spans; text without accepted values comes back as it was;
 repeated rows come back alike; other columns of the input don't matter; an empty table gives no rows.
@@ -18,6 +20,7 @@ repeated rows come back alike; other columns of the input don't matter; an empty
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import date
 from hashlib import blake2b
@@ -35,7 +38,6 @@ _FIRST_DAY, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() -
 #: characters, so that the bulk of a text is passed over quickly.
 _SHAPES = [
     ("date", re.compile(r"[0-9]{2}(?<![\w/.-][0-9]{2})(?:[0-9]{2}([-/.])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|([-/.])[0-3][0-9]\2(?:19|20)[0-9]{2})(?![\w]|[-/.][0-9])")),
-    ("card", re.compile(r"[0-9](?<![\w.+][0-9])(?:[ -]?[0-9]){12,18}(?![\w]|[.][0-9])")),
     ("phone", re.compile(r"[+(2-9](?<![\w.][+(2-9])(?:(?<=[+])1[ .-]?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}|(?<=[+])1[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?<=[(])[2-9][0-9]{2}\)[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}|(?<=[2-9])[0-9]{2}[.-][2-9][0-9]{2}[.-][0-9]{4}|(?<=[+])[2-9][0-9]{0,2}(?:[ .-]?[0-9]){6,13})(?!\w)")),
     ("ssn", re.compile(r"[0-9]{3}(?<![\w.-][0-9]{3})-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("iban", re.compile(r"[A-Z]{2}(?<!\w[A-Z]{2})[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
@@ -44,6 +46,11 @@ _SHAPES = [
     ("secret", re.compile(r"AKIA(?<!\wAKIA)[0-9A-Z]{16}(?!\w)")),
     ("secret", re.compile(r"[pstkaPSTKA](?:(?<![^\W_].)|(?<=[a-z][PSTKA]))(?i:assword|asswd|ecret|ecret[_-]?key|oken|pi[_-]?key|ccess[_-]?key|ey)(?:\\?[\"'])?\s*[=:]\s*(?:\\?[\"'])?(?P<value>[A-Za-z0-9][A-Za-z0-9_+/.-]{6,})")),
 ]
+#: Runs of digit groups a space or dash apart, and the candidates that follow each other in them whatever their grouping.
+_RUN = re.compile(r"[0-9](?<![\w.+][0-9])(?:[ -]?[0-9]){12,}(?![\w]|[.][0-9])")
+_CHUNK = re.compile(r"[0-9](?<![\w.+][0-9])(?:[ -]?[0-9]){12,18}(?![\w]|[.][0-9])")
+#: Lengths of the groups that cards are written in; such candidates are tried at every group, with a first digit of 2 to 6.
+_GROUPED = re.compile(r"1[3-9]|4 4 4 4(?: [1-3])?|4 4 4 1|4 6 [45]|6 (?:[7-9]|1[0-3])")
 
 
 class Feistel:
@@ -88,6 +95,10 @@ def iban_digits(country: str, account: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in account + country + '00')) % 97:02d}"
 
 
+def is_card(digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and digits[0] != "0" and luhn_digit(digits[:-1]) == digits[-1]
+
+
 def _refill(shape: str, chars: str) -> str:
     """The digits (or letters) of `shape` replaced one by one, separators left."""
     it = iter(chars)
@@ -125,11 +136,63 @@ class Pseudonymiser:
 
     def card(self, shown: str, back: bool) -> str | None:
         d = re.sub(r"\D", "", shown)
-        if not 13 <= len(d) <= 19 or d[0] == "0" or luhn_digit(d[:-1]) != d[-1]:
+        if not is_card(d):
             return None
         head = d[0] + self._number(d[1:-1], "card" + d[0], back)  # the issuer's class stays
         return _refill(shown, head + luhn_digit(head))
 
+    def cards(self, text: str, taken: list[tuple[int, int]], back: bool) -> Iterator[tuple[int, int, str, str]]:
+        """Cards in runs of digits, also with other numbers next to them; groups in `taken` spans belong to no grouped one.
+
+        The rank of a candidate comes from the run's shape. A pseudonym that makes another candidate validate and outrank
+        its card would not be found again, so it is walked on.
+        """
+        for m in _RUN.finditer(text):
+            groups = [g.span() for g in re.finditer("[0-9]+", text[m.start() : m.end()])]
+            groups = [(a + m.start(), b + m.start()) for a, b in groups]
+            shaped = []
+            for i in range(len(groups)):
+                lengths: list[int] = []
+                for a, b in groups[i : i + 19]:
+                    if sum(lengths) + b - a > 19 or any(a < y and x < b for x, y in taken):
+                        break
+                    lengths.append(b - a)
+                    if _GROUPED.fullmatch(" ".join(map(str, lengths))):
+                        shaped.append((groups[i][0], b))
+            chunks = [c.span() for c in _CHUNK.finditer(text, m.start(), m.end())]
+            # a chunk that holds all of each grouped candidate it touches comes first, one that cuts some comes last
+            ranked = [((1, a - b, a), a, b, "23456") for a, b in shaped]
+            for a, b in chunks:
+                near = shaped[bisect_left(shaped, (a - 40,)) : bisect_left(shaped, (b,))]
+                cuts = any(x < b and a < y and not (a <= x and y <= b) for x, y in near)
+                ranked.append(((2 if cuts else 0, a - b, a), a, b, "123456789"))
+            now = text[m.start() : m.end()]
+
+            def valid(c: tuple, now: str, at: int = m.start()) -> bool:
+                d = re.sub(r"\D", "", now[c[1] - at : c[2] - at])
+                return d[0] in c[3] and is_card(d)
+
+            picked: list[tuple[int, int, tuple]] = []
+            for c in sorted(c for c in ranked if valid(c, now)):
+                k = bisect_left(picked, (c[1],))
+                if (k == 0 or picked[k - 1][1] <= c[1]) and (k == len(picked) or c[2] <= picked[k][0]):
+                    picked.insert(k, (c[1], c[2], c[0]))
+            ranked.sort(key=lambda c: c[1])
+            starts = [c[1] for c in ranked]
+            own = {(a, b) for a, b, _ in picked}
+            for a, b, _ in reversed(picked) if back else picked:
+                rivals = []  # candidates that touch this card and that no picked one of better rank touches
+                for c in ranked[bisect_left(starts, a - 40) : bisect_left(starts, b)]:
+                    if c[2] > a and (c[1], c[2]) not in own:
+                        beside = picked[max(0, bisect_left(picked, (c[1],)) - 1) : bisect_left(picked, (c[2],))]
+                        if not any(x < c[2] and c[1] < y and rank < c[0] for x, y, rank in beside):
+                            rivals.append(c)
+                while True:
+                    now = now[: a - m.start()] + self.card(now[a - m.start() : b - m.start()], back) + now[b - m.start() :]
+                    if not any(valid(c, now) for c in rivals):
+                        break
+            yield from ((a, b, "card", now[a - m.start() : b - m.start()]) for a, b, _ in picked)
+
     def phone(self, shown: str, back: bool) -> str | None:
         d = re.sub(r"\D", "", shown)
         if shown[0] == "+" and d[0] != "1":
@@ -236,6 +299,7 @@ class Pseudonymiser:
                 new = getattr(self, kind)(m.group(g), back)
                 if new is not None:
                     found.append((m.start(g), m.end(g), kind, new))
+        found += self.cards(text, [x[:2] for x in found if x[2] in ("date", "ssn")], back)
         found.sort(key=lambda x: (x[0], -x[1]))
         apart, end = [], 0
         for x in found:
