@@ -177,3 +177,25 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     whole = {(r.doc_id, r.item_id) for r in dc.find_leaks(docs, bench).collect()}
     monkeypatch.setattr(dc, "ITEM_CHARS", 3000)
     assert whole and {(r.doc_id, r.item_id) for r in dc.find_leaks(docs, bench).collect()} == whole
+
+
+def leaked(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in dc.find_leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+
+
+def test_passages_of_long_items_and_scattered_ones_are_leaks(spark):
+    rnd = random.Random(3)
+    w = [f"i{rnd.randrange(10**6)}" for _ in range(500)]
+    clean = lambda n: [f"c{rnd.randrange(10**6)}" for _ in range(n)]
+    short = [f"s{rnd.randrange(10**6)}" for _ in range(45)]
+    texts = [clean(50) + w[200:400] + clean(30), clean(20) + w[317:347] + clean(20), clean(9) + w[10:22] + clean(40) + w[400:412] + clean(40) + w[250:262], clean(9) + short[:14] + clean(60) + short[30:44], clean(9) + short[:14] + clean(60) + short[:14], clean(300) + w[5:17], w]
+    found = leaked(spark, [" ".join(t) for t in texts], [" ".join(w), " ".join(short)])
+    assert set(found) == {(0, 0), (1, 0), (2, 0), (3, 1), (6, 0)}
+    assert 0.38 < found[0, 0].score < 0.42 and found[6, 0].score > 0.99 and found[3, 1].score > 0.6
+
+
+def test_items_too_short_for_seeds_are_found_whole(spark):
+    items = ["Photosynthesis converts sunlight", "日本国憲法の第九条は何を定めますか", "yes", "two words"]
+    texts = ["He said that photosynthesis, converts SUNLIGHT daily.", "問題：日本国憲法の第九条は何を定めますか。答え", "Yes!", "oh yes, two words more", "photosynthesis converts sunlightly", "日本国憲法の第九条", "Two words"]
+    assert set(leaked(spark, texts, items)) == {(0, 0), (1, 1), (2, 2), (6, 3)}

@@ -4,13 +4,18 @@ Test items are cut into n-grams of SEED words. A first pass over all texts count
 every SPAN neighbouring n-grams of an item the RARE rarest become its seeds, so each stretch of each item keeps seeds,
 also where the whole item has been copied into many documents. A second pass finds the seeds in the texts, takes the
 passage around each diagonal (document position minus item position) and aligns it with the item: +2 for equal words,
--1 for others, -1 for a gap. The score is the best local alignment over what an unedited copy would get.
+-1 for others, -1 for a gap. Items over PIECE words are aligned in pieces of PIECE words that overlap by half. The passages
+of an item that a text holds are added up where they come from different words of the item; the score is that sum over what
+an unedited copy would get. A leak has LEAK of an unedited copy's score, of items over PIECE words LEAK of a piece's.
+
+Items of fewer than MIN_WORDS words (any item in a script without spaces) are looked up whole: within a text from
+SHORT_BYTES bytes on, where the words are ASCII only at word boundaries; shorter ones only as the whole text.
 
 Items are read and broadcast in blocks of at most ITEM_CHARS characters; a larger benchmark means more passes, never a
 larger broadcast. Hits stay with their text: no shuffle but of the n-gram counts.
 
 Defined cases: words are runs of letters, digits and non-ASCII bytes, in lower case; null and empty texts and items match
-nothing; items with fewer than MIN_WORDS words are too short to tell a leak from chance and match nothing; repeated rows
+nothing; a passage of fewer than PART words is too short to tell from chance and isn't added to others; repeated rows
 of either table give a row each (rows with equal ids: the best of them); other columns of the inputs don't matter; an
 empty table on either side gives no rows.
 """
@@ -31,6 +36,10 @@ from .common import pick, text_blocks
 SEED, SPAN, RARE, MIN_WORDS, ITEM_CHARS = 3, 4, 2, 5, 8_000_000
 #: Share of an unedited copy's score from which a passage counts as a leak.
 LEAK = 0.45
+#: Words of a piece of a long item; words from which a passage is added to others; bytes of the shortest item looked up within texts.
+PIECE, PART, SHORT_BYTES = 60, 8, 20
+#: Characters by which items in scripts without spaces are looked up; SHORT_BYTES has as many at least.
+_HEAD = 5
 #: Words around a seed's diagonal that alignment may wander.
 SLACK = 12
 _WORD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
@@ -44,12 +53,31 @@ class Seeds:
     """The n-grams of a block of items, by code; the codes of a text's n-grams."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, texts = [], []
+        self.ids, self.sizes, texts = [], [], []
+        self.owner, self.offset = [], []  # of each aligned entry, an item or a piece of one: the item and the entry's first word
+        self.whole: dict[str, list[int]] = {}
+        self.short: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
+        self.heads: dict[str, list[tuple[str, int]]] = {}
         for i, text in items:
             words = words_of(text or "")
+            if not words:
+                continue
+            k = len(self.ids)
+            self.ids.append(i)
+            self.sizes.append(len(words))
             if len(words) >= MIN_WORDS:
-                self.ids.append(i)
-                texts.append(words)
+                starts = [*range(0, len(words) - PIECE, PIECE // 2), len(words) - PIECE] if len(words) > PIECE else [0]
+                self.owner += [k] * len(starts)
+                self.offset += starts
+                texts += [words[a : a + PIECE] for a in starts]
+                continue
+            joined = b" ".join(words)
+            if len(joined) < SHORT_BYTES:
+                self.whole.setdefault(joined.decode(), []).append(k)
+            elif joined.isascii():
+                self.short.setdefault(len(words), {}).setdefault(tuple(words), []).append(k)
+            else:
+                self.heads.setdefault(joined.decode()[:_HEAD], []).append((joined.decode(), k))
         self.vocabulary: dict[bytes, int] = {}
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in t], np.int64) for t in texts]
         self.base = len(self.vocabulary) + 1
@@ -70,6 +98,24 @@ class Seeds:
             code, known = code * self.base + part, known & (part >= 0)
         return np.where(known, code, -1)
 
+    def looked_up(self, text: str) -> list[tuple[int, int]]:
+        """Items too short for seeds that the text holds whole, and the word after each."""
+        if not (self.whole or self.short or self.heads):
+            return []
+        words = words_of(text)
+        joined = b" ".join(words).decode()
+        found = dict.fromkeys(self.whole.get(joined, ()), len(words))
+        for n, among in self.short.items():
+            for i in range(len(words) - n + 1):
+                for k in among.get(tuple(words[i : i + n]), ()):
+                    found.setdefault(k, i + n)
+        if self.heads and not joined.isascii():
+            for i in range(len(joined) - _HEAD + 1):
+                for whole, k in self.heads.get(joined[i : i + _HEAD], ()):
+                    if k not in found and joined.startswith(whole, i):
+                        found[k] = joined.count(" ", 0, i + len(whole)) + 1
+        return list(found.items())
+
     def numbers(self, text: str) -> np.ndarray:
         words = words_of(text)
         return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
@@ -119,12 +165,12 @@ class Seeds:
         return np.array(items), np.array(starts) - SLACK
 
 
-def align(items: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best local alignment score of each row's item (padded with -2) with its passage (padded with -1), and its end."""
+def align(items: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best local alignment score of each row's item (padded with -2) with its passage (padded with -1), its end in both."""
     n, wide = passages.shape
     column = np.arange(wide)
     above = np.zeros((n, wide + 1), np.int32)
-    best, end = np.zeros(n, np.int32), np.zeros(n, np.int64)
+    best, end, last = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i in range(items.shape[1]):
         match = np.where(passages == items[:, i : i + 1], 2, -1).astype(np.int32)
         row = np.maximum(np.maximum(above[:, :-1] + match, above[:, 1:] - 1), 0)
@@ -133,8 +179,17 @@ def align(items: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarr
         top = row.argmax(1)
         value = row[np.arange(n), top]
         better = value > best
-        best[better], end[better] = value[better], top[better]
-    return best, end
+        best[better], end[better], last[better] = value[better], top[better], i
+    return best, end, last
+
+
+def _added_up(passages: list[tuple[int, int, int]]) -> float:
+    """Scores of (score, first, after) passages of an item, the higher first; the others count by their new words."""
+    total, held = 0.0, np.zeros(max(p[2] for p in passages), bool)
+    for score, first, after in sorted(passages, reverse=True):
+        total += score * (1 - held[first:after].mean())
+        held[first:after] = True
+    return total
 
 
 def _scan(seeds: Seeds, texts: list[str], leak: float) -> list[tuple[int, int, float, int]]:
@@ -147,7 +202,7 @@ def _scan(seeds: Seeds, texts: list[str], leak: float) -> list[tuple[int, int, f
         if len(items):
             held[t] = words
             rows += [(t, int(i), int(s)) for i, s in zip(items, starts, strict=True)]
-    best: dict[tuple[int, int], tuple[float, int]] = {}
+    parts: dict[tuple[int, int], list[tuple[int, int, int, int, int, int]]] = {}
     rows.sort(key=lambda r: len(seeds.words[r[1]]))
     for start in range(0, len(rows), 512):
         part = rows[start : start + 512]
@@ -159,16 +214,28 @@ def _scan(seeds: Seeds, texts: list[str], leak: float) -> list[tuple[int, int, f
             left[k, : len(item)] = item
             piece = words[max(s, 0) : max(s, 0) + len(item) + 3 * SLACK]
             right[k, : len(piece)] = piece
-        scores, ends = align(left, right)
-        for (t, i, s), score, end in zip(part, scores.tolist(), ends.tolist(), strict=True):
-            share = score / (2 * len(seeds.words[i]))
-            if share >= leak and share > best.get((t, i), (0.0, 0))[0]:
-                best[t, i] = share, max(s, 0) + end + 1
-    return [(t, i, share, end) for (t, i), (share, end) in best.items()]
+        scores, ends, lasts = align(left, right)
+        for (t, i, s), score, end, last in zip(part, scores.tolist(), ends.tolist(), lasts.tolist(), strict=True):
+            if score >= 2 * PART or score >= leak * 2 * len(seeds.words[i]):
+                parts.setdefault((t, seeds.owner[i]), []).append((score, max(s, 0) + end + 1, i, max(s, 0), end + 1, last + 1))
+    out = []
+    for (t, k), passages in parts.items():
+        size, least = 2 * seeds.sizes[k], leak * 2 * min(seeds.sizes[k], PIECE)
+        total, end = max(passages)[:2]
+        if len(passages) > 1 and (total < least or size > 2 * PIECE):
+            ranges = []
+            for score, _, i, s, wide, last in passages:  # backwards from its end, the alignment ends where it began
+                piece = held[t][s : s + wide][::-1]
+                back = align(seeds.words[i][:last][::-1][None], piece[None])[2][0]
+                ranges.append((score, seeds.offset[i] + last - 1 - int(back), seeds.offset[i] + last))
+            total = max(total, min(_added_up(ranges), size))
+        if total >= least:
+            out.append((t, k, total / size, end))
+    return out + [(t, k, 1.0, end) for t, text in enumerate(texts) for k, end in seeds.looked_up(text)]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """doc_id, item_id, score (share of an unedited copy's, 0 to 1) and end_word for each text and item it leaks."""
+    """doc_id, item_id, score (share of an unedited copy's, 0 to 1) and end_word (of the best passage) for each text and item it leaks."""
     spark = docs.sparkSession
     rows = pick(docs, id_col, text_col)
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col("text"))
