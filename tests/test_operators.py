@@ -172,6 +172,18 @@ def test_floor_schedule_and_score(spark):
     assert floor.best_plane(floor.score_planes(plane, sample, cameras), min_inliers=100).count() == 0
 
 
+def test_floor_sample_follows_the_ratio_up_to_its_bound(spark):
+    points = spark.range(20_000).selectExpr("id AS point_id", "(id * 7919 % 1000) * 0.01D AS x", "(id % 3) * 0.02D AS y", "(id * 104729 % 997) * 0.01D AS z")
+    planes, sample = floor.hypotheses(points)
+    assert sample.count() == 3000 and 900 < planes.count() <= 1000
+    assert floor.hypotheses(points, 1, ratio=1.0)[1].count() == 15_000
+    cameras = spark.createDataFrame([(0.0, 1.5, 0.0)], "tx double, ty double, tz double")
+    scored = floor.score_planes(planes, sample, cameras).toPandas().set_index("iter")
+    p = sample.toPandas()
+    for r in planes.limit(50).collect():
+        assert scored.loc[r.iter, "inliers"] == (abs(p.x * r.nx + p.y * r.ny + p.z * r.nz - r.d) < 0.05).sum()
+
+
 def test_sampling_sizes(spark):
     points = spark.range(1000).selectExpr("id AS point_id", "id % 10 AS x", "id % 7 AS y", "id * 0.01D AS z", "id % 3 AS step_nr")
     assert sampling.exact_sample(points, 0.333).count() == 333

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import geometry as g
 from ..plans.staging import written
 from .ordered import over_recent
-from .sampling import lcg
+from .sampling import exact_sample, lcg
 
 #: Fixed values of the score: inliers weighted by horizontality, horizontality, camera support.
 INLIER_WEIGHT, LEVEL_WEIGHT, SUPPORT_WEIGHT = 10.0, 1000.0, 500.0
@@ -28,14 +28,14 @@ def gravity(poses: DataFrame, window: int = 30, first: int = 10) -> DataFrame:
     return mean.select("step_nr", *(F.round(F.when(size > 1e-6, F.col(k) / size).otherwise(F.lit(d)), 6).alias(f"g{k}") for k, d in zip("xyz", (0.0, 0.0, -1.0), strict=True)))
 
 
-def hypotheses(points: DataFrame, n_iter: int = 300, sample: int = 1500, seed: int = 0, expected: tuple[float, float, float] = (0.0, 1.0, 0.0)) -> tuple[DataFrame, DataFrame]:
+def hypotheses(points: DataFrame, n_iter: int = 1000, sample: int = 15_000, seed: int = 0, expected: tuple[float, float, float] = (0.0, 1.0, 0.0), ratio: float = 0.15) -> tuple[DataFrame, DataFrame]:
     """(planes, sample): n_iter planes through three sampled points each, oriented along `expected`.
 
-    The sample is the first `sample` points in seeded order (a bound, at most 15,000 in use), the triples are seeded
-    places in it; degenerate triples give no plane.
+    The sample is the first min(int(n * ratio), sample) points in seeded order, the triples are seeded places in it;
+    degenerate triples give no plane.
     """
     spark = points.sparkSession
-    picked = points.orderBy(lcg(F.col("point_id"), seed), "point_id").limit(sample).select("point_id", "x", "y", "z")
+    picked = exact_sample(points, ratio, sample, seed=seed).select("point_id", "x", "y", "z")
     numbered = written(picked.withColumn("o", F.row_number().over(Window.orderBy(lcg(F.col("point_id"), seed), "point_id")) - 1), "sample")  # `sample` rows
     n = numbered.count()
     if n < 3:
@@ -72,7 +72,7 @@ def score_planes(planes: DataFrame, sample: DataFrame, cameras: DataFrame, thres
     return out.withColumn("score", F.col("inliers") * F.col("horizontality") * INLIER_WEIGHT + F.col("horizontality") * LEVEL_WEIGHT + F.col("support") * SUPPORT_WEIGHT)
 
 
-def best_plane(scored: DataFrame, min_inliers: int = 300) -> DataFrame:
+def best_plane(scored: DataFrame, min_inliers: int = 1000) -> DataFrame:
     """The best valid hypothesis up to the first excellent one; the earlier of equal scores. No row if none is valid."""
     valid = scored.where((F.col("horizontality") > LEVEL) & (F.col("inliers") >= min_inliers // 4))
     excellent = (F.col("horizontality") > EXCELLENT_LEVEL) & (F.col("support") > EXCELLENT_SUPPORT) & (F.col("inliers") > min_inliers)

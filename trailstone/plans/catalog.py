@@ -243,14 +243,22 @@ _SAMPLE = """smp AS (SELECT *, row_number() OVER (ORDER BY (point_id * 110351524
  scored AS (SELECT iter, nx, ny, nz, d, inliers, abs(ny) AS h, support, inliers * abs(ny) * 10 + abs(ny) * 1000 + support * 500 AS score FROM planes JOIN inl USING (iter) JOIN sup USING (iter))"""
 
 
-def _scored(spark, d):
-    planes, sample = floor.hypotheses(b.points(spark, d))
+#: At the reference's limits: 0.15 of the points and 15,000 at most, 1,000 hypotheses.
+_SAMPLE_WHOLE = _SAMPLE.replace("LIMIT 1500", "LIMIT (SELECT least(CAST(floor(count(*) * 0.15E0) AS BIGINT), 15000) FROM points)").replace("range(300)", "range(1000)")
+
+
+def _scored(spark, d, **limits):
+    planes, sample = floor.hypotheses(b.points(spark, d), **limits)
     return floor.score_planes(planes, sample, b.poses(spark, d))
 
 
+#: What the SQL of the two queries without _whole fixes.
+_PROBE = {"n_iter": 300, "sample": 1500, "ratio": 1.0}
+
+
 @query(f"WITH {_SAMPLE} SELECT iter, inliers, round(h, 6) AS horizontality, round(support, 6) AS support, round(score, 4) AS score FROM scored", "points poses")
 def ransac_plane_scores(spark, d):
-    return _scored(spark, d).select("iter", "inliers", F.round("horizontality", 6).alias("horizontality"), F.round("support", 6).alias("support"), F.round("score", 4).alias("score"))
+    return _scored(spark, d, **_PROBE).select("iter", "inliers", F.round("horizontality", 6).alias("horizontality"), F.round("support", 6).alias("support"), F.round("score", 4).alias("score"))
 
 
 @query(
@@ -259,6 +267,20 @@ def ransac_plane_scores(spark, d):
     "points poses",
 )
 def ransac_best_plane(spark, d):
+    return floor.best_plane(_scored(spark, d, **_PROBE), 300).select("iter", *(F.round(c, 6).alias(c) for c in ("nx", "ny", "nz", "d")), "inliers")
+
+
+@query(f"WITH {_SAMPLE_WHOLE} SELECT iter, inliers, round(h, 6) AS horizontality, round(support, 6) AS support, round(score, 4) AS score FROM scored", "points poses")
+def ransac_plane_scores_whole(spark, d):
+    return _scored(spark, d).select("iter", "inliers", F.round("horizontality", 6).alias("horizontality"), F.round("support", 6).alias("support"), F.round("score", 4).alias("score"))
+
+
+@query(
+    f"""WITH {_SAMPLE_WHOLE}, valid AS (SELECT * FROM scored WHERE h > 0.7 AND inliers >= 250), stop AS (SELECT min(iter) AS stop FROM valid WHERE h > 0.95 AND support > 0.8 AND inliers > 1000)
+ SELECT iter, round(nx, 6) AS nx, round(ny, 6) AS ny, round(nz, 6) AS nz, round(d, 6) AS d, inliers FROM valid, stop WHERE stop IS NULL OR iter <= stop ORDER BY round(score, 6) DESC, iter LIMIT 1""",
+    "points poses",
+)
+def ransac_best_plane_whole(spark, d):
     return floor.best_plane(_scored(spark, d)).select("iter", *(F.round(c, 6).alias(c) for c in ("nx", "ny", "nz", "d")), "inliers")
 
 

@@ -64,8 +64,8 @@ def _register_own() -> None:
     from ..operators import asof, floor, knn, stats
 
     @register("floor_detection", {"points", "poses"}, {"floor"})
-    def _floor(t: Tables, n_iter: int = 300, sample: int = 1500, min_inliers: int = 300, threshold: float = 0.05) -> Tables:
-        planes, sampled = floor.hypotheses(t["points"], n_iter, sample)
+    def _floor(t: Tables, n_iter: int = 1000, sample: int = 15_000, min_inliers: int = 1000, threshold: float = 0.05, sample_ratio: float = 0.15) -> Tables:
+        planes, sampled = floor.hypotheses(t["points"], n_iter, sample, ratio=sample_ratio)
         return {"floor": floor.best_plane(floor.score_planes(planes, sampled, t["poses"], threshold), min_inliers)}
 
     @register("closest_points", {"points", "poses", "floor"}, {"closest"})
