@@ -614,6 +614,26 @@ def outputs_merged(spark, d):
     return memory.merged(tenth(0), tenth(5))
 
 
+@query(f"WITH {_FRAMES}, o AS (SELECT f.frame_idx // 100 AS frame_idx, f.object_id, max(score) AS score FROM fr f GROUP BY 1, 2), ids AS (SELECT DISTINCT a.frame_idx, g.object_id FROM o a JOIN o g ON a.frame_idx // 10 = g.frame_idx // 10) SELECT ids.frame_idx, ids.object_id, coalesce(score, -1024) AS score FROM ids LEFT JOIN o USING (frame_idx, object_id)")
+def outputs_consolidated_whole(spark, d):
+    """All objects; each frame is filled in for the objects of its ten frames."""
+    out = _frames(spark, d).groupBy(F.expr("frame_idx DIV 100").alias("frame_idx"), "object_id").agg(F.max("score").alias("score"))
+    ten = F.expr("frame_idx DIV 10").alias("ten")
+    wanted = out.select("frame_idx", ten).distinct().join(out.select(ten, "object_id").distinct(), "ten").drop("ten")
+    return memory.consolidated(wanted, out)
+
+
+@query(
+    f"""WITH {_FRAMES}, a AS (SELECT object_id, frame_idx // 2 AS frame_idx, conditioning, score, 1 AS rk FROM fr WHERE frame_idx % 2 = 0), z AS (SELECT object_id, frame_idx // 2, conditioning, score, 0 FROM fr WHERE frame_idx % 2 = 1),
+ u AS (SELECT *, row_number() OVER (PARTITION BY object_id, frame_idx ORDER BY conditioning DESC, rk DESC) AS k FROM (SELECT * FROM a UNION ALL SELECT * FROM z)) SELECT object_id, frame_idx, conditioning, score FROM u WHERE k = 1"""
+)
+def outputs_merged_whole(spark, d):
+    """All events: the even frames with the odd ones behind them."""
+    f = _frames(spark, d)
+    half = lambda r: f.where(f"frame_idx % 2 = {r}").withColumn("frame_idx", F.expr("frame_idx DIV 2"))
+    return memory.merged(half(0), half(1))
+
+
 @query("WITH v AS (SELECT CAST(step_nr % 16 AS INT) AS keyframe_id, step_nr AS valid_from, tx, ty, tz FROM poses WHERE step_nr <= 40), r AS (SELECT *, row_number() OVER (PARTITION BY keyframe_id ORDER BY valid_from DESC) AS k FROM v) SELECT keyframe_id, tx, ty, tz FROM r WHERE k = 1", "poses")
 def keyframe_poses_asof(spark, d):
     return memory.poses_as_of(b.poses(spark, d).selectExpr("CAST(step_nr % 16 AS INT) AS keyframe_id", "step_nr AS valid_from", "tx", "ty", "tz"), 40)
