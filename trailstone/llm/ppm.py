@@ -7,11 +7,12 @@ of each order. A symbol is coded in the longest context the trie has: with count
 below order 0 all bytes left are equally likely. A text is its bytes and one end symbol, so that probabilities of all texts
 sum to 1.
 
-The symbol's probability depends on its gram (ORDER bytes and itself) only, so joins find it once for each distinct gram
-of the corpus, and documents add up their grams' logarithms. Grams that make up 1/SHARE of the corpus or more (so at most
-SHARE of them, however large the corpus) are looked up from a broadcast, all others in a join. The base does the same with
-words: counts of those above 1/WORD_SHARE of all tokens are broadcast, the other, rare words of each text meet their counts
-in a join on a 64-bit hash of the word (two words of a billion collide with a probability of 3 %).
+The symbol's probability depends on its gram (ORDER bytes and itself) only, so it is found once for each distinct gram of
+the corpus, and documents add up their grams' logarithms. One table holds the trie of all orders; grams that weren't learned
+look up what all their contexts and shorter grams have there in one join. Grams that make up 1/SHARE of the corpus or more
+(so at most SHARE of them, however large the corpus) are looked up from a broadcast, all others in a join. The base does
+the same with words: counts of words of at most WORD_BYTES above 1/WORD_SHARE of all tokens are broadcast, all other
+words of each text meet their counts in a join on the word itself.
 
 Defined cases: null text is empty: one end token; with no training rows all counts are 0 and all bytes equally likely;
 repeated rows are scored apart and count as often as they occur; rows for which `learn` is null don't teach; other columns
@@ -21,22 +22,23 @@ of the input don't matter; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import LOWER, pick, staged, sums_between, text_blocks, text_bytes
 
-ORDER, SHARE, WORD_SHARE = 5, 1 << 23, 1 << 19
+#: SHARE bounds the broadcast grams (16 bytes each), WORD_SHARE and WORD_BYTES the broadcast words.
+ORDER, SHARE, WORD_SHARE, WORD_BYTES = 5, 1 << 21, 1 << 17, 64
 #: Bytes that UTF-8 never has: they stand before a text and behind it.
 START, END = 254, 255
-#: Distinct keys that a task adds up before it hands them on.
-HELD = 1 << 21
+#: Distinct keys that a task adds up before it hands them on; bytes of distinct words.
+HELD, HELD_BYTES = 1 << 21, 16 << 20
 
 
 def coded_symbols(data: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,60 +140,56 @@ def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
     return tagged.groupBy(F.col("key").bitwiseAND(flag - 1).alias("key")).agg(F.sum(learned).alias("n"), F.sum("n").alias("m"))
 
 
-def _last(k: int) -> Column:
-    """The key's last k bytes."""
-    return F.col("key").bitwiseAND((1 << 8 * k) - 1)
-
-
-def _context(k: int) -> Column:
-    """The k bytes before the key's symbol."""
-    return F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * k) - 1)
-
-
-def _few(table: DataFrame, n_bytes: int) -> DataFrame:
-    """A table with one row for each of at most 256 ** n_bytes keys, broadcast where that is 65,536 or less."""
-    return F.broadcast(table) if n_bytes <= 2 else table
+def trie(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """The trie of all orders learned from the grams' n, one row an entry and one a node, by `at`.
+
+    An entry's place is its order above its order+1 bytes, n its count. A node's place has START where an entry has its
+    symbol; n is its whole count, kinds how many symbols it has, taken what the next shorter context has of these symbols.
+    """
+    shift = 8 * (order + 1)
+    learned = grams.where("n > 0")
+    shorter = [F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1) + (k << shift) for k in range(order)]
+    entries = learned.select((F.col("key") + (order << shift)).alias("at"), "n")
+    if order:
+        entries = entries.unionByName(learned.select(F.explode(F.array(*shorter)).alias("at"), "n").groupBy("at").agg(F.sum("n").alias("n")))
+    entries = staged(entries, "entries")
+    k = F.shiftright("at", shift)
+    # the same symbol after one byte less: at most 256 entries have it
+    suffix = F.expr(f"(at & (shiftleft(1L, cast(8 * shiftright(at, {shift}) as int)) - 1)) + shiftleft(shiftright(at, {shift}) - 1, {shift})")
+    counts = entries.select(F.col("at").alias("suffix"), F.col("n").alias("taken"))
+    longer = entries.withColumn("suffix", F.when(k > 0, suffix)).join(counts, "suffix", "left")
+    nodes = longer.groupBy(F.col("at").bitwiseAND(-256).bitwiseOR(START).alias("at")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.sum("taken").alias("taken"))
+    return entries.select("at", "n", F.lit(None).cast("long").alias("kinds"), F.lit(None).cast("long").alias("taken")).unionByName(nodes)
 
 
 def gram_logs(grams: DataFrame, order: int = ORDER) -> DataFrame:
     """key, m and log (log10 of the symbol's probability after its context) for each gram, the trie learned from n."""
-    node = Window.partitionBy(_context(order))  # at most 256 rows
-    placed = grams.withColumn("whole", F.sum("n").over(node)).withColumn("kinds", F.count_if(F.col("n") > 0).over(node))
-    placed = staged(placed, "placed")
-    known = placed.where("n > 0").select("key", "m", (F.log10(2 * F.col("n") - 1) - F.log10(2 * F.col("whole"))).alias("log"))
-
-    came = F.col("whole") > 0  # the trie has this context, and the symbol escaped from it
-    log = F.when(came, F.log10("kinds") - F.log10(2 * F.col("whole"))).otherwise(0.0)
-    open_ = staged(placed.where("n = 0").select("key", "m", log.alias("log"), came.alias("came")), "open")
-    entries, done = grams.where("n > 0").select("key", "n"), []
-    for k in range(order - 1, -1, -1):
-        longer, entries = entries, staged(entries.groupBy(_last(k + 1).alias("key")).agg(F.sum("n").alias("n")), "entries")
-        nodes = entries.groupBy(_context(k).alias("node")).agg(F.sum("n").alias("whole"), F.count("*").alias("kinds"))
-        counts = entries.select(F.col("key").alias("short"), F.col("n").alias("c"))
-        # what this order has of the symbols that the longer context excludes
-        asked = open_.where("came").select(_context(k + 1).alias("long")).distinct()
-        taken = longer.select(_context(k + 1).alias("long"), _last(k + 1).alias("short")).join(asked, "long", "left_semi")
-        taken = taken.join(_few(counts, k + 1), "short").groupBy("long").agg(F.sum("c").alias("taken"), F.count("*").alias("gone"))
-
-        met = open_.withColumn("short", _last(k + 1)).withColumn("node", _context(k)).withColumn("long", _context(k + 1))
-        met = met.join(_few(counts, k + 1), "short", "left").join(_few(nodes, k), "node", "left").join(_few(taken, k + 1), "long", "left")
-        left = F.col("whole") - F.when(F.col("came"), F.col("taken")).otherwise(0)
-        kinds = F.col("kinds") - F.when(F.col("came"), F.col("gone")).otherwise(0)
-        hit = F.log10(2 * F.col("c") - 1) - F.log10(2 * left)
-        escape = F.when(left > 0, F.log10(kinds) - F.log10(2 * left)).otherwise(0.0)  # nothing left: the escape is certain
-        log = F.col("log") + F.when(F.col("c").isNotNull(), hit).when(F.col("whole").isNotNull(), escape).otherwise(0.0)
-        met = staged(met.select("key", "m", log.alias("log"), (F.col("came") | F.col("whole").isNotNull()).alias("came"), F.col("c").isNotNull().alias("hit")), "met")
-        done.append(met.where("hit").select("key", "m", "log"))
-        open_ = met.where("NOT hit").drop("hit")
-    symbols = entries.count() if order else grams.where("n > 0").count()  # of order 0: at most 256
-    rest = open_.select("key", "m", (F.col("log") - math.log10(max(256 - symbols, 1))).alias("log"))
-    for part in (*done, rest):
-        known = known.unionByName(part)
-    return known
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    shift = 8 * (order + 1)
+    context = Window.partitionBy(F.shiftrightunsigned("key", 8))  # at most 256 rows
+    known = grams.where("n > 0").withColumn("whole", F.sum("n").over(context))
+    known = known.select("key", "m", (F.log10(2 * F.col("n") - 1) - F.log10(2 * F.col("whole"))).alias("log"))
+
+    # all others ask for their nodes of each order and their entries of the shorter ones, all at once
+    places, names = [], []
+    for k in range(order + 1):
+        own = F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1) + (k << shift)
+        places += [own, own.bitwiseAND(-256).bitwiseOR(START)]
+        names += [f"c{k}", f"w{k}"]
+    asked = grams.where("n = 0").select("key", "m", F.posexplode(F.array(*places)).alias("i", "at"))
+    met = asked.join(trie(grams, order), "at", "left").groupBy("key", "m").agg(
+        *(F.max(F.when(F.col("i") == i, F.col("n"))).alias(name) for i, name in enumerate(names)),
+        *(F.max(F.when(F.col("i") == 2 * k + 1, F.col(x))).alias(f"{x}{k}") for k in range(order + 1) for x in ("kinds", "taken")),
+    )
+    # below all orders every byte that order 0 doesn't have is equally likely
+    log = -F.log10(F.greatest(256 - F.coalesce("kinds0", F.lit(0)), F.lit(1)))
+    for k in range(order + 1):
+        left, kinds = F.col(f"w{k}"), F.col(f"kinds{k}")
+        if k < order:  # a longer context excludes its symbols
+            left, kinds = (x - F.coalesce(F.col(f"{y}{k + 1}"), F.lit(0)) for x, y in ((left, "taken"), (kinds, "kinds")))
+        escape = F.when(left > 0, F.log10(kinds) - F.log10(2 * left)).otherwise(0.0)  # no such context, or nothing left in it
+        hit = F.log10(2 * F.col(f"c{k}") - 1) - F.log10(2 * left)
+        log = F.when(F.col(f"c{k}").isNotNull(), hit).otherwise(escape + log)
+    return known.unionByName(met.select("key", "m", log.alias("log")))
 
 
 class _Numbered(dict):
@@ -209,37 +207,38 @@ def _block_words(block: pa.RecordBatch) -> tuple[list[bytes], list[np.ndarray]]:
     return list(number), out
 
 
+def _strings(words: list[bytes]) -> pa.Array:
+    return pa.array(words, pa.binary()).cast(pa.string())
+
+
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """key (hash of the word) and n: how often each word occurs in the rows."""
+    """word and n: how often each word occurs in the rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums()
-        for block in text_blocks(batches, limit=8 << 20):
+        held: Counter[bytes] = Counter()
+        size = 0
+        for block in text_blocks(batches):
             words, ids = _block_words(block)
-            if words:
-                yield from sums.add(_hashes(words), np.bincount(np.concatenate(ids), minlength=len(words)))
-        yield from sums.flush()
+            before = len(held)
+            held.update(dict(zip(words, np.bincount(np.concatenate(ids), minlength=len(words)).tolist(), strict=True)) if words else {})
+            size += sum(map(len, words)) if len(held) > before else 0
+            if size > HELD_BYTES:
+                size = sum(map(len, held))
+            if size > HELD_BYTES // 2 or len(held) > HELD // 8:
+                yield pa.RecordBatch.from_arrays([_strings(list(held)), pa.array(held.values(), pa.int64())], ["word", "n"])
+                held, size = Counter(), 0
+        yield pa.RecordBatch.from_arrays([_strings(list(held)), pa.array(held.values(), pa.int64())], ["word", "n"])
 
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _rests(h: np.ndarray, owner: np.ndarray, n: int) -> list[pa.Array]:
-    """For each of n rows its distinct keys, and how often each occurs."""
+def _rests(h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of each of n rows into its distinct keys, these keys, and how often each occurs."""
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])) if len(h) else np.empty(0, int)
-    cuts = np.searchsorted(owner[first], np.arange(n + 1)).astype(np.int32)
-    times = np.diff(np.append(first, len(h))).astype(np.int32)
-    return [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (h[first].view(np.int64), times)]
-
-
-def _top(table: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and their values."""
-    found = table.select("key", value).toPandas()
-    keys = found["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], found[value].to_numpy(float)[order]
+    return np.searchsorted(owner[first], np.arange(n + 1)).astype(np.int32), h[first], np.diff(np.append(first, len(h))).astype(np.int32)
 
 
 def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, share: int = SHARE, word_share: int = WORD_SHARE) -> DataFrame:
@@ -249,7 +248,7 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     rows = pick(docs, id_col, text_col).withColumn("learn", F.coalesce(learn, F.lit(False)))
     grams = staged(gram_counts(rows, order), "grams")
     logs = staged(gram_logs(grams, order), "logs")
-    symbols = logs.agg(F.sum("m")).first()[0] or 0
+    symbols = grams.agg(F.sum("m")).first()[0] or 0
 
     words = staged(count_words(rows.where("learn")), "words")
     ends = rows.where("learn").count()
@@ -258,44 +257,47 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     scale = math.log10(n_all + 0.5 * (kinds + 1))
 
     often, rare = (logs.where(f"m * {share} {test} {symbols}") for test in (">=", "<"))
-    top, common = _top(often, "log"), _top(words.where(F.col("n") * word_share >= n_all), "n")
-    shared = docs.sparkSession.sparkContext.broadcast((top, common))
+    top = often.select("key", "log").toArrow()
+    common = words.where((F.col("n") * word_share >= n_all) & (F.octet_length("word") <= WORD_BYTES)).toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast((top["key"].to_numpy().view(np.uint64), top["log"].to_numpy(), common["word"].to_pylist(), common["n"].to_numpy()))
     kind = dict(rows.dtypes)["doc_id"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (gram_keys, gram_values), (word_keys, word_counts) = shared.value
-        gram_table, word_table = _Table(gram_keys), _Table(word_keys)
+        gram_keys, gram_values, word_keys, word_counts = shared.value
+        gram_table, number = _Table(gram_keys), {w.encode(): i for i, w in enumerate(word_keys)}
         gram_values, word_logs = np.append(gram_values, 0.0), np.append(np.log10(word_counts + 0.5), 0.0)  # -1: found elsewhere
         end_log = math.log10(ends + 0.5)
         for block in text_blocks(batches):
             n = block.num_rows
             names, ids = _block_words(block)
             size = np.fromiter(map(len, ids), np.int64, n)
-            x, owner, h = np.concatenate(ids), np.repeat(np.arange(n), size), _hashes(names)
-            at, place = np.append(0, np.cumsum(size)), word_table.find(h)
+            x, owner = np.concatenate(ids), np.repeat(np.arange(n), size)
+            at, place = np.append(0, np.cumsum(size)), np.fromiter((number.get(w, -1) for w in names), np.int64, len(names))
             part, known = sums_between(word_logs[place][x], at) + end_log, sums_between((place >= 0)[x], at, np.int64) + (ends > 0)
             away = place[x] < 0
-            word_rests = _rests(h[x[away]], owner[away], n)
+            word_cuts, rest, word_times = _rests(x[away], owner[away], n)
+            word_rest = _strings([names[i] for i in rest.tolist()])
 
             keys, cuts = coded_symbols(*text_bytes(block.column("text")), order)
             place = gram_table.find(keys)
             total, away = sums_between(gram_values[place], cuts), np.flatnonzero(place < 0)
-            gram_rests = _rests(keys[away], np.searchsorted(cuts, away, "right") - 1, n)
+            gram_cuts, gram_rest, gram_times = _rests(keys[away], np.searchsorted(cuts, away, "right") - 1, n)
+            lists = [pa.ListArray.from_arrays(c, v) for c, v in ((word_cuts, word_rest), (word_cuts, pa.array(word_times)), (gram_cuts, pa.array(gram_rest.view(np.int64))), (gram_cuts, pa.array(gram_times)))]
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array(size + 1), pa.array(known), pa.array(part), pa.array(total), *word_rests, *gram_rests],
+                [block.column("doc_id"), pa.array(size + 1), pa.array(known), pa.array(part), pa.array(total), *lists],
                 ["doc_id", "n_tokens", "known", "part", "total", "words", "word_times", "grams", "gram_times"],
             )
 
-    lists = "words array<long>, word_times array<int>, grams array<long>, gram_times array<int>"
+    lists = "words array<string>, word_times array<int>, grams array<long>, gram_times array<int>"
     scored = rows.mapInArrow(score, f"doc_id {kind}, n_tokens long, known long, part double, total double, {lists}")
     scored = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
 
-    def tail(keys: str, times: str) -> DataFrame:
-        return scored.select("row", F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(times).alias("times"))).alias("w")).select("row", "w.key", "w.times")
+    def tail(keys: str, times: str, name: str) -> DataFrame:
+        return scored.select("row", F.explode(F.arrays_zip(F.col(keys).alias(name), F.col(times).alias("times"))).alias("w")).select("row", f"w.{name}", "w.times")
 
     c, times = F.coalesce("n", F.lit(0)), F.col("times")
-    by_word = tail("words", "word_times").join(words, "key", "left").select("row", (times * F.log10(c + 0.5)).alias("part"), F.when(c > 0, times).otherwise(0).alias("known"), F.lit(0.0).alias("total"))
-    by_gram = tail("grams", "gram_times").join(rare, "key").select("row", F.lit(0.0).alias("part"), F.lit(0).alias("known"), (times * F.col("log")).alias("total"))
+    by_word = tail("words", "word_times", "word").join(words, "word", "left").select("row", (times * F.log10(c + 0.5)).alias("part"), F.when(c > 0, times).otherwise(0).alias("known"), F.lit(0.0).alias("total"))
+    by_gram = tail("grams", "gram_times", "key").join(rare, "key").select("row", F.lit(0.0).alias("part"), F.lit(0).alias("known"), (times * F.col("log")).alias("total"))
     found = by_word.unionByName(by_gram).groupBy("row").agg(*(F.sum(x).alias(f"more_{x}") for x in ("part", "known", "total")))
     more = lambda x: F.col(x) + F.coalesce(f"more_{x}", F.lit(0))
     return scored.drop("words", "word_times", "grams", "gram_times").join(found, "row", "left").select(
