@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from .common import LOWER, pick, staged, sums_between, text_blocks, text_bytes
 
 #: SHARE bounds the broadcast grams (16 bytes each), WORD_SHARE and WORD_BYTES the broadcast words.
-ORDER, SHARE, WORD_SHARE, WORD_BYTES = 5, 1 << 21, 1 << 17, 64
+ORDER, SHARE, WORD_SHARE, WORD_BYTES = 5, 1 << 22, 1 << 19, 64
 #: Bytes that UTF-8 never has: they stand before a text and behind it.
 START, END = 254, 255
 #: Distinct keys that a task adds up before it hands them on; bytes of distinct words.
