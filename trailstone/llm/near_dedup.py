@@ -4,22 +4,28 @@ A document is the set of its k-word shingles. SuperMinHash gives every element i
 registers and drops rank + fraction into them, rank by rank; a document stops as soon as all its registers hold less
 than the next rank. Bands of the signature put documents into buckets. What follows never pairs a bucket with itself:
 
-1. documents with equal sets become one class; only its smallest id goes on;
-2. each bucket names a pivot (another for each band), a member is verified against the pivot it shares most bands with,
+1. documents with equal sets become one class; two sets of fewer than share / (100 - share) shingles (four at 0.8) link only
+   if they are equal, so these classes are done;
+2. each bucket names a pivot (another for each band), a class is verified against the pivot it shares most bands with,
    and, where it is still in another component, against its other pivots;
-3. only where a bucket still spans several components, documents are compared across components: those of the smaller
-   component with all of the larger one, and documents that are alone with each other within their bucket. Both sides are
-   dealt out in blocks of about BLOCK documents, a block is compared with a block at once, and only links come out of it.
+3. only where a bucket still spans several components, classes are compared across components: those of the smaller
+   component with all of the larger one, and classes that are alone with each other within their bucket. Both sides are
+   dealt out in blocks of about BLOCK classes and BLOCK_SHINGLES shingles, a block is compared with a block at once on
+   full sets, and only links come out of it.
 
 So every two documents that share a band end in one component or have been compared on their full sets; groups of
-thousands of copies cost a few comparisons a member, and no pairs but those with pivots are ever rows.
+thousands of copies cost a few comparisons a member. Rows are: classes by their bands, by the larger components they meet
+in a bucket, and, where a bucket holds n classes that are like none of the others, by n / BLOCK blocks. Buckets with many rows are
+joined as written tables, so that Spark can split them among tasks.
 
 Links are exact once two documents share a band; with 32 bands of 4 registers a pair at the threshold of 0.8 shares none
-with a probability of 5e-8. The signature test of step 3 refuses a pair at the threshold with a probability below 1e-8.
+with a probability of 5e-8. Sets hold 64-bit hashes of shingles: two of a million shingles are taken for one with a
+probability of 3e-8.
 
 Defined cases: null text is empty; texts with fewer than k words are one shingle, the whole sequence; texts without words
-have an empty set and link with nothing; repeated rows (same id and text) share their component; a row with null id is
-its own component, kept, with null component_id; other columns of the input don't matter; an empty table gives no rows.
+have an empty set and link with nothing; repeated rows (same id and text) share their component, and rows that share
+their id only are documents of their own; a component is named by its smallest id, ids that are null don't count; a row
+without an id is kept where its component has none at all; other columns of the input don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,8 +44,8 @@ from .components import components
 
 REGISTERS, BANDS = 128, 32
 ROWS = REGISTERS // BANDS
-#: Documents of either side that one comparison of blocks holds, about.
-BLOCK = 256
+#: Classes of either side that one comparison of blocks holds, about, and their shingles.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 _FRACTION = 25  # bits below the rank in a register
 _SLICE = 120_000  # shingles that a signature step works on at once
 
@@ -206,14 +212,18 @@ def _with(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
 def near_dedup(docs: DataFrame, k: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row; links need 100 * intersection >= share * union.
 
-    doc_id must be an integer.
+    Ids are of any type that can be ordered; component_id has it too.
     """
     rows = pick(docs, id_col, text_col)
-    signed = staged(rows.mapInArrow(_sign(k), f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, s1 long, s2 long, bands array<long>"), "signed")
-    classes = staged(signed.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").cast("long").alias("id")), "classes")
-
-    # one signature for each class: that of its smallest id
-    heads = signed.where("n_shingles > 0").select(F.col("doc_id").cast("long").alias("id"), "s1", "s2", "bands").join(classes, ["id", "s1", "s2"], "left_semi").dropDuplicates(["id", "s1", "s2"])
+    kind = dict(rows.dtypes)["doc_id"]
+    signed = staged(rows.mapInArrow(_sign(k), f"doc_id {kind}, n_shingles long, s1 long, s2 long, bands array<long>"), "signed")
+    classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
+    classes = staged(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+
+    # the signature of each class that can link with another: that of a row with its smallest id
+    linking = classes.where(F.col("n") * (100 - share) >= share).select("id", "n", *(F.col(c).alias(f"_{c}") for c in ("doc_id", "s1", "s2")))
+    own = (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    heads = signed.select("doc_id", "s1", "s2", "bands").join(linking, own).select("id", "n", "doc_id", "s1", "s2", "bands").dropDuplicates(["id"])
     heads = staged(heads, "heads")
     seats = heads.select("id", F.explode("bands").alias("key"))
     mask = F.xxhash64("key")
@@ -221,9 +231,9 @@ def near_dedup(docs: DataFrame, k: int = 5, share: int = 80, id_col: str = "doc_
     members = staged(seats.join(buckets, "key").select("key", "id", "pivot"), "members")
     pairs = staged(members.where("id <> pivot").groupBy(F.col("id").alias("u"), F.col("pivot").alias("v")).agg(F.count("*").alias("n")), "pairs")
 
-    needed = members.select("id").distinct().join(heads.select("id", "s1", "s2"), "id")
-    texts = rows.select(F.col("doc_id").cast("long").alias("id"), "text").join(needed, "id")
-    sets = staged(texts.select("id", "text", "s1", "s2").mapInArrow(_sets(k), "id long, shingles binary").dropDuplicates(["id"]), "sets")
+    needed = staged(heads.join(members.select("id").distinct(), "id", "left_semi").select("id", F.col("doc_id").alias("_id"), "s1", "s2"), "needed")
+    texts = rows.join(needed, F.col("doc_id").eqNullSafe(F.col("_id"))).select("id", "text", "s1", "s2")
+    sets = staged(texts.mapInArrow(_sets(k), "id long, shingles binary").dropDuplicates(["id"]), "sets")
 
     def verified(candidates: DataFrame) -> DataFrame:
         return staged(_with(candidates, sets, "shingles").mapInArrow(_verify(share), "u long, v long").select(F.col("u").alias("a"), F.col("v").alias("b")), "verified")
@@ -240,27 +250,30 @@ def near_dedup(docs: DataFrame, k: int = 5, share: int = 80, id_col: str = "doc_
     roots = components(links)
 
     seated = staged(rooted(members.select("key", "id"), roots, "id", "c"), "seated")
-    spread = seated.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    open_ = staged(seated.join(spread, "key"), "open")
-    sized = staged(open_.select("id", "c").distinct().groupBy("c").agg(F.count("*").alias("size")), "sized")
+    spread = staged(seated.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "spread")
+    open_ = seated.join(spread, "key").join(heads.select("id", "n"), "id")
+    open_ = staged(open_, "open")
+    sized = staged(open_.select("id", "c", "n").distinct().groupBy("c").agg(F.count("*").alias("size"), F.sum("n").alias("load")), "sized")
     open_ = staged(open_.join(sized, "c"), "open")
     block = lambda n: F.pmod(F.xxhash64("id"), n)
-    blocks = lambda n: F.ceil(n / BLOCK)
+    blocks = lambda n, load: F.greatest(F.ceil(n / BLOCK), F.ceil(load / BLOCK_SHINGLES))
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
-    # the smaller component's documents against all of the larger component
-    large = open_.where("size > 1").select("key", F.col("c").alias("g1"), F.col("size").alias("whole")).distinct()
-    meets = open_.join(large, "key").where("c <> g1 AND (size < whole OR size = whole AND c > g1)").select("id", "c", "g1", "whole").distinct()
+    # the smaller component's classes against all of the larger component
+    large = staged(open_.where("size > 1").select("key", F.col("c").alias("g1"), F.col("size").alias("whole"), F.col("load").alias("whole_load")).distinct(), "large")
+    meets = open_.join(large, "key").where("c <> g1 AND (size < whole OR size = whole AND c > g1)").select("id", "c", "n", "g1", "whole", "whole_load").distinct()
     meets = staged(meets, "meets")
-    dealt = staged(meets.groupBy("g1", "whole").agg(F.count("*").alias("n")).select("g1", blocks(F.col("whole")).alias("nv"), blocks(F.col("n")).alias("nu")), "dealt")
-    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = meets.groupBy("g1", "whole", "whole_load").agg(F.count("*").alias("m"), F.sum("n").alias("load"))
+    dealt = staged(dealt.select("g1", blocks(F.col("whole"), F.col("whole_load")).alias("nv"), blocks(F.col("m"), F.col("load")).alias("nu")), "dealt")
     left = meets.select("id", "c", "g1").join(dealt, "g1").withColumn("ub", block(F.col("nu"))).withColumn("vb", up_to("nv"))
-    right = open_.select("id", "c").distinct().join(dealt.withColumnRenamed("g1", "c"), "c").withColumn("g1", F.col("c")).withColumn("vb", block(F.col("nv"))).withColumn("ub", up_to("nu"))
+    grown = staged(open_.select("id", "c").distinct(), "grown")
+    right = grown.join(dealt.withColumnRenamed("g1", "c"), "c").withColumn("g1", F.col("c")).withColumn("vb", block(F.col("nv"))).withColumn("ub", up_to("nu"))
     place = [F.lit(0).alias("g0"), "g1", (F.col("vb") * F.col("nu") + F.col("ub")).alias("g2"), "id", "c"]
     left, right = left.select(*place), right.select(*place)
 
-    # documents that are alone, within their bucket
-    alone = open_.where("size = 1").select("key", "id", "c")
-    crowd = alone.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", blocks(F.col("n")).alias("nb"))
+    # classes that are alone, within their bucket
+    alone = open_.where("size = 1").select("key", "id", "c", "n")
+    crowd = staged(alone.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("load")).where("m > 1").select("key", blocks(F.col("m"), F.col("load")).alias("nb")), "crowd")
     alone = staged(alone.join(crowd, "key").withColumn("b", block(F.col("nb"))), "alone")
     one = alone.withColumn("o", F.explode(F.sequence(F.col("b"), F.col("nb") - 1))).select(F.lit(1).alias("g0"), F.col("key").alias("g1"), (F.col("b") * F.col("nb") + F.col("o")).alias("g2"), "id", "c")
     other = alone.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b")))).select(F.lit(1).alias("g0"), F.col("key").alias("g1"), (F.col("o") * F.col("nb") + F.col("b")).alias("g2"), "id", "c")
@@ -270,8 +283,9 @@ def near_dedup(docs: DataFrame, k: int = 5, share: int = 80, id_col: str = "doc_
     links = links.unionByName(staged(sides[0].cogroup(sides[1]).applyInArrow(_blocks(share), "a long, b long"), "across"))
     roots = components(links)
 
-    named = staged(rooted(classes, roots, "id", "component_id").select("s1", "s2", "component_id"), "named")
-    own = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    rooted_ = staged(rooted(classes.select("s1", "s2", "doc_id", "id"), roots, "id", "c"), "rooted")
+    names = staged(rooted_.groupBy("c").agg(F.min("doc_id").alias("component_id")), "names")
+    named = staged(rooted_.join(names, "c").select("s1", "s2", "component_id"), "named")
     out = signed.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
-    component = F.when(own, F.col("doc_id").cast("long")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
