@@ -112,7 +112,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = -1) -> DataFrame:
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256, mark, n_bytes.
 
-    `bits` masks the fingerprint: fewer bits make collisions, which the comparison then has to resolve.
+    Ids are of any type that can be ordered, null ones last. `bits` masks the fingerprint: fewer bits make collisions, which the comparison then has to resolve.
     """
     rows = pick(docs, id_col, text_col)
     kind = dict(rows.dtypes)["doc_id"]
@@ -122,8 +122,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = staged(hashed.groupBy("mark", "n_bytes").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
 
     # equal fingerprints: every chunk position must hold one value; min and max are combined before the shuffle
-    members = hashed.join(repeated, ["mark", "n_bytes"], "left_semi").select("doc_id").distinct()
-    chunks = rows.join(members, "doc_id", "left_semi").mapInArrow(_chunk_rows, "mark long, n_bytes long, chunk int, bytes binary").withColumn("mark", F.col("mark").bitwiseAND(bits))
+    members = staged(hashed.join(repeated, ["mark", "n_bytes"], "left_semi").select(F.col("doc_id").alias("_id")).distinct(), "members")
+    chunks = rows.join(members, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").mapInArrow(_chunk_rows, "mark long, n_bytes long, chunk int, bytes binary").withColumn("mark", F.col("mark").bitwiseAND(bits))
     unlike = chunks.groupBy("mark", "n_bytes", "chunk").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).where("a <> b").select("mark", "n_bytes", F.lit(True).alias("unlike")).distinct()
     unlike = staged(unlike, "unlike")
 
