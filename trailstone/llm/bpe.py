@@ -54,14 +54,31 @@ class Vocabulary:
         return np.where(self.keys[at] == key, self.merged[at], NONE)
 
     def one_by_one(self, word: bytes) -> list[int]:
-        """Lowest rank first, leftmost first, one merge at a time."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], NONE), i) for i in range(len(parts) - 1))
-            if rank == NONE:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[x] for x in parts]
+        """Lowest rank first, leftmost first, one merge at a time, from a heap of pairs; a merge looks up its neighbours only."""
+        parts: list[bytes] = [word[i : i + 1] for i in range(len(word))]
+        after, before, pair = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1)), [NONE] * len(word)
+        heap: list[tuple[int, int]] = []
+
+        def note(i: int) -> None:
+            pair[i] = self.ranks.get(parts[i] + parts[after[i]], NONE) if after[i] < len(parts) else NONE
+            if pair[i] != NONE:
+                heapq.heappush(heap, (pair[i], i))
+
+        for i in range(len(word)):
+            note(i)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            if pair[i] != rank:
+                continue
+            gone = after[i]
+            parts[i], parts[gone], pair[gone] = parts[i] + parts[gone], b"", NONE
+            after[i] = after[gone]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            note(i)
+            if before[i] >= 0:
+                note(before[i])
+        return [self.ranks[x] for x in parts if x]
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all words back to back, and how many each has; no word is empty."""
