@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 TURN, SAYS, DONE = "<|turn|>", "<|says|>", "<|done|>"
 _CONTROL, _ESCAPED = re.compile(r"<(~*)\|"), re.compile(r"<~(~*)\|")
 _RENDERED = re.compile(re.escape(TURN) + "(.*?)" + re.escape(SAYS) + "(.*?)" + re.escape(DONE), re.S)
-#: Characters of conversations encoded together.
-BLOCK_CHARS = 1 << 20
+#: Characters and number of conversations encoded together.
+BLOCK_CHARS, BLOCK_ROWS = 1 << 18, 256
 
 
 def escape(text: str) -> str:
@@ -106,11 +106,13 @@ def format_chats(turns: DataFrame, tokenizer_path: str, train_on: tuple[str, ...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            conversations = batch.column("turns").to_pylist()
-            sizes = np.cumsum([sum(len(t["text"]) for t in c) for c in conversations])
-            cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(sizes // BLOCK_CHARS)) + 1, [len(conversations)]])) if conversations else [0]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                yield encoded(batch.column("conv_id").slice(a, b - a), conversations[a:b])
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(start, BLOCK_ROWS)
+                conversations = part.column("turns").to_pylist()
+                sizes = np.cumsum([sum(len(t["text"]) for t in c) for c in conversations])
+                cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(sizes // BLOCK_CHARS)) + 1, [len(conversations)]]))
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    yield encoded(part.column("conv_id").slice(a, b - a), conversations[a:b])
 
     return whole.mapInArrow(run, f"conv_id {dict(turns.dtypes)['conv_id']}, formatted string, ids binary, starts binary, ends binary, loss_mask binary")
 
