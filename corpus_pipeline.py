@@ -4,8 +4,10 @@ STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and re
 columns of documents, the last one the tokens. run() writes each stage's rows to the shared folder and reads them again.
 
 Defined cases: documents whose text is null or has no letter are rejected by the first stage, all others with a letter
-stay (also where no language could be learned, or a prediction is ambiguous); of repeated rows one stays; rows with null
-doc_id are treated like any other, but can't be linked as near copies; empty tables give no rows at any stage.
+stay (also where no language could be learned, or a prediction is ambiguous). What stays is decided row by row: a row is
+named by its doc_id and its text, so rows that share their doc_id only, null ones included, are documents of their own.
+Of rows with equal id and text one stays; of a group of copies the row with the smallest doc_id, null ones last. Empty
+tables give no rows at any stage.
 """
 
 from __future__ import annotations
@@ -24,10 +26,21 @@ from trailstone.llm.near_dedup import near_dedup
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The documents whose id is among ids (left_anti: is not), null matching null."""
-    name = "_" + "".join(docs.columns)  # none of the columns has it
-    return docs.join(ids.select(F.col("doc_id").alias(name)).distinct(), F.col("doc_id").eqNullSafe(F.col(name)), how)
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def _named(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column, of a name that none of its own has, that names each row by its doc_id (null last) and its text."""
+    name = "_" + "".join(docs.columns)
+    return docs.withColumn(name, F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), _digest(F.col("text")).alias("text"))), name
+
+
+def _kept(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """Of docs the rows that an operator keeps, one of each name."""
+    kept = found.where("kept").select(F.col("doc_id").alias(name)).distinct()
+    # rows that repeat in id and text share their partition after the join
+    return docs.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,19 +55,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
-    kept = exact_dedup(docs).where("kept")
-    # rows that repeat in id and text share their partition after the join
-    return _only(docs, kept).dropDuplicates(["doc_id", "text"])
+    rows, name = _named(docs)
+    return _kept(rows, exact_dedup(rows, id_col=name), name)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked by five-word shingles at a similarity of 0.8 or more."""
-    return _only(docs, near_dedup(docs, k=5, share=80).where("kept"))
+    rows, name = _named(docs)
+    return _kept(rows, near_dedup(rows, k=5, share=80, id_col=name), name)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of a benchmark item, edited or not."""
-    return _only(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "left_anti")
+    """Drops documents that hold a passage of a benchmark item, edited or not. That depends on the text only, which names the rows."""
+    name = "_" + "".join(docs.columns)
+    rows = docs.withColumn(name, _digest(F.col("text")))
+    found = find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=name)
+    return rows.join(found.select(F.col("doc_id").alias(name)).distinct(), name, "left_anti").drop(name)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
