@@ -19,9 +19,9 @@ def test_other_queries_run(spark, name):
 def test_whole_outputs_hold_every_event(spark):
     events = spark.read.parquet(f"{SMALL}/events.parquet")
     seen = {(r[0], r[1]) for r in events.selectExpr("user_id", "event_id DIV 100").collect()}
-    filled = [(r.object_id, r.frame_idx) for r in catalog.QUERIES["outputs_consolidated_whole"](spark, SMALL).collect()]
+    filled = [(r.object_id, r.frame_idx) for r in catalog.QUERIES["outputs_consolidated"](spark, SMALL).collect()]
     assert seen <= set(filled) and len(filled) == len(set(filled))
-    merged = {(r.object_id, r.frame_idx) for r in catalog.QUERIES["outputs_merged_whole"](spark, SMALL).collect()}
+    merged = {(r.object_id, r.frame_idx) for r in catalog.QUERIES["outputs_merged"](spark, SMALL).collect()}
     assert merged == {(r[0], r[1]) for r in events.selectExpr("user_id", "event_id DIV 2").collect()}
 
 

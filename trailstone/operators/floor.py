@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,15 +19,15 @@ INLIER_WEIGHT, LEVEL_WEIGHT, SUPPORT_WEIGHT = 10.0, 1000.0, 500.0
 LEVEL, EXCELLENT_LEVEL, EXCELLENT_SUPPORT = 0.7, 0.95, 0.8
 
 
-def gravity(poses: DataFrame, window: int = 30, first: int = 10) -> DataFrame:
-    """step_nr, gx, gy, gz: mean camera-down of the oldest `first` poses of the last `window`; (0,0,-1) if it vanishes."""
+def gravity(poses: DataFrame, window: int = 30, first: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """step_nr, gx, gy, gz: mean camera-down of the oldest `first` poses of the last `window` of a run; (0,0,-1) if it vanishes."""
     down = g.down(g.pose_quaternion())
-    downs = poses.select("step_nr", F.struct(*(d.alias(k) for d, k in zip(down, "xyz", strict=True))).alias("down"))
-    kept = over_recent(downs, "step_nr", window - 1, "d", F.collect_list("down")).withColumn("d", F.slice("d", 1, first))
+    downs = poses.select(*by, "step_nr", F.struct(*(d.alias(k) for d, k in zip(down, "xyz", strict=True))).alias("down"))
+    kept = over_recent(downs, "step_nr", window - 1, "d", F.collect_list("down"), by=by).withColumn("d", F.slice("d", 1, first))
     total = [F.aggregate(F.col(f"d.{k}"), F.lit(0.0), lambda s, v: s + v) / F.size("d") for k in "xyz"]
-    mean = kept.select("step_nr", *(t.alias(k) for t, k in zip(total, "xyz", strict=True)))
+    mean = kept.select(*by, "step_nr", *(t.alias(k) for t, k in zip(total, "xyz", strict=True)))
     size = g.norm(g.vec())
-    return mean.select("step_nr", *(F.round(F.when(size > 1e-6, F.col(k) / size).otherwise(F.lit(d)), 6).alias(f"g{k}") for k, d in zip("xyz", (0.0, 0.0, -1.0), strict=True)))
+    return mean.select(*by, "step_nr", *(F.round(F.when(size > 1e-6, F.col(k) / size).otherwise(F.lit(d)), 6).alias(f"g{k}") for k, d in zip("xyz", (0.0, 0.0, -1.0), strict=True)))
 
 
 def hypotheses(points: DataFrame, n_iter: int = 1000, sample: int = 15_000, seed: int = 0, expected: tuple[float, float, float] = (0.0, 1.0, 0.0), ratio: float = 0.15) -> tuple[DataFrame, DataFrame]:

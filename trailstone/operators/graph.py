@@ -2,46 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.staging import written
+from .ordered import with_ordinal
 
 #: Keyframes that one block of the comparison holds.
 BLOCK = 512
 
 
-def retrieve(descriptors: DataFrame, k: int = 3, threshold: float = 5e-3) -> DataFrame:
-    """keyframe_id, match_id, similarity: for each keyframe the k most similar earlier ones.
+def _matrix(column: pa.Array, i: int, n: int) -> np.ndarray:
+    """Row i of a column of lists as n rows of numbers."""
+    return np.asarray(column[i].values, np.float64).reshape(n, -1)
+
+
+def retrieve(descriptors: DataFrame, k: int = 3, threshold: float = 5e-3, by: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """keyframe_id, match_id, similarity: for each keyframe the k most similar earlier ones (of the same `by`).
 
-    Every keyframe is a query against all earlier ones, dealt out as pairs of blocks: each side is sent once per block
-    of the other, and a block pair's best k rows are taken before they meet those of other blocks.
+    Every keyframe is a query against all earlier ones, in blocks of the sequence: a block is one row, each pair of blocks
+    is one matrix product, and only its best k of each keyframe come out of it to meet those of other pairs. Blocks are cut
+    by position, so ids may have gaps of any size; embeddings are as long as each other, keyframes without one are left out.
     """
-    blocked = written(descriptors.select("keyframe_id", F.transform("embedding", lambda v: v.cast("double")).alias("e"), F.floor(F.col("keyframe_id") / BLOCK).alias("block")), "descriptors")
-    ends = blocked.agg(F.min("block"), F.max("block")).first()
-    if ends[0] is None:
-        ends = (0, 0)
-    query = blocked.select(F.col("keyframe_id"), F.col("e").alias("eq"), F.col("block").alias("qb"), F.explode(F.sequence(F.lit(ends[0]), F.col("block"))).alias("mb"))
-    match = blocked.select(F.col("keyframe_id").alias("match_id"), F.col("e").alias("em"), F.col("block").alias("mb"))
-    similarity = F.round(F.aggregate(F.zip_with("eq", "em", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v), 6)
-    pairs = query.join(match, "mb").where("match_id < keyframe_id").select("keyframe_id", "match_id", "mb", similarity.alias("similarity")).where(F.col("similarity") > threshold)
-    order = [F.desc("similarity"), "match_id"]
-    some = pairs.withColumn("r", F.row_number().over(Window.partitionBy("keyframe_id", "mb").orderBy(*order))).where(F.col("r") <= k)
-    return some.withColumn("r", F.row_number().over(Window.partitionBy("keyframe_id").orderBy(*order))).where(F.col("r") <= k).select("keyframe_id", "match_id", "similarity")
+    kind = dict(descriptors.dtypes)["keyframe_id"]
+    placed = with_ordinal(descriptors.where("embedding IS NOT NULL").select(*by, "keyframe_id", "embedding"), "keyframe_id", by=by)
+    one = F.struct("keyframe_id", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
+    rows = placed.groupBy(*by, F.expr(f"i DIV {block}").alias("block")).agg(F.sort_array(F.collect_list(one)).alias("rows"))
+    blocks = written(rows.select(*by, "block", F.col("rows.keyframe_id").alias("ids"), F.flatten("rows.e").alias("e")), "blocks")
+    earlier = F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("other")
+    pairs = blocks.select(*by, "block", earlier, F.col("ids").alias("ids_q"), F.col("e").alias("e_q")).join(blocks.withColumnRenamed("block", "other"), [*by, "other"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                queries, matches = (np.asarray(batch.column(c)[i].values) for c in ("ids_q", "ids"))
+                s = np.round(_matrix(batch.column("e_q"), i, len(queries)) @ _matrix(batch.column("e"), i, len(matches)).T, 6)
+                s[(s <= threshold) | (matches[None] >= queries[:, None])] = -np.inf
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]  # matches are in the order of their ids
+                found = np.take_along_axis(s, top, 1)
+                q, r = np.nonzero(found > -np.inf)
+                keys = [batch.column(c).take(pa.array(np.full(len(q), i))) for c in by]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(queries[q]), pa.array(matches[top[q, r]]), pa.array(found[q, r])], [*by, "keyframe_id", "match_id", "similarity"])
+
+    types = dict(descriptors.dtypes)
+    some = pairs.mapInArrow(compare, ", ".join([*(f"{c} {types[c]}" for c in by), f"keyframe_id {kind}, match_id {kind}, similarity double"]))
+    rank = F.row_number().over(Window.partitionBy(*by, "keyframe_id").orderBy(F.desc("similarity"), "match_id"))
+    return some.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
-def consecutive(descriptors: DataFrame) -> DataFrame:
-    """src, dst: each keyframe with the one before it; keyframe ids are dense, so the previous id is a lookup."""
-    ids = descriptors.select("keyframe_id")
-    return ids.join(ids.select((F.col("keyframe_id") + 1).alias("keyframe_id"), F.col("keyframe_id").alias("dst")), "keyframe_id").select(F.col("keyframe_id").alias("src"), "dst")
+def consecutive(descriptors: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """src, dst: each keyframe with the one before it, whatever ids are missing between them."""
+    placed = written(with_ordinal(descriptors.select(*by, "keyframe_id"), "keyframe_id", by=by), "placed")
+    before = placed.select(*by, (F.col("i") + 1).alias("i"), F.col("keyframe_id").alias("dst"))
+    return placed.join(before, [*by, "i"]).select(*by, F.col("keyframe_id").alias("src"), "dst")
 
 
-def edges(descriptors: DataFrame, k: int = 3, threshold: float = 5e-3) -> DataFrame:
-    found = retrieve(descriptors, k, threshold).select(F.col("keyframe_id").alias("src"), F.col("match_id").alias("dst"))
-    return consecutive(descriptors).unionByName(found).where("src <> dst").distinct()
+def edges(descriptors: DataFrame, k: int = 3, threshold: float = 5e-3, by: Sequence[str] = ()) -> DataFrame:
+    found = retrieve(descriptors, k, threshold, by).select(*by, F.col("keyframe_id").alias("src"), F.col("match_id").alias("dst"))
+    return consecutive(descriptors, by).unionByName(found).where("src <> dst").distinct()
 
 
-def loop_closures(descriptors: DataFrame, k: int = 3, threshold: float = 5e-3) -> DataFrame:
-    """Retrieved edges that don't join neighbours."""
-    return retrieve(descriptors, k, threshold).where("match_id <> keyframe_id - 1").select(F.col("keyframe_id").alias("src"), F.col("match_id").alias("dst"))
+def loop_closures(descriptors: DataFrame, k: int = 3, threshold: float = 5e-3, by: Sequence[str] = ()) -> DataFrame:
+    """Retrieved edges that don't join a keyframe with the one before it."""
+    found = retrieve(descriptors, k, threshold, by).select(*by, F.col("keyframe_id").alias("src"), F.col("match_id").alias("dst"))
+    return found.join(consecutive(descriptors, by), [*by, "src", "dst"], "left_anti")

@@ -136,3 +136,20 @@ def score_frames(frames: DataFrame, scorer, schema: str) -> DataFrame:
             yield scorer(b)
 
     return frames.mapInPandas(run, schema)
+
+
+def from_logits(logits: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """mask_id, row, col of the pixels whose logit lies above the threshold."""
+    return logits.where(F.col("logit") > threshold).select("mask_id", "row", "col")
+
+
+def best_by_predicted_iou(candidates: DataFrame, key: str = "object_id") -> DataFrame:
+    """Of each object's candidate masks the one with the highest predicted IoU, the first of equals."""
+    rest = [c for c in candidates.columns if c != key]
+    best = F.max_by(F.struct(*rest), F.struct("predicted_iou", -F.col("mask_id")))
+    return candidates.groupBy(key).agg(best.alias("b")).select(key, "b.*")
+
+
+def without_overlap(logits: DataFrame) -> DataFrame:
+    """row, col, mask_id, logit: each pixel goes to the object with the highest logit, the smaller id of equals."""
+    return logits.groupBy("row", "col").agg(F.max_by(F.struct("mask_id", "logit"), F.struct("logit", -F.col("mask_id"))).alias("b")).select("row", "col", "b.*")

@@ -34,8 +34,25 @@ def merged(temporary: DataFrame, final: DataFrame) -> DataFrame:
     return both.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_rank", "_k")
 
 
-def poses_as_of(versions: DataFrame, step: int) -> DataFrame:
-    """Of each keyframe the pose that held at a step; `versions` has (keyframe_id, valid_from, pose columns)."""
+def poses_as_of(versions: DataFrame, step: int | None) -> DataFrame:
+    """Of each keyframe the pose that held at a step (None: its newest); `versions` has (keyframe_id, valid_from, pose columns)."""
     rest = [c for c in versions.columns if c not in ("keyframe_id", "valid_from")]
-    newest = versions.where(F.col("valid_from") <= step).groupBy("keyframe_id").agg(F.max_by(F.struct(*rest), "valid_from").alias("p"))
+    held = versions if step is None else versions.where(F.col("valid_from") <= step)
+    newest = held.groupBy("keyframe_id").agg(F.max_by(F.struct(*rest), "valid_from").alias("p"))
     return newest.select("keyframe_id", "p.*")
+
+
+def per_object(outputs: DataFrame, objects: str = "objects") -> DataFrame:
+    """A row for each object of a frame's output, from its list of (object_id, score)."""
+    return outputs.select("frame_idx", F.explode(objects).alias("o")).select("frame_idx", "o.*")
+
+
+def reset(frames: DataFrame, at: DataFrame, key: str = "object_id") -> DataFrame:
+    """Frames that come after their object's newest reset; `at` has (object_id, reset_at). Objects without one keep all."""
+    newest = at.groupBy(key).agg(F.max("reset_at").alias("_reset"))
+    return frames.join(newest, key, "left").where(F.col("_reset").isNull() | (F.col("frame_idx") > F.col("_reset"))).drop("_reset")
+
+
+def with_class(objects: DataFrame, classes: DataFrame, key: str = "object_id") -> DataFrame:
+    """objects with class_label, null where none is known."""
+    return objects.join(classes.select(key, "class_label").dropDuplicates([key]), key, "left")

@@ -23,25 +23,34 @@ def ranged(df: DataFrame, *order: str) -> DataFrame:
     return written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
 
 
-def with_ordinal(df: DataFrame, *order: str, name: str = "i") -> DataFrame:
-    """0-based position by `order`, counted within ranges and offset by their sizes."""
-    cut = ranged(df, *order)
-    local = cut.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
+def with_ordinal(df: DataFrame, *order: str, name: str = "i", by: Sequence[str] = ()) -> DataFrame:
+    """0-based position by `order` among the rows of equal `by`, counted within ranges and offset by their sizes."""
+    cut = ranged(df, *by, *order)
+    local = cut.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*by, *order)) - 1)
     sizes = cut.groupBy("_range").agg(F.count("*").alias("_size"))  # one row a range
     offsets = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
-    return local.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_n")).drop("_range", "_n", "_before")
+    out = local.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_n")).drop("_range", "_n", "_before")
+    if not by:
+        return out
+    out = written(out, "placed")
+    counts = written(out.groupBy(*by).agg(F.min(name).alias("_first")), "firsts")
+    same = F.lit(True)
+    for c in by:
+        counts = counts.withColumnRenamed(c, f"_by_{c}")
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return out.join(counts, same).withColumn(name, F.col(name) - F.col("_first")).drop("_first", *(f"_by_{c}" for c in by))
 
 
-def over_recent(df: DataFrame, order: str, before: int, name: str, value: Column, block: int = BLOCK) -> DataFrame:
-    """df with `value`, an aggregate over each row and the `before` rows ahead of it in `order`.
+def over_recent(df: DataFrame, order: str, before: int, name: str, value: Column, block: int = BLOCK, by: Sequence[str] = ()) -> DataFrame:
+    """df with `value`, an aggregate over each row and the `before` rows ahead of it in `order`, of the same `by`.
 
     A block of the sequence holds the last rows of the block ahead of it too, so that each block is a window of its own.
     """
     block = max(block, before)
-    numbered = with_ordinal(df, order, name="_i")
+    numbered = with_ordinal(df, *by, order, name="_i")
     own = F.floor(F.col("_i") / block)
     lent = F.when(F.col("_i") % block >= block - before, F.array(own, own + 1)).otherwise(F.array(own))
-    recent = Window.partitionBy("_block").orderBy("_i").rowsBetween(-before, 0)
+    recent = Window.partitionBy("_block", *by).orderBy("_i").rowsBetween(-before, 0)
     out = numbered.withColumn("_block", F.explode(lent)).withColumn(name, value.over(recent))
     return out.where(F.col("_block") == own).drop("_block", "_i")
 

@@ -65,3 +65,18 @@ def segment_objects(points: DataFrame) -> DataFrame:
     agg = [F.count("*").alias("n_points"), *(F.round(F.avg(c), 6).alias(f"c{c}") for c in "xyz")]
     agg += [f(c).alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))]
     return points.where(segmented()).groupBy("segment_id").agg(*agg)
+
+
+def byte_colours(points: DataFrame) -> DataFrame:
+    """r, g, b as whole numbers from 0 to 255: cut off after scaling where no colour of the table lies above 1."""
+    top = points.agg(F.max(F.greatest("r", "g", "b")).alias("_top"))  # one row
+    scale = F.when(F.col("_top") <= 1, 255.0).otherwise(1.0)
+    return points.join(F.broadcast(top)).withColumns({c: F.floor(F.col(c) * scale).cast("int") for c in "rgb"}).drop("_top")
+
+
+def concatenated(*clouds: DataFrame) -> DataFrame:
+    """The rows of several clouds; columns that one lacks are null there."""
+    out = clouds[0]
+    for cloud in clouds[1:]:
+        out = out.unionByName(cloud, allowMissingColumns=True)
+    return out

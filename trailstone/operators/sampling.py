@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..plans.staging import written
+from .ordered import with_ordinal
 
 
 def lcg(key: Column, seed: int = 0) -> Column:
@@ -35,36 +38,71 @@ def grid_cells(points: DataFrame) -> DataFrame:
 
 def stratified_sample(points: DataFrame, ratio: float, key: str = "point_id", seed: int = 0) -> DataFrame:
     """max(1, int(m * ratio)) rows of each cell of m points, trimmed or topped up to exactly int(n * ratio) rows."""
-    order = [lcg(F.col(key), seed), F.col(key)]
-    celled = written(grid_cells(points), "cells")
-    target = int(celled.count() * ratio)
-    own = Window.partitionBy("cell")
-    ranked = celled.withColumn("m", F.count("*").over(own)).withColumn("k", F.row_number().over(own.orderBy(*order)))
-    wanted = F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("m") * F.lit(ratio)))
-    return ranked.orderBy((~wanted).cast("int"), *order).limit(target).drop("m", "k")
+    placed = written(with_ordinal(grid_cells(points).withColumn("_o", lcg(F.col(key), seed)), "_o", key, by=["cell"], name="_k"), "cells")
+    target = int(placed.count() * ratio)
+    sizes = written(placed.groupBy("cell").agg(F.count("*").alias("_m")), "sizes")
+    wanted = F.col("_k") < F.greatest(F.lit(1), F.floor(F.col("_m") * F.lit(ratio)))
+    ranked = placed.join(sizes, "cell").withColumn("_rest", (~wanted).cast("int"))
+    # positions are counted within ranges, so that no task holds all that is taken
+    return with_ordinal(ranked, "_rest", "_o", key, name="_n").where(F.col("_n") < target).drop("_rest", "_o", "_k", "_m", "_n")
 
 
 def percentage_subsample(points: DataFrame, ratio: float, step: str, key: str = "point_id") -> DataFrame:
-    """About `ratio` of each step's rows by seeded order, all rows of the last step; keeps floor(m * ratio), at least 1."""
-    last = points.agg(F.max(step)).first()[0]
-    w = Window.partitionBy(step)
-    ranked = points.withColumn("m", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy(lcg(F.col(key)), key)))
-    return ranked.where((F.col(step) == F.lit(last)) | (F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("m") * F.lit(ratio))))).drop("m", "k")
-
-
-def voxels(points: DataFrame, size: float) -> DataFrame:
-    """Mean position and count of each voxel, counted from the cloud's least corner."""
-    lo = points.agg(*(F.min(c) for c in "xyz")).first()
-    keys = [F.floor((F.col(c) - F.lit(v or 0.0)) / F.lit(size)).alias(f"v{c}") for c, v in zip("xyz", lo, strict=True)]
-    return points.groupBy(*keys).agg(*(F.round(F.avg(c), 11).alias(c) for c in "xyz"), F.count("*").alias("n"))
-
+    """About `ratio` of each step's rows by seeded order, all rows of the last step; keeps floor(m * ratio), at least 1.
 
-def voxel_size_for(points: DataFrame, target: int, start: float, rounds: int = 8, tolerance: float = 0.05, least: float = 1e-3, most: float = 10.0) -> float:
-    """Voxel size that leaves about `target` points: at most `rounds` tries, a fifth larger or smaller each time."""
-    size = start
+    A step's rows may fill any number of ranges. Rows without a step are a step of their own."""
+    last = points.agg(F.max(step)).first()[0]
+    placed = with_ordinal(points.withColumn("_o", lcg(F.col(key))), "_o", key, by=[step], name="_k")
+    sizes = written(points.groupBy(F.col(step).alias("_step")).agg(F.count("*").alias("_m")), "sizes")
+    ranked = placed.join(sizes, F.col(step).eqNullSafe(F.col("_step")))
+    whole = F.coalesce(F.col(step) == F.lit(last), F.lit(False))
+    return ranked.where(whole | (F.col("_k") < F.greatest(F.lit(1), F.floor(F.col("_m") * F.lit(ratio))))).drop("_o", "_k", "_m", "_step")
+
+
+def voxels(points: DataFrame, size: float, also: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """Mean position and count of each voxel, counted from the least corner of its cloud (of equal `by`); `also` are averaged too."""
+    least = points.groupBy(*by).agg(*(F.min(c).alias(f"_lo_{c}") for c in "xyz"))
+    if by:
+        least = written(least, "corners")
+        placed = points.join(least, list(by))
+    else:
+        placed = points.join(F.broadcast(least))  # one row
+    keys = [F.floor((F.col(c) - F.col(f"_lo_{c}")) / F.lit(size)).alias(f"v{c}") for c in "xyz"]
+    return placed.groupBy(*by, *keys).agg(*(F.round(F.avg(c), 11).alias(c) for c in "xyz"), F.count("*").alias("n"), *(F.round(F.avg(c), 9).alias(c) for c in also))
+
+
+def first_voxel_size(points: DataFrame, target: int) -> float:
+    """The diagonal of the cloud's box over the cube root of the target (at least 10), between a centimetre and a metre."""
+    r = points.agg(*(F.max(c) - F.min(c) for c in "xyz")).first()
+    diagonal = math.sqrt(sum((v or 0.0) ** 2 for v in r))
+    return max(0.01, min(1.0, diagonal / max(10, int(target ** (1.0 / 3.0)))))
+
+
+def voxel_size_for(points: DataFrame, target: int, start: float | None = None, rounds: int = 8, tolerance: float = 0.2, least: float = 1e-3, most: float = 10.0) -> float:
+    """Voxel size that leaves about `target` points, after at most `rounds` tries.
+
+    A try that leaves more or fewer than the tolerance allows scales the size by the square root of what it left over the
+    target, between a half and twice.
+    """
+    size = first_voxel_size(points, target) if start is None else start
     for _ in range(rounds):
-        n = voxels(points, size).count()
-        if abs(n - target) <= tolerance * target:
+        left = voxels(points, size).count()
+        if abs(left - target) <= tolerance * target:
             break
-        size = min(max(size * (1.2 if n > target else 0.8), least), most)
+        size = min(max(size * min(2.0, max(0.5, math.sqrt(left / max(target, 1)))), least), most)
     return size
+
+
+def subsample(points: DataFrame, ratio: float = 0.6, last: bool = False, enabled: bool = True, also: Sequence[str] = ()) -> tuple[DataFrame, str]:
+    """(points, how) of a step's cloud that is shown: all of it where it is the last step's or subsampling is off.
+
+    Voxel means are taken where they come within 0.05 of the share that is asked for, else an exact sample over grid cells.
+    """
+    n = points.count()
+    target = int(n * ratio)
+    if not enabled or last or target >= n:
+        return points, "all"
+    means = written(voxels(points, voxel_size_for(points, target), also), "voxels")
+    if abs(means.count() / n - ratio) <= 0.05:
+        return means, "voxels"
+    return stratified_sample(points, ratio), "grid"

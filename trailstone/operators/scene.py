@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
+from ..plans.staging import written
+from .ordered import with_ordinal
 
 #: Colours of the named detection classes, and of all others.
 CLASS_COLOURS = {"Chair": "255,165,0", "Window": "0,191,255", "Person": "255,20,147", "Car": "255,0,0", "Table": "50,205,50", "Door": "138,43,226"}
@@ -86,8 +89,9 @@ def floor_grid(centre: DataFrame, plane: tuple[float, float, float, float], half
     return rows.select("axis", "idx", *(F.round(x, 5).alias(k) for x, k in zip((*a, *b), names, strict=True)))
 
 
-def trajectory_segments(poses: DataFrame) -> DataFrame:
-    """Each pose's line to the next; a run's steps are dense, so the next step is an equi-join."""
-    nxt = poses.select((F.col("step_nr") - 1).alias("step_nr"), F.col("tx").alias("bx"), F.col("ty").alias("by"), F.col("tz").alias("bz"))
+def trajectory_segments(poses: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Each pose's line to the next one of its run, whatever steps are missing between them."""
+    placed = written(with_ordinal(poses.select(*by, "step_nr", "tx", "ty", "tz"), "step_nr", by=by), "placed")
+    nxt = placed.select(*by, (F.col("i") - 1).alias("i"), F.col("tx").alias("bx"), F.col("ty").alias("by"), F.col("tz").alias("bz"))
     size = F.sqrt((F.col("bx") - F.col("tx")) ** 2 + (F.col("by") - F.col("ty")) ** 2 + (F.col("bz") - F.col("tz")) ** 2)
-    return poses.join(nxt, "step_nr").select("step_nr", "tx", "ty", "tz", "bx", "by", "bz", F.round(size, 6).alias("length"))
+    return placed.join(nxt, [*by, "i"]).select(*by, "step_nr", "tx", "ty", "tz", "bx", "by", "bz", F.round(size, 6).alias("length"))

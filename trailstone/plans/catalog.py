@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions import proximity
@@ -30,7 +29,9 @@ def query(sql: str | None = None, views: str = ""):
         if sql:
             parts = [b.SQL[v] for v in views.split()]
             body = sql.strip()
-            if parts and body.upper().startswith("WITH "):
+            if parts and body.upper().startswith("WITH RECURSIVE "):
+                body = "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[15:]
+            elif parts and body.upper().startswith("WITH "):
                 body = "WITH " + ",\n".join(parts) + ",\n" + body[5:]
             elif parts:
                 body = "WITH " + ",\n".join(parts) + "\n" + body
@@ -187,11 +188,13 @@ def confidence_filtered_cloud(spark, d):
     return b.points(spark, d).where(pt.confident()).select("point_id", "x", "y", "z", "confidence")
 
 
-_KEYFRAMES = "keyframes AS (SELECT CAST(step_nr AS INT) AS keyframe_id, tx, ty, tz, qx, qy, qz, qw, 1.5E0 AS scale FROM poses WHERE step_nr < 16)"
+_KEYFRAMES = "keyframes AS (SELECT CAST(step_nr % 16 AS INT) AS keyframe_id, tx, ty, tz, qx, qy, qz, qw, 1.5E0 AS scale FROM poses QUALIFY row_number() OVER (PARTITION BY step_nr % 16 ORDER BY step_nr DESC) = 1)"
 
 
 def _keyframes(spark, d):
-    return b.poses(spark, d).where("step_nr < 16").withColumns({"keyframe_id": F.col("step_nr").cast("int"), "scale": F.lit(1.5)})
+    """Each keyframe's newest pose; poses move the sixteen keyframes in turn."""
+    versions = b.poses(spark, d).drop("ts").withColumns({"keyframe_id": F.expr("CAST(step_nr % 16 AS INT)"), "scale": F.lit(1.5)}).withColumnRenamed("step_nr", "valid_from")
+    return memory.poses_as_of(versions, None)
 
 
 @query(
@@ -231,9 +234,9 @@ def floor_highlight(spark, d):
 
 
 _SAMPLE = """smp AS (SELECT *, row_number() OVER (ORDER BY (point_id * 1103515245 + 12345) % 2147483648, point_id) - 1 AS o FROM points
- ORDER BY (point_id * 1103515245 + 12345) % 2147483648, point_id LIMIT 1500),
+ ORDER BY (point_id * 1103515245 + 12345) % 2147483648, point_id LIMIT (SELECT least(CAST(floor(count(*) * 0.15E0) AS BIGINT), 15000) FROM points)),
  n AS (SELECT count(*) AS n FROM smp),
- tri AS (SELECT i AS iter, ((i * 3) * 1103515245 + 12345) % 2147483648 % n AS o0, ((i * 3 + 1) * 1103515245 + 12345) % 2147483648 % n AS o1, ((i * 3 + 2) * 1103515245 + 12345) % 2147483648 % n AS o2 FROM range(300) t(i), n),
+ tri AS (SELECT i AS iter, ((i * 3) * 1103515245 + 12345) % 2147483648 % n AS o0, ((i * 3 + 1) * 1103515245 + 12345) % 2147483648 % n AS o1, ((i * 3 + 2) * 1103515245 + 12345) % 2147483648 % n AS o2 FROM range(1000) t(i), n),
  raw AS (SELECT iter, a.x AS ax, a.y AS ay, a.z AS az, (b.y-a.y)*(c.z-a.z)-(b.z-a.z)*(c.y-a.y) AS mx, (b.z-a.z)*(c.x-a.x)-(b.x-a.x)*(c.z-a.z) AS my, (b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) AS mz
   FROM tri JOIN smp a ON a.o = o0 JOIN smp b ON b.o = o1 JOIN smp c ON c.o = o2),
  unit AS (SELECT iter, ax, ay, az, CASE WHEN my < 0 THEN -mx ELSE mx END / sqrt(mx*mx+my*my+mz*mz) AS nx, abs(my) / sqrt(mx*mx+my*my+mz*mz) AS ny, CASE WHEN my < 0 THEN -mz ELSE mz END / sqrt(mx*mx+my*my+mz*mz) AS nz FROM raw WHERE sqrt(mx*mx+my*my+mz*mz) >= 1e-6),
@@ -243,44 +246,22 @@ _SAMPLE = """smp AS (SELECT *, row_number() OVER (ORDER BY (point_id * 110351524
  scored AS (SELECT iter, nx, ny, nz, d, inliers, abs(ny) AS h, support, inliers * abs(ny) * 10 + abs(ny) * 1000 + support * 500 AS score FROM planes JOIN inl USING (iter) JOIN sup USING (iter))"""
 
 
-#: At the reference's limits: 0.15 of the points and 15,000 at most, 1,000 hypotheses.
-_SAMPLE_WHOLE = _SAMPLE.replace("LIMIT 1500", "LIMIT (SELECT least(CAST(floor(count(*) * 0.15E0) AS BIGINT), 15000) FROM points)").replace("range(300)", "range(1000)")
-
-
-def _scored(spark, d, **limits):
-    planes, sample = floor.hypotheses(b.points(spark, d), **limits)
+def _scored(spark, d):
+    planes, sample = floor.hypotheses(b.points(spark, d))
     return floor.score_planes(planes, sample, b.poses(spark, d))
 
 
-#: What the SQL of the two queries without _whole fixes.
-_PROBE = {"n_iter": 300, "sample": 1500, "ratio": 1.0}
-
-
 @query(f"WITH {_SAMPLE} SELECT iter, inliers, round(h, 6) AS horizontality, round(support, 6) AS support, round(score, 4) AS score FROM scored", "points poses")
 def ransac_plane_scores(spark, d):
-    return _scored(spark, d, **_PROBE).select("iter", "inliers", F.round("horizontality", 6).alias("horizontality"), F.round("support", 6).alias("support"), F.round("score", 4).alias("score"))
-
-
-@query(
-    f"""WITH {_SAMPLE}, valid AS (SELECT * FROM scored WHERE h > 0.7 AND inliers >= 75), stop AS (SELECT min(iter) AS stop FROM valid WHERE h > 0.95 AND support > 0.8 AND inliers > 300)
- SELECT iter, round(nx, 6) AS nx, round(ny, 6) AS ny, round(nz, 6) AS nz, round(d, 6) AS d, inliers FROM valid, stop WHERE stop IS NULL OR iter <= stop ORDER BY round(score, 6) DESC, iter LIMIT 1""",
-    "points poses",
-)
-def ransac_best_plane(spark, d):
-    return floor.best_plane(_scored(spark, d, **_PROBE), 300).select("iter", *(F.round(c, 6).alias(c) for c in ("nx", "ny", "nz", "d")), "inliers")
-
-
-@query(f"WITH {_SAMPLE_WHOLE} SELECT iter, inliers, round(h, 6) AS horizontality, round(support, 6) AS support, round(score, 4) AS score FROM scored", "points poses")
-def ransac_plane_scores_whole(spark, d):
     return _scored(spark, d).select("iter", "inliers", F.round("horizontality", 6).alias("horizontality"), F.round("support", 6).alias("support"), F.round("score", 4).alias("score"))
 
 
 @query(
-    f"""WITH {_SAMPLE_WHOLE}, valid AS (SELECT * FROM scored WHERE h > 0.7 AND inliers >= 250), stop AS (SELECT min(iter) AS stop FROM valid WHERE h > 0.95 AND support > 0.8 AND inliers > 1000)
+    f"""WITH {_SAMPLE}, valid AS (SELECT * FROM scored WHERE h > 0.7 AND inliers >= 250), stop AS (SELECT min(iter) AS stop FROM valid WHERE h > 0.95 AND support > 0.8 AND inliers > 1000)
  SELECT iter, round(nx, 6) AS nx, round(ny, 6) AS ny, round(nz, 6) AS nz, round(d, 6) AS d, inliers FROM valid, stop WHERE stop IS NULL OR iter <= stop ORDER BY round(score, 6) DESC, iter LIMIT 1""",
     "points poses",
 )
-def ransac_best_plane_whole(spark, d):
+def ransac_best_plane(spark, d):
     return floor.best_plane(_scored(spark, d)).select("iter", *(F.round(c, 6).alias(c) for c in ("nx", "ny", "nz", "d")), "inliers")
 
 
@@ -302,12 +283,12 @@ def floor_asof(spark, d):
 
 
 @query(
-    """WITH want AS (SELECT s AS step_nr, g AS segment_id FROM range(50) a(s), range(12) c(g)) SELECT w.step_nr, CAST(w.segment_id AS INT) AS segment_id,
- (SELECT arg_max(class_label, l.step_nr * 1000000 + l.ord) FROM segment_labels l WHERE l.segment_id = w.segment_id AND l.step_nr <= w.step_nr) AS class_label FROM want w""",
+    """WITH want AS (SELECT event_id, event_id % 60 AS step_nr, CAST(event_id % 12 AS INT) AS segment_id FROM events), newest AS (SELECT step_nr, segment_id, arg_max(class_label, ord) AS class_label FROM segment_labels GROUP BY 1, 2)
+ SELECT w.event_id, w.step_nr, w.segment_id, l.class_label FROM want w ASOF LEFT JOIN newest l ON w.segment_id = l.segment_id AND w.step_nr >= l.step_nr""",
     "segment_labels",
 )
 def label_asof(spark, d):
-    want = spark.range(600).selectExpr("id DIV 12 AS step_nr", "CAST(id % 12 AS INT) AS segment_id")
+    want = b.table(spark, d, "events").selectExpr("event_id", "event_id % 60 AS step_nr", "CAST(event_id % 12 AS INT) AS segment_id")
     return asof.asof_join(want, b.segment_labels(spark, d), "step_nr", ["segment_id"], ["class_label"], tie="ord")
 
 
@@ -427,11 +408,6 @@ def detection_topk(spark, d):
     return masks.strongest(b.detections(spark, d), 3).select("step_nr", "detection_id", "rank")
 
 
-@query()
-def nms(spark, d):
-    return masks.suppress(b.detections(spark, d)).select("step_nr", "class_name", "detection_id")
-
-
 @query("WITH f AS (SELECT user_id, min(step_nr) AS first_step FROM detections GROUP BY 1) SELECT user_id, first_step, row_number() OVER (ORDER BY first_step, user_id) AS object_nr FROM f", "detections")
 def object_dictionary(spark, d):
     return asof.object_numbers(b.detections(spark, d), "user_id")
@@ -486,7 +462,7 @@ def mask_resize_crop(spark, d):
 
 _DOT = "list_sum(list_transform(list_zip(a.embedding, c.embedding), lambda t: CAST(t[1] AS DOUBLE) * CAST(t[2] AS DOUBLE)))"
 _RETRIEVED = f"""sim AS (SELECT a.keyframe_id, c.keyframe_id AS match_id, round({_DOT}, 6) AS similarity FROM descriptors a JOIN descriptors c ON c.keyframe_id < a.keyframe_id),
- rk AS (SELECT *, row_number() OVER (PARTITION BY keyframe_id ORDER BY similarity DESC, match_id) AS r FROM sim WHERE similarity > 5e-3), got AS (SELECT * FROM rk WHERE r <= 3)"""
+ rk AS (SELECT *, row_number() OVER (PARTITION BY keyframe_id ORDER BY similarity DESC, match_id) AS r FROM sim WHERE similarity > 5e-3), got AS (SELECT * FROM rk WHERE r <= 3), before AS (SELECT keyframe_id, lag(keyframe_id) OVER (ORDER BY keyframe_id) AS previous FROM descriptors)"""
 
 
 @query(f"WITH {_RETRIEVED} SELECT keyframe_id, match_id, similarity FROM got", "descriptors")
@@ -494,12 +470,12 @@ def keyframe_knn(spark, d):
     return graph.retrieve(b.descriptors(spark, d))
 
 
-@query(f"WITH {_RETRIEVED} SELECT keyframe_id AS src, match_id AS dst FROM got UNION SELECT keyframe_id, keyframe_id - 1 FROM descriptors WHERE keyframe_id - 1 IN (SELECT keyframe_id FROM descriptors)", "descriptors")
+@query(f"WITH {_RETRIEVED} SELECT keyframe_id AS src, match_id AS dst FROM got UNION SELECT keyframe_id, previous FROM before WHERE previous IS NOT NULL", "descriptors")
 def keyframe_edges(spark, d):
     return graph.edges(b.descriptors(spark, d))
 
 
-@query(f"WITH {_RETRIEVED} SELECT keyframe_id AS src, match_id AS dst FROM got WHERE match_id <> keyframe_id - 1", "descriptors")
+@query(f"WITH {_RETRIEVED} SELECT keyframe_id AS src, match_id AS dst FROM got JOIN before USING (keyframe_id) WHERE match_id <> previous", "descriptors")
 def loop_closures(spark, d):
     return graph.loop_closures(b.descriptors(spark, d))
 
@@ -574,8 +550,8 @@ def detection_gate(spark, d):
 
 @query("WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) SELECT user_id, event_id, CAST(k AS INT) AS k FROM r WHERE k <= 7")
 def memory_bank_last7(spark, d):
-    w = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
-    return b.table(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).alias("k")).where("k <= 7")
+    f = b.table(spark, d, "events").selectExpr("user_id", "event_id", "event_id AS frame_idx", "false AS conditioning")
+    return memory.bank(f, key="user_id").select("user_id", "event_id", "k")
 
 
 _FRAMES = "fr AS (SELECT user_id AS object_id, event_id AS frame_idx, event_type = 'purchase' AS conditioning, value AS score FROM events)"
@@ -596,26 +572,8 @@ def memory_cleared(spark, d):
     return memory.cleared(f, f.where("conditioning"), 140).select("object_id", "frame_idx")
 
 
-@query(f"WITH {_FRAMES}, o AS (SELECT f.frame_idx // 100 AS frame_idx, f.object_id, max(score) AS score FROM fr f GROUP BY 1, 2), ids AS (SELECT a.frame_idx, g.object_id FROM (SELECT DISTINCT frame_idx FROM o) a, (SELECT DISTINCT object_id FROM o WHERE object_id < 10) g) SELECT ids.frame_idx, ids.object_id, coalesce(score, -1024) AS score FROM ids LEFT JOIN o USING (frame_idx, object_id)")
-def outputs_consolidated(spark, d):
-    out = _frames(spark, d).groupBy(F.expr("frame_idx DIV 100").alias("frame_idx"), "object_id").agg(F.max("score").alias("score"))
-    few = F.array_sort(F.collect_set(F.when(F.col("object_id") < 10, F.col("object_id")))).alias("ids")  # ten objects at most
-    wanted = out.select("frame_idx").distinct().join(F.broadcast(out.agg(few))).select("frame_idx", F.explode("ids").alias("object_id"))
-    return memory.consolidated(wanted, out)
-
-
-@query(
-    f"""WITH {_FRAMES}, a AS (SELECT object_id, frame_idx // 10 AS frame_idx, conditioning, score, 1 AS rk FROM fr WHERE frame_idx % 10 = 0), z AS (SELECT object_id, frame_idx // 10, conditioning, score, 0 FROM fr WHERE frame_idx % 10 = 5),
- u AS (SELECT *, row_number() OVER (PARTITION BY object_id, frame_idx ORDER BY conditioning DESC, rk DESC) AS k FROM (SELECT * FROM a UNION ALL SELECT * FROM z)) SELECT object_id, frame_idx, conditioning, score FROM u WHERE k = 1"""
-)
-def outputs_merged(spark, d):
-    f = _frames(spark, d)
-    tenth = lambda r: f.where(f"frame_idx % 10 = {r}").withColumn("frame_idx", F.expr("frame_idx DIV 10"))
-    return memory.merged(tenth(0), tenth(5))
-
-
 @query(f"WITH {_FRAMES}, o AS (SELECT f.frame_idx // 100 AS frame_idx, f.object_id, max(score) AS score FROM fr f GROUP BY 1, 2), ids AS (SELECT DISTINCT a.frame_idx, g.object_id FROM o a JOIN o g ON a.frame_idx // 10 = g.frame_idx // 10) SELECT ids.frame_idx, ids.object_id, coalesce(score, -1024) AS score FROM ids LEFT JOIN o USING (frame_idx, object_id)")
-def outputs_consolidated_whole(spark, d):
+def outputs_consolidated(spark, d):
     """All objects; each frame is filled in for the objects of its ten frames."""
     out = _frames(spark, d).groupBy(F.expr("frame_idx DIV 100").alias("frame_idx"), "object_id").agg(F.max("score").alias("score"))
     ten = F.expr("frame_idx DIV 10").alias("ten")
@@ -627,16 +585,19 @@ def outputs_consolidated_whole(spark, d):
     f"""WITH {_FRAMES}, a AS (SELECT object_id, frame_idx // 2 AS frame_idx, conditioning, score, 1 AS rk FROM fr WHERE frame_idx % 2 = 0), z AS (SELECT object_id, frame_idx // 2, conditioning, score, 0 FROM fr WHERE frame_idx % 2 = 1),
  u AS (SELECT *, row_number() OVER (PARTITION BY object_id, frame_idx ORDER BY conditioning DESC, rk DESC) AS k FROM (SELECT * FROM a UNION ALL SELECT * FROM z)) SELECT object_id, frame_idx, conditioning, score FROM u WHERE k = 1"""
 )
-def outputs_merged_whole(spark, d):
+def outputs_merged(spark, d):
     """All events: the even frames with the odd ones behind them."""
     f = _frames(spark, d)
     half = lambda r: f.where(f"frame_idx % 2 = {r}").withColumn("frame_idx", F.expr("frame_idx DIV 2"))
     return memory.merged(half(0), half(1))
 
 
-@query("WITH v AS (SELECT CAST(step_nr % 16 AS INT) AS keyframe_id, step_nr AS valid_from, tx, ty, tz FROM poses WHERE step_nr <= 40), r AS (SELECT *, row_number() OVER (PARTITION BY keyframe_id ORDER BY valid_from DESC) AS k FROM v) SELECT keyframe_id, tx, ty, tz FROM r WHERE k = 1", "poses")
+@query("WITH v AS (SELECT CAST(step_nr % 16 AS INT) AS keyframe_id, step_nr AS valid_from, tx, ty, tz FROM poses WHERE step_nr <= (SELECT max(step_nr) // 2 FROM poses)), r AS (SELECT *, row_number() OVER (PARTITION BY keyframe_id ORDER BY valid_from DESC) AS k FROM v) SELECT keyframe_id, tx, ty, tz FROM r WHERE k = 1", "poses")
 def keyframe_poses_asof(spark, d):
-    return memory.poses_as_of(b.poses(spark, d).selectExpr("CAST(step_nr % 16 AS INT) AS keyframe_id", "step_nr AS valid_from", "tx", "ty", "tz"), 40)
+    """As of the middle of the run."""
+    p = b.poses(spark, d)
+    half = p.agg(F.expr("max(step_nr) DIV 2")).first()[0]
+    return memory.poses_as_of(p.selectExpr("CAST(step_nr % 16 AS INT) AS keyframe_id", "step_nr AS valid_from", "tx", "ty", "tz"), half)
 
 
 # ---- scene
@@ -672,7 +633,7 @@ def floor_grid_lines(spark, d):
     return out.withColumns({"ay": F.abs("ay"), "by": F.abs("by")})
 
 
-@query("SELECT a.step_nr, a.tx, a.ty, a.tz, c.tx AS bx, c.ty AS by, c.tz AS bz, round(sqrt((c.tx-a.tx)**2 + (c.ty-a.ty)**2 + (c.tz-a.tz)**2), 6) AS length FROM poses a JOIN poses c ON c.step_nr = a.step_nr + 1", "poses")
+@query("WITH l AS (SELECT step_nr, tx, ty, tz, lead(tx) OVER w AS bx, lead(ty) OVER w AS \"by\", lead(tz) OVER w AS bz FROM poses WINDOW w AS (ORDER BY step_nr)) SELECT *, round(sqrt((bx-tx)**2 + (\"by\"-ty)**2 + (bz-tz)**2), 6) AS length FROM l WHERE bx IS NOT NULL", "poses")
 def trajectory_segments(spark, d):
     return scene.trajectory_segments(b.poses(spark, d))
 
@@ -728,12 +689,4 @@ def cube_rollup_classes(spark, d):
     return b.detections(spark, d).cube("class_name", "detection_id").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean")).withColumn("detection_id", F.coalesce("detection_id", F.lit(-1)))
 
 
-@query()
-def approx_classes(spark, d):
-    return b.detections(spark, d).groupBy("class_name").agg(F.approx_count_distinct("user_id").alias("users"))
-
-
-@query()
-def metadata_json(spark, d):
-    s = stats.run_summary(b.poses(spark, d)).select(F.struct("poses", "duration").alias("data_summary"))
-    return s.select(F.to_json(F.struct("data_summary")).alias("metadata"))
+from . import catalog_outputs  # noqa: E402, F401  (registers its queries)

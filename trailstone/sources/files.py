@@ -105,6 +105,72 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return _required(_csv(spark, path, LABELS), "step_nr", "segment_id", "class_label")
 
 
+def write_json(steps: DataFrame, summary: DataFrame, path: str) -> None:
+    """A record a step under `path`/steps and the one of the run under `path`/summary: a run's records are never one value."""
+    steps.write.mode("overwrite").json(f"{path}/steps")
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
+def write_closest_points_json(closest: DataFrame, poses: DataFrame, path: str) -> None:
+    """Each step's nearest points, indices and distances in their order; the run's mean, least and greatest distance."""
+    ranked = F.sort_array(F.collect_list(F.struct("point_idx", F.array("x", "y", "z").alias("p"), "point_id", "distance")))  # k a step at most
+    steps = closest.groupBy("step_nr").agg(ranked.alias("r")).select("step_nr", F.col("r.p").alias("n_closest_points_3d"), F.col("r.point_id").alias("n_closest_points_indices"), F.col("r.distance").alias("n_closest_points_distances"))
+    stats = closest.agg(*(f("distance").alias(f"{n}_n_closest_points_distance_2d") for f, n in ((F.avg, "avg"), (F.min, "min"), (F.max, "max"))))
+    write_json(steps, poses.agg(F.count("*").alias("num_poses")).join(stats.select(F.struct("*").alias("analysis_summary"))), path)
+
+
+def read_closest_points_json(spark: SparkSession, path: str) -> DataFrame:
+    """What write_closest_points_json wrote, a row a point."""
+    schema = "step_nr long, n_closest_points_3d array<array<double>>, n_closest_points_indices array<long>, n_closest_points_distances array<double>"
+    zipped = F.arrays_zip(F.col("n_closest_points_3d").alias("p"), F.col("n_closest_points_indices").alias("i"), F.col("n_closest_points_distances").alias("d"))
+    rows = spark.read.schema(schema).json(f"{path}/steps").select("step_nr", F.posexplode(zipped).alias("point_idx", "r"))
+    return rows.select("step_nr", "point_idx", *(F.col("r.p")[i].alias(c) for i, c in enumerate("xyz")), F.col("r.i").alias("point_id"), F.col("r.d").alias("distance"))
+
+
+def write_detections_json(frames: DataFrame, detections: DataFrame, report: DataFrame, path: str) -> None:
+    """Each frame with its detections by class, frames without any too; the run's counts."""
+    one = F.struct(F.array("x1", "y1", "x2", "y2").alias("bbox"), "confidence", "detection_id")
+    by_class = detections.groupBy("step_nr", "class_name").agg(F.sort_array(F.collect_list(F.struct("detection_id", one.alias("d")))).alias("found"))
+    nested = by_class.groupBy("step_nr").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("class_name"), F.col("found.d"))))).alias("detections"))
+    write_json(frames.select("step_nr").distinct().join(nested, "step_nr", "left"), report, path)
+
+
+def read_detections_json(spark: SparkSession, path: str) -> DataFrame:
+    """What write_detections_json wrote, a row a detection."""
+    schema = "step_nr long, detections map<string, array<struct<bbox: array<double>, confidence: double, detection_id: int>>>"
+    rows = spark.read.schema(schema).json(f"{path}/steps").select("step_nr", F.explode("detections").alias("class_name", "found")).select("step_nr", "class_name", F.explode("found").alias("d"))
+    return rows.select("step_nr", "class_name", *(F.col("d.bbox")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))), "d.confidence", "d.detection_id")
+
+
+def write_labels_json(labels: DataFrame, report: DataFrame, path: str) -> None:
+    """Each labelled frame's map from segment to label; the run's counts."""
+    pairs = labels.groupBy("step_nr", "segment_id").agg(F.max_by("class_label", "ord").alias("class_label"))
+    nested = pairs.groupBy("step_nr").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("segment_id").cast("string"), "class_label")))).alias("segmentation_labels"))
+    write_json(nested, report, path)
+
+
+def read_labels_json(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.schema("step_nr long, segmentation_labels map<string, string>").json(f"{path}/steps")
+    return rows.select("step_nr", F.explode("segmentation_labels").alias("segment_id", "class_label")).withColumn("segment_id", F.col("segment_id").cast("int"))
+
+
+def write_floor_json(floors: DataFrame, path: str) -> None:
+    """The latest plane only."""
+    last = floors.agg(F.max_by(F.struct("nx", "ny", "nz", "offset", "step_nr"), "step_nr").alias("f")).where("f IS NOT NULL")
+    last.selectExpr("array(f.nx, f.ny, f.nz) AS floor_normal", "f.offset AS floor_offset", "f.step_nr AS detection_step").coalesce(1).write.mode("overwrite").json(path)
+
+
+def metadata_document(data_summary: DataFrame, parts: dict[str, DataFrame], configuration: dict[str, str], components: list[dict], file_paths: dict[str, str]) -> DataFrame:
+    """One JSON document of a run: its summary, configuration, components and files, and each part's only row (none: left out)."""
+    as_map = lambda m: F.create_map(*(F.lit(x) for kv in m.items() for x in kv)) if m else F.create_map().cast("map<string,string>")
+    out = data_summary.select(F.struct("*").alias("data_summary"))
+    for name, part in parts.items():
+        out = out.join(part.limit(1).select(F.struct("*").alias(name)), how="left", on=F.lit(True))  # one row each
+    listed = F.array(*(F.struct(F.lit(c["type"]).alias("type"), as_map({k: str(v) for k, v in c.get("config", {}).items()}).alias("config")) for c in components)) if components else F.array()
+    told = [as_map(configuration).alias("configuration"), F.struct(listed.alias("components")).alias("pipeline_configuration"), as_map(file_paths).alias("file_paths")]
+    return out.select(F.to_json(F.struct("data_summary", *told, *parts)).alias("value"))
+
+
 def metadata_row(summary: DataFrame, configuration: dict[str, str], file_paths: dict[str, str]) -> DataFrame:
     """One JSON document a row of summary."""
     as_map = lambda m: F.create_map(*(F.lit(x) for kv in m.items() for x in kv)) if m else F.create_map().cast("map<string,string>")
@@ -141,3 +207,37 @@ def first_existing(spark: SparkSession, *paths: str | None) -> str | None:
             if path.getFileSystem(conf).exists(path):
                 return p
     return None
+
+
+def calibration(spark: SparkSession, path: str | None, required: bool) -> dict[str, float | list[float]] | None:
+    """width, height, fx, fy, cx, cy and distortion of a camera from a file of `name: value` lines; numbers after a `#` are comments.
+
+    None where there is no file and none is required; a missing or incomplete file that is required is an error.
+    """
+    if not path or first_existing(spark, path) is None:
+        if required:
+            raise ValueError("a calibration is required, but there is none")
+        return None
+    lines = spark.read.text(path, wholetext=True).first()["value"].splitlines()  # a few lines
+    found = {k.strip(): [float(x) for x in v.strip().strip("[]").split(",") if x.strip()] for k, _, v in (line.split("#")[0].partition(":") for line in lines) if v.strip()}
+    numbers = found.get("calibration", [])
+    out = {k: found[k][0] for k in ("width", "height") if k in found} | dict(zip(("fx", "fy", "cx", "cy"), numbers, strict=False))
+    if len(out) < 6:
+        raise ValueError(f"{path}: width, height and calibration: [fx, fy, cx, cy, ...] are needed")
+    return out | {"distortion": numbers[4:]}
+
+
+#: Extensions of video files.
+VIDEO_EXTENSIONS = ["mp4", "avi", "mov", "mkv", "m4v", "wmv", "flv"]
+
+
+def video_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path and size of the videos of a folder, extensions in lower or upper case, sorted by path; contents aren't read."""
+    listed = spark.read.format("binaryFile").load(folder).select("path", F.col("length").alias("size"))
+    ext = F.regexp_extract("path", r"\.([^./]+)$", 1)
+    return listed.where(ext.isin(VIDEO_EXTENSIONS) | ext.isin([e.upper() for e in VIDEO_EXTENSIONS])).orderBy("path")
+
+
+def overridden(config: dict[str, str], metadata: DataFrame, kind: str) -> dict[str, str]:
+    """config with what a component of a run's metadata says put over it."""
+    return config | {k: v for k, v in component_config(metadata, kind).items() if v is not None}
