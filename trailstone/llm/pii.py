@@ -6,8 +6,8 @@ network, walking on until it falls inside the format again. So a pseudonym has t
 validates too, equal values get equal pseudonyms in all documents whatever their separators, and the key's owner can
 invert the text. Work is local to a row: no shuffle, and the key is all that is sent.
 
-Kinds: card, phone, ssn, iban, ipv4, email (local part), date, secret (values of password/token/key assignments and
-access-key ids). Key names are in any case, quoted or not, and may end a longer name (db_password, authToken). Phones
+Kinds: card, phone, ssn, iban, ipv4, ipv6 (all eight groups written), email (local part), date, secret (values of
+password/token/key assignments, access-key ids, signed web tokens and the bodies of private keys). Key names are in any case, quoted or not, and may end a longer name (db_password, authToken). Phones
 written +1 (NNN) NNN-NNNN count also where the plan has no such area or exchange; their pseudonyms are such numbers too.
 Cards are found with other
 numbers before or behind them (expiry, CVV); where a pseudonym would make such a neighbour part of a card it is walked
@@ -38,11 +38,14 @@ _FIRST_DAY, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() -
 #: characters, so that the bulk of a text is passed over quickly.
 _SHAPES = [
     ("date", re.compile(r"[0-9]{2}(?<![\w/.-][0-9]{2})(?:[0-9]{2}([-/.])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|([-/.])[0-3][0-9]\2(?:19|20)[0-9]{2})(?![\w]|[-/.][0-9])")),
-    ("phone", re.compile(r"[+(2-9](?<![\w.][+(2-9])(?:(?<=[+])1[ .-]?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}|(?<=[+])1[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?<=[(])[2-9][0-9]{2}\)[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}|(?<=[2-9])[0-9]{2}[.-][2-9][0-9]{2}[.-][0-9]{4}|(?<=[+])[2-9][0-9]{0,2}(?:[ .-]?[0-9]){6,13})(?!\w)")),
+    ("phone", re.compile(r"[+(2-9](?<![\w.][+(2-9])(?:(?<=[+])1[ .-]?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}|(?<=[+])1[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?<=[(])[2-9][0-9]{2}\)[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}|(?<=[2-9])[0-9]{2}(?P<gap>[ .-])[2-9][0-9]{2}(?P=gap)[0-9]{4}|(?<=[+])[2-9][0-9]{0,2}(?:[ .-]?[0-9]){6,13})(?!\w)")),
     ("ssn", re.compile(r"[0-9]{3}(?<![\w.-][0-9]{3})-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("iban", re.compile(r"[A-Z]{2}(?<!\w[A-Z]{2})[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("ipv4", re.compile(r"(?<![\w.-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w-]|\.[0-9])")),
     ("email", re.compile(r"[A-Za-z0-9](?<![\w.+%-].)[A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\w-])")),
+    ("ipv6", re.compile(r"(?<![\w:.])(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}|[0-9A-F]{1,4}(?::[0-9A-F]{1,4}){7})(?![\w:]|[.][0-9])")),
+    ("secret", re.compile(r"eyJ(?<!\weyJ)[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?![\w-])")),
+    ("secret", re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----\s+(?P<value>[A-Za-z0-9+/=\s]{32,}?)\s+-----END ")),
     ("secret", re.compile(r"AKIA(?<!\wAKIA)[0-9A-Z]{16}(?!\w)")),
     ("secret", re.compile(r"[pstkaPSTKA](?:(?<![^\W_].)|(?<=[a-z][PSTKA]))(?i:assword|asswd|ecret|ecret[_-]?key|oken|pi[_-]?key|ccess[_-]?key|ey)(?:\\?[\"'])?\s*[=:]\s*(?:\\?[\"'])?(?P<value>[A-Za-z0-9][A-Za-z0-9_+/.-]{6,})")),
 ]
@@ -260,27 +263,28 @@ class Pseudonymiser:
         x = day.toordinal() - _FIRST_DAY
         if not 0 <= x < _DAYS:
             return None
-        if not day_first:
-            return self._month_first(shown, x, back)
-        if year_first:
-            new = date.fromordinal(self.feistel.permute(x, _DAYS, b"date", back) + _FIRST_DAY)
-            return f"{new.year}{shown[4]}{new.month:02d}{shown[7]}{new.day:02d}"
-        new = date.fromordinal(self.feistel.permute(x, _DAYS, b"date", back) + _FIRST_DAY)
-        return f"{new.day:02d}{shown[2]}{new.month:02d}{shown[5]}{new.year}"
-
-    def _month_first(self, shown: str, x: int, back: bool) -> str:
-        """Walks on within the dates that read month first only, so that the result reads that way too."""
+        # days up to the 12th and later ones are permuted among themselves, in all formats alike: a date that can only be
+        # read month first becomes such a date, and the same day gets the same pseudonym however it is written
+        late = day.day > 12
         while True:
             x = self.feistel.permute(x, _DAYS, b"date", back)
             new = date.fromordinal(x + _FIRST_DAY)
-            if new.day > 12:
-                return f"{new.month:02d}{shown[2]}{new.day:02d}{shown[5]}{new.year}"
+            if (new.day > 12) == late:
+                break
+        if year_first:
+            return f"{new.year}{shown[4]}{new.month:02d}{shown[7]}{new.day:02d}"
+        first, second = (new.day, new.month) if day_first else (new.month, new.day)
+        return f"{first:02d}{shown[2]}{second:02d}{shown[5]}{new.year}"
+
+    def ipv6(self, shown: str, back: bool) -> str | None:
+        return _refill(shown, self._hex(shown.replace(":", ""), back))
 
     def secret(self, shown: str, back: bool) -> str | None:
         if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", shown) and len(shown) >= 16:
             return self._hex(shown, back)
-        if len(shown) == 20 and shown.startswith("AKIA"):
-            return "AKIA" + self._classes(shown[4:], "key", back)
+        for head, known in (("AKIA", len(shown) == 20), ("eyJ", shown.count(".") == 2)):
+            if known and shown.startswith(head):
+                return head + self._classes(shown[len(head) :], "key", back)
         return self._classes(shown, "secret", back)
 
     def _hex(self, shown: str, back: bool) -> str:
@@ -295,7 +299,7 @@ class Pseudonymiser:
             if kind == "email" and "@" not in text:
                 continue
             for m in pattern.finditer(text):
-                g = "value" if pattern.groupindex else 0
+                g = "value" if "value" in pattern.groupindex else 0
                 new = getattr(self, kind)(m.group(g), back)
                 if new is not None:
                     found.append((m.start(g), m.end(g), kind, new))
