@@ -96,7 +96,8 @@ class Seeds:
         for i in range(SEED):
             part = words[i : i + n]
             code, known = code * self.base + part, known & (part >= 0)
-        return np.where(known, code, -1)
+        # beyond two million words in a block codes wrap around and may meet; alignment tells such seeds apart
+        return np.where(known, code & (2**63 - 1), -1)
 
     def looked_up(self, text: str) -> list[tuple[int, int]]:
         """Items too short for seeds that the text holds whole, and the word after each."""
