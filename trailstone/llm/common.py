@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import written as staged  # noqa: F401  (text operators and the pipeline take it from here)
+
 #: Whitespace of the word contracts: space, tab, LF, VT, FF, CR.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: Text bytes that a vectorised step holds at once; larger single texts form a block of their own.
@@ -28,25 +28,6 @@ def bucket_of(col: Column | str, n: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) if isinstance(col, str) else F.crc32(col.cast("string").cast("binary")), F.lit(0)) % n
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="trailstone-"))
-        found = context.getCheckpointDir()
-    return found
-
-
-def staged(df: DataFrame, name: str = "t") -> DataFrame:
-    """The rows as a Parquet table in the shared folder: lineage ends there and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in blocks of about `limit` text bytes, so that working memory doesn't follow the batch size."""
     for batch in batches:
