@@ -18,7 +18,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("label")).where(learn & F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label")]
     chosen = [marked.where(F.col("label") == k).orderBy(*order).limit(rows) for k in (0, 1)]
-    few = chosen[0].unionByName(chosen[1]).dropDuplicates(["doc_id"])
+    few = chosen[0].unionByName(chosen[1]).groupBy("doc_id").agg(F.min("label").alias("label"))  # 0 where labels disagree
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
 
 

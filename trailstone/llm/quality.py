@@ -16,10 +16,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from .common import pick
+from .common import pick, text_blocks
 from .labelled import SAMPLE_ROWS, class_counts, labelled_sample
 
 FEATURES = ("log_chars", "log_words", "word_mean", "word_std", "distinct_words", "top_word", "repeats_next", "short_words", "long_words", "space", "upper", "lower", "digit", "high", "pipe", "symbol", "exclaim", "stop", "comma", "lines", "line_mean", "distinct_lines", "top_line_chars", "bare_lines", "packed", "entropy", "distinct_pairs", "marked_words")
@@ -150,31 +150,31 @@ def _constant(zeros: int, ones: int) -> BoostedTrees:
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", rows: int = SAMPLE_ROWS) -> BoostedTrees:
     """Trees from at most `rows` labelled rows of each class; `learn` selects on doc_id which labels may be seen."""
 
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = pd.DataFrame(statistics_table(f["text"].tolist()), columns=FEATURES)
-            out["label"], out["doc_id"] = f["label"].to_numpy("float64"), f["doc_id"].to_numpy()
-            yield out
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches):
+            x = statistics_table(block.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), block.column("label").cast(pa.float64()), block.column("doc_id")], [*FEATURES, "label", "doc_id"])
 
     zeros, ones = class_counts(labels, label, learn)
     if not zeros or not ones:
         return _constant(zeros, ones)
     sample = labelled_sample(docs, labels, label, learn, rows)
-    frame = sample.mapInPandas(measure, ", ".join(f"{c} double" for c in (*FEATURES, "label")) + f", doc_id {dict(sample.dtypes)['doc_id']}").toPandas().sort_values("doc_id")
-    y = frame["label"].to_numpy()
+    measured = sample.mapInArrow(measure, ", ".join(f"{c} double" for c in (*FEATURES, "label")) + f", doc_id {dict(sample.dtypes)['doc_id']}")
+    measured = measured.toArrow().sort_by("doc_id")  # 2 * rows at most
+    x, y = np.stack([measured[c].to_numpy() for c in FEATURES], 1), measured["label"].to_numpy()
     if not 0 < y.sum() < len(y):
         return _constant(zeros, ones)
     weight = np.where(y == 1, ones / y.sum(), zeros / (len(y) - y.sum()))
-    return grow_trees(frame[list(FEATURES)].to_numpy(), y, weight / weight.mean())
+    return grow_trees(x, y, weight / weight.mean())
 
 
 def score_quality(docs: DataFrame, model: BoostedTrees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "score": shared.value.score(statistics_table(f["text"].tolist()))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches):
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(shared.value.score(statistics_table(block.column("text").to_pylist())))], ["doc_id", "score"])
 
     rows = pick(docs, id_col, text_col)
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
