@@ -231,7 +231,7 @@ def near_dedup(docs: DataFrame, k: int = 5, share: int = 80, id_col: str = "doc_
     members = staged(seats.join(buckets, "key").select("key", "id", "pivot"), "members")
     pairs = staged(members.where("id <> pivot").groupBy(F.col("id").alias("u"), F.col("pivot").alias("v")).agg(F.count("*").alias("n")), "pairs")
 
-    needed = staged(heads.join(members.select("id").distinct(), "id", "left_semi").select("id", F.col("doc_id").alias("_id"), "s1", "s2"), "needed")
+    needed = heads.join(members.select("id").distinct(), "id", "left_semi").select("id", F.col("doc_id").alias("_id"), "s1", "s2")
     texts = rows.join(needed, F.col("doc_id").eqNullSafe(F.col("_id"))).select("id", "text", "s1", "s2")
     sets = staged(texts.mapInArrow(_sets(k), "id long, shingles binary").dropDuplicates(["id"]), "sets")
 
