@@ -51,3 +51,32 @@ def test_windows_on_a_stream_equal_batch(spark, tmp_path):
     q = stateful.sessions(stream).writeStream.format("memory").queryName("x").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("x").count() > 0
+
+
+def test_floor_detector_tries_until_it_succeeds_and_keeps_its_plane(spark, tmp_path):
+    fails, good = {2, 3, 9}, lambda i: (0.0, 1.0, 0.0, i / 10)
+    rows = [("s", i, *((None,) * 4 if i in fails else good(i))) for i in range(14)]
+    out = feed(spark, [rows[:5], rows[5:8], rows[8:]], tmp_path, "session_id string, step_nr long, nx double, ny double, nz double, offset double", lambda s: stateful.floor_detector(s, 3, 5), "append")
+    got = {r.step_nr: (r.action, r.offset) for r in out}
+    # frames count from 1: tried at the 3rd, 4th and 5th, refined at the 6th (5 after none), 11th
+    assert [got[i][0] for i in range(14)] == ["none", "none", "detect", "detect", "detect", "refine", "none", "none", "none", "none", "refine", "none", "none", "none"]
+    assert [got[i][1] for i in (3, 4, 5, 9, 10, 13)] == [None, 0.4, 0.5, 0.5, 1.0, 1.0]
+
+
+def test_floor_detector_keeps_the_plane_where_refining_fails(spark, tmp_path):
+    rows = [("s", i, *((0.0, 1.0, 0.0, i / 10) if i < 4 else (None,) * 4)) for i in range(12)]
+    out = feed(spark, [rows], tmp_path, "session_id string, step_nr long, nx double, ny double, nz double, offset double", lambda s: stateful.floor_detector(s, 3, 5), "append")
+    got = {r.step_nr: (r.action, r.offset) for r in out}
+    assert got[2] == ("detect", 0.2) and got[4] == ("refine", 0.2) and got[9] == ("refine", 0.2) and got[11] == ("none", 0.2)
+
+
+def test_objects_are_numbered_over_triggers(spark, tmp_path):
+    frames = [[("s", 1, "b"), ("s", 1, "a"), ("t", 1, "z")], [("s", 2, "a"), ("s", 2, "c"), ("s", 2, None)], [("s", 9, "b")]]
+    out = feed(spark, frames, tmp_path, "session_id string, step_nr long, object_key string", stateful.object_numbers, "append")
+    assert {(r.session_id, r.object_key): r.object_nr for r in out} == {("s", "a"): 1, ("s", "b"): 2, ("s", "c"): 3, ("t", "z"): 1} and len(out) == 6
+
+
+def test_warning_changes_cross_triggers(spark, tmp_path):
+    frames = [[("s", 0, "normal", 0.9), ("s", 1, "caution", 0.5)], [("s", 2, "caution", 0.45), ("s", 3, "critical", 0.1)]]
+    out = feed(spark, frames, tmp_path, "session_id string, step_nr long, level string, distance double", stateful.warning_changes, "append")
+    assert sorted((r.step_nr, r.level, r.previous_level, r.previous_distance) for r in out) == [(0, "normal", None, None), (1, "caution", "normal", 0.9), (3, "critical", "caution", 0.45)]
