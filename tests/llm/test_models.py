@@ -62,6 +62,29 @@ def test_one_language_is_always_predicted(spark):
     assert set(got.values()) == {"de", "und"} and got[99] == "und"
 
 
+def test_language_scores_equal_decoding_bit_by_bit(spark):
+    """Mean weight of a text's n-grams for each bit, logistic loss against each codeword, one text and one bit at a time."""
+    names = ["de", "en", "es", "fr", "it", "nl", "pt"]
+    docs = spark.createDataFrame([(i, " ".join(f"{names[i % 7]}{(i * k) % 13}ab{i % 7}" for k in range(1, 30)), names[i % 7]) for i in range(70)], "doc_id long, text string, lang string")
+    model = langid.fit_language_model(docs)
+    assert model.languages == names and model.code.shape[1] > 5
+    texts = ["de3ab0 en1ab1", "fr", "pt9ab6 " * 40, "zz"]
+    data, at = langid.text_bytes(langid.pa.array(texts))
+    got = model.scores(data, at)
+    for t, row in zip(texts, got, strict=True):
+        found = langid.grams(*langid.text_bytes(langid.pa.array([t])))[0].tolist()
+        sure = min(len(found) / len(langid.SIZES), langid.EVIDENCE)
+        losses = []
+        for word in model.code:
+            loss = 0.0
+            for b, sign in enumerate(word):
+                margin = sum(model.weights[g, b] for g in found) / max(len(found), 1)
+                loss += model.trust[b] * math.log1p(math.exp(-margin * sure * sign))
+            losses.append(loss)
+        p = [math.exp(min(losses) - x) for x in losses]
+        assert row == pytest.approx([x / sum(p) for x in p], rel=1e-9)
+
+
 def test_trees_learn_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, len(quality.FEATURES)))

@@ -161,13 +161,17 @@ def _sets(k: int):
     return run
 
 
+def _set(column: pa.Array, i: int) -> np.ndarray:
+    """Row i of a column of packed sets, where it lies."""
+    return np.frombuffer(column[i].as_buffer(), np.uint64)
+
+
 def _verify(share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("x").to_pylist(), batch.column("y").to_pylist()
             linked = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for i in range(batch.num_rows):
+                x, y = _set(batch.column("x"), i), _set(batch.column("y"), i)
                 if 100 * min(len(x), len(y)) < share * max(len(x), len(y)):
                     continue
                 both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
@@ -182,14 +186,14 @@ def _blocks(share: int):
         """Links between documents of different components, one from each side."""
         found: list[tuple[int, int]] = []
         if left.num_rows and right.num_rows:
-            theirs = [np.frombuffer(x, np.uint64) for x in right.column("shingles").to_pylist()]
+            theirs = [_set(right.column("shingles"), i) for i in range(right.num_rows)]
             sizes = np.array([len(x) for x in theirs])
             starts = np.cumsum(sizes) - sizes
             known, place = np.unique(np.concatenate(theirs), return_inverse=True)
             v, cv = (np.asarray(right.column(c)) for c in ("id", "c"))
             mark = np.zeros(len(known), bool)
-            for u, cu, own in zip(left.column("id").to_pylist(), left.column("c").to_pylist(), left.column("shingles").to_pylist(), strict=True):
-                own = np.frombuffer(own, np.uint64)
+            for i, (u, cu) in enumerate(zip(left.column("id").to_pylist(), left.column("c").to_pylist(), strict=True)):
+                own = _set(left.column("shingles"), i)
                 at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                 at = at[known[at] == own]
                 mark[at] = True
