@@ -18,6 +18,8 @@ from .near_dedup import near_dedup
 from .pii import pseudonymise
 from .ppm import lm_scores
 from .quality import fit_quality, score_quality
+from .repair import damage, repair_conversations, repair_digests
+from .shards import external_shuffle, size_of
 from .toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +123,88 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Shards of the query, and the seed of its shuffle.
+SHARDS, SHUFFLE_SEED = 40, 20240229
+
+
+@query
+def op12_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = external_shuffle(table(spark, sf_dir, "documents"), SHARDS, SHUFFLE_SEED)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return out.select("doc_id", size_of(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair_digests(repair_conversations(damage(turns)), turns)
+
+
+def _step(way: str, cost: str, letter: str, line: str = "''") -> str:
+    return f"CASE WHEN {way} IS NOT NULL THEN {{'c': {way}.c + {cost}, 'a': {way}.a || '{letter}', 't': {way}.t || {line}}} END"
+
+
+def _insert(way: str, role: str) -> str:
+    return _step(way, "3", "I", f"'{role}:' || chr(10)")
+
+
+def _inserted(ways: str) -> str:
+    """The cheapest ways to each phase once turns have been inserted: n (nothing), s, u, a."""
+    users = ", ".join(["u", *(_insert(w, "user") for w in "nsa")])
+    return f"(SELECT *, list_min([a, {_insert('u2', 'assistant')}]) AS a2 FROM (SELECT *, list_min([{users}]) AS u2 FROM {ways}))"
+
+
+def _read(phase: str) -> str:
+    """The cheapest way to a phase by reading one row: deleted, kept or with another role."""
+    froms = {"n": [], "s": ["n"], "u": ["n", "s", "a2"], "a": ["u2"]}[phase]
+    name = {"u": "user", "a": "assistant"}.get(phase)
+    ways = [_step({"u": "u2", "a": "a2"}.get(phase, phase), "4", "D")]
+    ways += [f"CASE WHEN stays AND r = '{phase}' THEN {_step(w, 'extra', 'K', 'role || chr(58) || text || chr(10)')} END" for w in froms]
+    ways += [f"CASE WHEN stays THEN {_step(w, '3 + extra', 'R', f"'{name}:' || text || chr(10)")} END" for w in froms if name]
+    return f"list_min([{', '.join(ways)}]) AS {phase}"
+
+
+ORACLE_SQL["op13_structure_repair"] = rf"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+fated AS (
+  SELECT *, xor(4294967295::BIGINT, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda x: CAST(ord(x) AS BIGINT))),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda v, z: xor(v >> 1, 3988292384::BIGINT * (v & 1))))) % 20 AS fate FROM named),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM fated, (VALUES (1), (2)) AS times(k) WHERE fate <> 0 AND (k = 1 OR fate = 3)),
+placed AS (
+  SELECT *, left(role, 1) AS r, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+repeated AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM placed),
+judged AS (
+  SELECT *, lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE 'none' END AS fault FROM repeated),
+priced AS (SELECT *, fault IN ('none', 'truncated') AS stays, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra FROM judged),
+counted AS (
+  SELECT conv_id, count(*) AS many, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+way AS (
+  SELECT conv_id, many, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS n,
+    NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS u,
+    NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS a FROM counted
+  UNION ALL
+  SELECT w.conv_id, w.many, p.i, {", ".join(map(_read, "nsua"))}
+  FROM {_inserted("way")} w JOIN priced p ON p.conv_id IS NOT DISTINCT FROM w.conv_id AND p.i = w.i + 1),
+best AS (SELECT conv_id, list_min([n, a2]) AS best FROM {_inserted("(SELECT * FROM way WHERE i = many)")})
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+  coalesce(best.a, '') AS audit, sha256(coalesce(left(best.t, greatest(length(best.t) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted ON counted.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
