@@ -15,6 +15,7 @@ from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .langid import fit_language_model, identify_language
 from .near_dedup import near_dedup
+from .negatives import hard_negatives, whole_vectors
 from .pii import pseudonymise
 from .ppm import lm_scores
 from .quality import fit_quality, score_quality
@@ -208,3 +209,32 @@ SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted ON counted.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
 """
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(whole_vectors(vectors, label), F.col("vec_id") % 50 == 0)
+
+
+ORACLE_SQL["op11_hard_negatives"] = """
+WITH r AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row, b.vec_id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.row <> b.row),
+positive AS (
+  SELECT * FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, row) <= 5),
+negative AS (
+  SELECT p.anchor, p.anchor_id, p.row, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score,
+    n.score AS negative_score, row_number() OVER (PARTITION BY p.anchor, p.row ORDER BY n.score DESC, n.vec_id, n.row) AS rank
+  FROM positive p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
+    AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negative WHERE rank <= 3
+"""
