@@ -20,7 +20,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHING = ["id", "row", "key", "mark", "n", "u", "v", "c", "bands", "s1", "s2", "score", "lang_pred", "ids", "kept", "n_tokens", "label", "item_id", "_id", "Text_"]
 
 
-def write_tables(spark, folder, docs, labels=None, benchmark=None, conversations=None):
+def write_tables(spark, folder, docs, labels=None, benchmark=None, conversations=None, embeddings=None):
     frame = docs
     for c in CLASHING:
         frame = frame.selectExpr("*", f"'x' AS {c}")
@@ -33,6 +33,10 @@ def write_tables(spark, folder, docs, labels=None, benchmark=None, conversations
         [(1, 1, "assistant", "b <|done|> <~|x"), (1, 0, "user", None), (1, 1, "assistant", "b <|done|> <~|x"), (2, None, None, ""), (2, 3, "assistant", ""), (None, 0, "user", "x"), (3, 0, "assistant", LONG), (4, 0, "assistant", "a<"), (4, 1, "assistant", "|b 😀é")], "conv_id long, turn long, role string, text string"
     )
     conversations.selectExpr("*", "'x' AS said", "'x' AS turns").write.parquet(f"{folder}/conversations.parquet")
+    embeddings = embeddings if embeddings is not None else spark.createDataFrame(
+        [(0, [1.0, 0.5], 1), (0, [1.0, 0.5], 1), (50, [0.9, 0.4], 1), (3, [0.8, 0.4], 2), (3, [0.8, 0.4], 2), (7, [0.7, 0.3], 0), (14, [0.7, 0.3], 2), (None, [0.6, 0.3], 3), (4, None, 1), (5, [None, 1.0], 1), (6, [float("nan"), 1.0], 2), (8, [0.5, 0.5], None), (9, [float("inf"), 1.0], 2)], "vec_id long, embedding array<float>, label int"
+    )
+    embeddings.selectExpr("*", "'x' AS row", "'x' AS v", "'x' AS block").write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 
@@ -44,4 +48,4 @@ def tricky(spark, tmp_path_factory):
 @pytest.fixture(scope="session")
 def nothing(spark, tmp_path_factory):
     empty = lambda s: spark.createDataFrame([], s)
-    return write_tables(spark, tmp_path_factory.mktemp("nothing"), empty(SCHEMA), empty("doc_id long, quality int, toxic int"), empty("item_id long, text string"), empty("conv_id long, turn long, role string, text string"))
+    return write_tables(spark, tmp_path_factory.mktemp("nothing"), empty(SCHEMA), empty("doc_id long, quality int, toxic int"), empty("item_id long, text string"), empty("conv_id long, turn long, role string, text string"), empty("vec_id long, embedding array<float>, label int"))

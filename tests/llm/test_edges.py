@@ -17,6 +17,10 @@ def test_tricky_tables(spark, tricky, name):
         assert sorted((r.doc_id, r.item_id) for r in rows) == [(1, 1)] * 4 + [(6, 1)] * 2  # rows that repeat, in both tables
     elif name == "op8_chat":
         assert sorted((r.conv_id is None, r.conv_id or 0) for r in rows) == [(False, -1), (False, 1), (False, 2), (False, 3), (False, 4), (True, 0)]
+    elif name == "op13_structure_repair":
+        assert sorted((r.conv_id is None, r.conv_id or 0) for r in rows) == [(False, 1), (False, 2), (False, 3), (False, 4), (True, 0)]
+    elif name == "op11_hard_negatives":
+        assert {r.anchor_id for r in rows} == {0, 50}
     else:
         assert len(rows) == len(TRICKY)
         assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted((t[0] is None, t[0] or 0) for t in TRICKY)
