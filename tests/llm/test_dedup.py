@@ -136,3 +136,32 @@ def test_blocks_of_a_crowded_bucket(spark):
     _, roots = brute(texts, 1)
     got = {r.doc_id: r.component_id for r in nd.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=1).collect()}
     assert [got[i] for i in range(len(texts))] == roots
+
+
+def test_rows_that_share_an_id_are_read_once_each(spark, monkeypatch):
+    """5,000 rows of one id, pairs of near copies among them: brute force, and how many texts are read again."""
+    from trailstone.llm import near_dedup as nd
+
+    read = spark.sparkContext.accumulator(0)
+    sets = nd._sets
+
+    def counted(k):
+        run = sets(k)
+
+        def through(batches):
+            def tally():
+                for b in batches:
+                    read.add(b.num_rows)
+                    yield b
+
+            return run(tally())
+
+        return through
+
+    monkeypatch.setattr(nd, "_sets", counted)
+    texts = [" ".join(f"w{i // 2}x{j}" for j in range(20)) + (" end" if i % 2 else "") for i in range(5000)]
+    docs = spark.createDataFrame([(None if i < 2500 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = nd.near_dedup(docs, k=2).collect()
+    assert len(rows) == 5000 and sorted(r.n_shingles for r in rows) == [19] * 2500 + [20] * 2500
+    assert {(r.doc_id, r.component_id) for r in rows} == {(None, None), (7, 7)}
+    assert read.value <= 5000

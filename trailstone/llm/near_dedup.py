@@ -144,8 +144,8 @@ def _sign(k: int):
             keys = band_keys(registers).view(np.int64).ravel()
             names = [np.frombuffer(blake2b(x.tobytes(), digest_size=16).digest(), np.int64) for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([int(x[0]) for x in names], pa.int64()), pa.array([int(x[1]) for x in names], pa.int64()), pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32), pa.array(keys))],
-                ["doc_id", "n_shingles", "s1", "s2", "bands"],
+                [block.column("doc_id"), block.column("t"), pa.array([len(x) for x in sets], pa.int64()), pa.array([int(x[0]) for x in names], pa.int64()), pa.array([int(x[1]) for x in names], pa.int64()), pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32), pa.array(keys))],
+                ["doc_id", "t", "n_shingles", "s1", "s2", "bands"],
             )
 
     return run
@@ -218,16 +218,16 @@ def near_dedup(docs: DataFrame, k: int = 5, share: int = 80, id_col: str = "doc_
 
     Ids are of any type that can be ordered; component_id has it too.
     """
-    rows = pick(docs, id_col, text_col)
+    rows = pick(docs, id_col, text_col).withColumn("t", F.xxhash64("text"))  # t tells rows of one id apart
     kind = dict(rows.dtypes)["doc_id"]
-    signed = staged(rows.mapInArrow(_sign(k), f"doc_id {kind}, n_shingles long, s1 long, s2 long, bands array<long>"), "signed")
+    signed = staged(rows.mapInArrow(_sign(k), f"doc_id {kind}, t long, n_shingles long, s1 long, s2 long, bands array<long>"), "signed")
     classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
     classes = staged(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     # the signature of each class that can link with another: that of a row with its smallest id
     linking = classes.where(F.col("n") * (100 - share) >= share).select("id", "n", *(F.col(c).alias(f"_{c}") for c in ("doc_id", "s1", "s2")))
     own = (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
-    heads = signed.select("doc_id", "s1", "s2", "bands").join(linking, own).select("id", "n", "doc_id", "s1", "s2", "bands").dropDuplicates(["id"])
+    heads = signed.select("doc_id", "t", "s1", "s2", "bands").join(linking, own).select("id", "n", "doc_id", "t", "s1", "s2", "bands").dropDuplicates(["id"])
     heads = staged(heads, "heads")
     seats = heads.select("id", F.explode("bands").alias("key"))
     mask = F.xxhash64("key")
@@ -235,8 +235,8 @@ def near_dedup(docs: DataFrame, k: int = 5, share: int = 80, id_col: str = "doc_
     members = staged(seats.join(buckets, "key").select("key", "id", "pivot"), "members")
     pairs = staged(members.where("id <> pivot").groupBy(F.col("id").alias("u"), F.col("pivot").alias("v")).agg(F.count("*").alias("n")), "pairs")
 
-    needed = heads.join(members.select("id").distinct(), "id", "left_semi").select("id", F.col("doc_id").alias("_id"), "s1", "s2")
-    texts = rows.join(needed, F.col("doc_id").eqNullSafe(F.col("_id"))).select("id", "text", "s1", "s2")
+    needed = heads.join(members.select("id").distinct(), "id", "left_semi").select("id", F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "s1", "s2")
+    texts = rows.join(needed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("id", "text", "s1", "s2")
     sets = staged(texts.mapInArrow(_sets(k), "id long, shingles binary").dropDuplicates(["id"]), "sets")
 
     def verified(candidates: DataFrame) -> DataFrame:
