@@ -30,3 +30,15 @@ def test_entry_without_text_operators_still_has_these(spark):
 
     assert set(catalog.QUERIES) <= set(e.queries()) and set(catalog.ORACLE_SQL) <= set(e.oracle_sql())
     assert e.entry(spark).columns[0] == "step_nr"
+
+
+def test_subsampled_size_is_what_its_branch_promises(spark):
+    r = catalog.QUERIES["subsample_size"](spark, SMALL).first()
+    points = spark.read.parquet(f"{SMALL}/orders.parquet").count()
+    assert (r.n, r.target) == (points, points // 2)
+    assert r.shown == r.target if r.how == "grid" else r.how == "voxels" and abs(r.shown / r.n - 0.5) <= 0.05
+
+
+def test_estimated_users_are_near_the_count(spark):
+    for r in catalog.QUERIES["approx_classes"](spark, SMALL).collect():
+        assert abs(r.about - r.users) <= 0.05 * r.users

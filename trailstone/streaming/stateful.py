@@ -34,11 +34,11 @@ def label_memory(labels: DataFrame) -> DataFrame:
     """session_id, segment_id, step_nr, class_label: the newest label of each segment after every trigger (update mode)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else (-1, None)
+        best = tuple(state.get) if state.exists else None
         for rows in batches:
             top = rows.sort_values(["step_nr", "class_label"]).iloc[-1]
-            if top["step_nr"] >= best[0]:
-                best = (int(top["step_nr"]), str(top["class_label"]))
+            top = (int(top["step_nr"]), str(top["class_label"]))
+            best = top if best is None else max(best, top)  # of equal steps the greater label, however the input is cut
         state.update(best)
         yield pd.DataFrame({"session_id": [key[0]], "segment_id": [key[1]], "step_nr": [best[0]], "class_label": [best[1]]})
 
