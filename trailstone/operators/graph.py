@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.staging import written
+from .balls import retrieve_by_balls
 from .ordered import with_ordinal
 
-#: Keyframes that one block of the comparison holds.
-BLOCK = 512
+#: Keyframes that one block of the comparison holds; blocks up to which all pairs of them cost less than a tree.
+BLOCK, FEW_BLOCKS = 512, 64
 
 
 def _matrix(column: pa.Array, i: int, n: int) -> np.ndarray:
@@ -22,13 +23,16 @@ def _matrix(column: pa.Array, i: int, n: int) -> np.ndarray:
     return np.asarray(column[i].values, np.float64).reshape(n, -1)
 
 
-def retrieve(descriptors: DataFrame, k: int = 3, threshold: float = 5e-3, by: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+def retrieve(descriptors: DataFrame, k: int = 3, threshold: float = 5e-3, by: Sequence[str] = (), block: int = BLOCK, few: int = FEW_BLOCKS) -> DataFrame:
     """keyframe_id, match_id, similarity: for each keyframe the k most similar earlier ones (of the same `by`).
 
-    Every keyframe is a query against all earlier ones, in blocks of the sequence: a block is one row, each pair of blocks
-    is one matrix product, and only its best k of each keyframe come out of it to meet those of other pairs. Blocks are cut
-    by position, so ids may have gaps of any size; embeddings are as long as each other, keyframes without one are left out.
+    Exact at every size: long sequences go down a tree of balls (`balls.retrieve_by_balls`), short ones are compared in
+    blocks of the sequence: a block is one row, each pair of blocks is one matrix product, and only its best k of each
+    keyframe come out of it to meet those of other pairs. Blocks are cut by position, so ids may have gaps of any size;
+    embeddings are as long as each other, keyframes without one are left out.
     """
+    if descriptors.where("embedding IS NOT NULL").count() > few * block:
+        return retrieve_by_balls(descriptors, k, threshold, by, block)[0]
     kind = dict(descriptors.dtypes)["keyframe_id"]
     placed = with_ordinal(descriptors.where("embedding IS NOT NULL").select(*by, "keyframe_id", "embedding"), "keyframe_id", by=by)
     one = F.struct("keyframe_id", F.transform("embedding", lambda v: v.cast("double")).alias("e"))

@@ -470,6 +470,12 @@ def keyframe_knn(spark, d):
     return graph.retrieve(b.descriptors(spark, d))
 
 
+@query(f"WITH {_RETRIEVED} SELECT keyframe_id, match_id, similarity FROM got", "descriptors")
+def keyframe_knn_tree(spark, d):
+    """The same down a tree of balls, whose blocks are small here so that it has several levels."""
+    return graph.retrieve(b.descriptors(spark, d), block=8, few=0)
+
+
 @query(f"WITH {_RETRIEVED} SELECT keyframe_id AS src, match_id AS dst FROM got UNION SELECT keyframe_id, previous FROM before WHERE previous IS NOT NULL", "descriptors")
 def keyframe_edges(spark, d):
     return graph.edges(b.descriptors(spark, d))
