@@ -1,6 +1,9 @@
 import json
 
+import numpy as np
+import pyarrow.fs as pafs
 import pytest
+from pyspark.sql import functions as F
 
 from trailstone.sources import files, ply
 
@@ -88,3 +91,83 @@ def test_component_config_and_candidate_paths(spark, tmp_path):
     assert files.component_config(meta, "b") == {"x": 45} and files.component_config(meta, "c") == {}
     assert files.first_existing(spark, None, str(tmp_path / "no"), str(tmp_path)) == str(tmp_path)
     assert files.first_existing(spark, str(tmp_path / "no")) is None
+
+
+# ---- PLY as a data source
+
+
+def cloud(spark, n, steps=1):
+    return spark.range(n).selectExpr("id AS n", f"id % {steps} AS step_nr", "CAST(id AS DOUBLE) AS x", "id * 0.5D AS y", "-1.0D * id AS z", "CAST(id % 250 AS SHORT) AS r", "CAST(id % 7 AS SHORT) AS g", "CAST(id % 11 AS SHORT) AS b")
+
+
+def mapped(path):
+    """store://<a folder's name in hex>/...: a store that only this function knows."""
+    host, _, inside = path.removeprefix("store://").partition("/")
+    return pafs.SubTreeFileSystem(bytes.fromhex(host).decode(), pafs.LocalFileSystem()), inside
+
+
+def test_ranges_of_one_file_go_to_many_tasks(spark, tmp_path):
+    ply.write_ply(cloud(spark, 100_000).coalesce(1), str(tmp_path / "c"))
+    assert len(list((tmp_path / "c").glob("*.ply"))) == 1
+    back = ply.read_ply(spark, str(tmp_path / "c"), vertices="7000")
+    assert back.rdd.getNumPartitions() == 15
+    r = back.agg(F.count("*"), F.sum("x"), F.countDistinct("point_id"), F.sum(F.col("x") - F.col("point_id"))).first()
+    assert tuple(r) == (100_000, sum(range(100_000)), 100_000, 0.0)
+
+
+def test_filters_leave_files_and_ranges_out(spark, tmp_path):
+    ply.write_ply(cloud(spark, 3000, steps=30), str(tmp_path / "c"), by_step=True)
+    assert len(list((tmp_path / "c").glob("step_*"))) == 30
+    back = ply.read_ply(spark, str(tmp_path / "c"), vertices="10")
+    for condition, tasks, rows in (("step_nr = 4", 10, 100), ("step_nr IN (4, 5)", 20, 200), ("step_nr > 27", 20, 200), ("step_nr <= 2 AND point_id < 20", 6, 60), ("step_nr = 99", 1, 0), ("step_nr = 3 AND x > 3000", 10, 0)):
+        got = back.where(condition)
+        assert (got.rdd.getNumPartitions(), got.count()) == (tasks, rows), condition
+    assert {r.step_nr for r in back.select("step_nr").distinct().collect()} == set(range(30))
+
+
+def test_only_the_last_step(spark, tmp_path):
+    ply.write_ply(cloud(spark, 1000, steps=4), str(tmp_path / "c"), only_last=True)
+    assert sorted(r.x for r in ply.read_ply(spark, str(tmp_path / "c")).collect()) == [float(i) for i in range(3, 1000, 4)]
+
+
+def test_files_hold_at_most_so_many_vertices_and_appends_add(spark, tmp_path):
+    where = str(tmp_path / "c")
+    ply.write_ply(cloud(spark, 1000).coalesce(1), where, most="300")
+    assert len(list((tmp_path / "c").glob("*.ply"))) == 4 and not (tmp_path / "c" / "_temporary").exists()
+    ply.write_ply(cloud(spark, 10).coalesce(1), where, mode="append")
+    assert ply.read_ply(spark, where).count() == 1010
+    ply.write_ply(cloud(spark, 10).coalesce(1), where)
+    assert ply.read_ply(spark, where).count() == 10
+
+
+def test_a_write_that_fails_leaves_what_there_was(spark, tmp_path):
+    where = str(tmp_path / "c")
+    ply.write_ply(cloud(spark, 10), where)
+    bad = cloud(spark, 1000).withColumn("x", F.when(F.col("n") < 900, F.col("x")).otherwise(F.raise_error(F.lit("no"))))
+    with pytest.raises(Exception, match="no"):
+        ply.write_ply(bad.repartition(4), where)
+    assert ply.read_ply(spark, where).count() == 10 and not (tmp_path / "c" / "_temporary").exists()
+
+
+def test_stores_of_other_schemes(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    where = f"store://{str(tmp_path).encode().hex()}/run/clouds"
+    with pytest.raises(Exception, match="(?i)store|scheme|filesystem"):
+        ply.write_ply(cloud(spark, 10), where)
+    assert list(tmp_path.iterdir()) == []  # no folder of that name
+    ply.write_ply(cloud(spark, 1000, steps=3), where, by_step=True, filesystem="tests.test_sources:mapped")
+    assert len(list((tmp_path / "run" / "clouds").glob("step_*/*.ply"))) == 3
+    back = ply.read_ply(spark, f"{where}/step_*/*.ply", filesystem="tests.test_sources:mapped")
+    assert back.where("step_nr = 1").count() == 333 and back.first().path.startswith("store://")
+
+
+def test_ascii_and_big_endian_files(spark, tmp_path):
+    (tmp_path / "a.ply").write_text("ply\nformat ascii 1.0\nelement vertex 3\nproperty float x\nproperty float y\nproperty float z\nend_header\n1 2 3\n4 5 6\n7 8 9\n")
+    data = np.array([(1.5, 2, 3), (4, 5, 6)], [("x", ">f4"), ("y", ">f4"), ("z", ">f4")]).tobytes()
+    (tmp_path / "b.ply").write_bytes(b"ply\nformat binary_big_endian 1.0\nelement vertex 2\nproperty float x\nproperty float y\nproperty float z\nend_header\n" + data)
+    got = {(r.path.rsplit("/", 1)[1], r.point_id): (r.x, r.y, r.z) for r in ply.read_ply(spark, str(tmp_path)).collect()}
+    assert got == {("a.ply", 0): (1, 2, 3), ("a.ply", 1): (4, 5, 6), ("a.ply", 2): (7, 8, 9), ("b.ply", 0): (1.5, 2, 3), ("b.ply", 1): (4, 5, 6)}
+    (tmp_path / "c.ply").write_text("ply\nformat ascii 1.0\nelement vertex 3\nproperty float x\nend_header\n1\n")
+    with pytest.raises(Exception, match="ends after 1 of 3"):
+        ply.read_ply(spark, str(tmp_path)).count()
+    assert ply.read_ply(spark, str(tmp_path), skip_bad=True).count() == 5
