@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
+from .ordered import SCAN, running
 
 
 def weighted(obs: DataFrame) -> DataFrame:
@@ -45,3 +48,18 @@ def best_score(obs: DataFrame, group: str = "grp") -> DataFrame:
     scores = obs.groupBy(group).agg(F.round(lower, 6).alias("score"))
     best = scores.orderBy(F.desc("score"), group).limit(1)
     return obs.join(F.broadcast(best), group).select(group, "pixel", "frame", "x", "c")
+
+
+def running_fusion(observations: DataFrame, by: Sequence[str], order: Sequence[str], value: str = "value", weight: str = "weight", block: int = SCAN) -> DataFrame:
+    """observations with n, weight_so_far, mean_so_far and best_so_far (the weight of the best one) as of each of them.
+
+    The weighted fusion of a pixel, read off after every update; a pixel that is seen without end is folded in blocks.
+    """
+    state = F.struct(F.lit(1).cast("long").alias("n"), F.col(weight).alias("w"), (F.col(weight) * F.col(value)).alias("wx"), F.col(weight).alias("best"))
+
+    def combine(a: Column, b: Column) -> Column:
+        return F.struct((a["n"] + b["n"]).alias("n"), (a["w"] + b["w"]).alias("w"), (a["wx"] + b["wx"]).alias("wx"), F.greatest(a["best"], b["best"]).alias("best"))
+
+    out = running(observations, by, order, state, combine, "_f", block)
+    f = F.col("_f")
+    return out.withColumns({"n": f["n"], "weight_so_far": f["w"], "mean_so_far": f["wx"] / f["w"], "best_so_far": f["best"]}).drop("_f")

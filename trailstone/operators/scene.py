@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,3 +96,12 @@ def trajectory_segments(poses: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     nxt = placed.select(*by, (F.col("i") - 1).alias("i"), F.col("tx").alias("bx"), F.col("ty").alias("by"), F.col("tz").alias("bz"))
     size = F.sqrt((F.col("bx") - F.col("tx")) ** 2 + (F.col("by") - F.col("ty")) ** 2 + (F.col("bz") - F.col("tz")) ** 2)
     return placed.join(nxt, [*by, "i"]).select(*by, "step_nr", "tx", "ty", "tz", "bx", "by", "bz", F.round(size, 6).alias("length"))
+
+
+def scene_log(entities: Mapping[str, DataFrame]) -> DataFrame:
+    """step_nr, kind, payload: entities of all kinds in one table, each row's columns as a variant.
+
+    Kinds needn't share columns, and new ones need no new table; written by step, a viewer reads one step's rows.
+    """
+    parts = [df.select("step_nr", F.lit(kind).alias("kind"), F.to_variant_object(F.struct(*(F.col(c) for c in df.columns if c != "step_nr"))).alias("payload")) for kind, df in entities.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -695,4 +695,4 @@ def cube_rollup_classes(spark, d):
     return b.detections(spark, d).cube("class_name", "detection_id").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean")).withColumn("detection_id", F.coalesce("detection_id", F.lit(-1)))
 
 
-from . import catalog_outputs  # noqa: E402, F401  (registers its queries)
+from . import catalog_outputs, catalog_runs  # noqa: E402, F401  (register their queries)
