@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from ..operators import checks, fusion, scene, sketches, versions
 from ..operators.ordered import running
 from ..sources import bindings as b
@@ -226,3 +227,35 @@ def warnings_in_sql(spark, d):
              AND in_view_cone(x, y, z, tx, ty, tz, camera_forward(qx, qy, qz, qw), 45.0D)
            GROUP BY step_nr"""
     )
+
+
+# ---- a floor that isn't level
+
+SLANTED = (0.6, 0.8, 0.0, 0.3)
+
+
+@query(
+    """SELECT point_id, round(0.6E0 * x + 0.8E0 * y - 0.3E0, 6) + 0.0 AS height, round(x - 0.6E0 * (0.6E0 * x + 0.8E0 * y - 0.3E0), 6) + 0.0 AS fx,
+  round(y - 0.8E0 * (0.6E0 * x + 0.8E0 * y - 0.3E0), 6) + 0.0 AS fy, round(z, 6) AS fz FROM points""",
+    "points",
+)
+def slanted_floor_feet(spark, d):
+    """Each point's foot on a slanted plane and its height above it."""
+    n, p = g.const(*SLANTED[:3]), g.vec("x", "y", "z")
+    foot = g.project(p, n, F.lit(SLANTED[3]))
+    height = g.dot(p, n) - F.lit(SLANTED[3])
+    return b.points(spark, d).select("point_id", (F.round(height, 6) + 0.0).alias("height"), *((F.round(c, 6) + 0.0).alias(k) for c, k in zip(foot, ("fx", "fy", "fz"), strict=True)))
+
+
+@query(
+    """WITH c AS (SELECT avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM points), f AS (SELECT cx - 0.6E0 * (0.6E0 * cx + 0.8E0 * cy - 0.3E0) AS fx, cy - 0.8E0 * (0.6E0 * cx + 0.8E0 * cy - 0.3E0) AS fy, cz AS fz FROM c),
+l AS (SELECT a AS axis, CAST(i AS INT) - 5 AS idx, fx, fy, fz FROM f, (SELECT unnest(['u', 'v']) AS a), range(11) r(i))
+SELECT axis, idx, round(CASE axis WHEN 'u' THEN fx - 0.8E0 * idx ELSE fx + 4.0E0 END, 5) + 0.0 AS ax, round(CASE axis WHEN 'u' THEN fy + 0.6E0 * idx ELSE fy - 3.0E0 END, 5) + 0.0 AS ay,
+  round(CASE axis WHEN 'u' THEN fz + 5.0E0 ELSE fz - idx END, 5) + 0.0 AS az, round(CASE axis WHEN 'u' THEN fx - 0.8E0 * idx ELSE fx - 4.0E0 END, 5) + 0.0 AS bx,
+  round(CASE axis WHEN 'u' THEN fy + 0.6E0 * idx ELSE fy + 3.0E0 END, 5) + 0.0 AS "by", round(CASE axis WHEN 'u' THEN fz - 5.0E0 ELSE fz - idx END, 5) + 0.0 AS bz FROM l""",
+    "points",
+)
+def slanted_floor_grid(spark, d):
+    centre = b.points(spark, d).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg("z").alias("cz"))
+    out = scene.floor_grid(centre, SLANTED)
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("ax", "ay", "az", "bx", "by", "bz")})

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Orientations xyzw: none, about a slanted axis, about x, with a negative w, half a turn about y.
+TURNS = ((0.0, 0.0, 0.0, 1.0), (0.48, 0.36, 0.48, 0.64), (-0.6, 0.0, 0.0, 0.8), (0.5, 0.5, -0.5, -0.5), (0.0, 1.0, 0.0, 0.0))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,13 +24,12 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pose for each 200 neighbouring events, placed by sums over all of them."""
-    turn = "step_nr % 4"
+    """A pose for each 200 neighbouring events, placed by sums over all of them; one of five orientations, about different axes."""
+    part = lambda i: "CASE step_nr % 5 " + " ".join(f"WHEN {k} THEN {q[i]}D" for k, q in enumerate(TURNS)) + " END"
     sums = [F.min("ts").alias("ts"), F.sum("user_id").alias("u"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("v")]
     return table(spark, sf_dir, "events").groupBy(F.expr("event_id DIV 200").alias("step_nr")).agg(*sums).selectExpr(
-        "step_nr", "ts", "(u % 40) * 0.25D - 5.0D AS tx", "1.5D AS ty", "(v % 490) / 50.0D AS tz", "0.0D AS qx",
-        f"CASE {turn} WHEN 0 THEN 0.0D WHEN 1 THEN 0.6D WHEN 2 THEN -0.6D ELSE 1.0D END AS qy", "0.0D AS qz",
-        f"CASE {turn} WHEN 0 THEN 1.0D WHEN 1 THEN 0.8D WHEN 2 THEN 0.8D ELSE 0.0D END AS qw", "1.0D AS scale",
+        "step_nr", "ts", "(u % 40) * 0.25D - 5.0D AS tx", "1.0D + (v % 11) * 0.1D AS ty", "(v % 490) / 50.0D AS tz",
+        *(f"{part(i)} AS {n}" for i, n in enumerate(("qx", "qy", "qz", "qw"))), "1.0D AS scale",
     )
 
 
@@ -57,9 +60,10 @@ SQL = {
   CASE WHEN o_orderkey % 4 = 0 THEN (o_orderkey % 5) * 0.01E0 ELSE 0.1E0 + (o_orderkey % 59) * 0.05E0 END AS y, o_totalprice / 50000.0E0 AS z,
   1.0E0 + (o_custkey % 9) * 0.25E0 AS confidence, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 12 END AS INT) AS segment_id FROM orders)""",
     "poses": """sums AS (SELECT event_id // 200 AS step_nr, min(ts) AS ts, CAST(sum(user_id) AS BIGINT) AS u, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS v FROM events GROUP BY 1),
- poses AS (SELECT step_nr, ts, (u % 40) * 0.25E0 - 5.0E0 AS tx, 1.5E0 AS ty, (v % 490) / 50.0E0 AS tz, 0.0E0 AS qx,
-  CASE step_nr % 4 WHEN 0 THEN 0.0E0 WHEN 1 THEN 0.6E0 WHEN 2 THEN -0.6E0 ELSE 1.0E0 END AS qy, 0.0E0 AS qz,
-  CASE step_nr % 4 WHEN 0 THEN 1.0E0 WHEN 1 THEN 0.8E0 WHEN 2 THEN 0.8E0 ELSE 0.0E0 END AS qw, 1.0E0 AS scale FROM sums),
+ turns(k, qx, qy, qz, qw) AS (VALUES (0, 0.0E0, 0.0E0, 0.0E0, 1.0E0), (1, 0.48E0, 0.36E0, 0.48E0, 0.64E0), (2, -0.6E0, 0.0E0, 0.0E0, 0.8E0),
+  (3, 0.5E0, 0.5E0, -0.5E0, -0.5E0), (4, 0.0E0, 1.0E0, 0.0E0, 0.0E0)),
+ poses AS (SELECT step_nr, ts, (u % 40) * 0.25E0 - 5.0E0 AS tx, 1.0E0 + (v % 11) * 0.1E0 AS ty, (v % 490) / 50.0E0 AS tz, qx, qy, qz, qw, 1.0E0 AS scale
+  FROM sums JOIN turns ON turns.k = sums.step_nr % 5),
  seen AS (SELECT *, 2 * (qx * qz + qy * qw) AS fx, 2 * (qy * qz - qx * qw) AS fy, 1 - 2 * (qx * qx + qy * qy) AS fz FROM poses)""",
     "detections": """detections AS (SELECT event_id // 10 AS step_nr, ts, event_type AS class_name, value / 500.0E0 AS confidence, k AS x1, k * 0.5E0 AS y1,
   k + 10 + event_id % 50 AS x2, k * 0.5E0 + 5 + event_id % 30 AS y2, CAST(event_id % 10 AS INT) AS detection_id, user_id
