@@ -242,3 +242,38 @@ def test_tables_find_what_they_hold():
     assert (t.find(keys) == np.arange(len(keys))).all()
     assert (t.find(keys + np.uint64(1))[~np.isin(keys + np.uint64(1), keys)] == -1).all()
     assert (ppm._Table(keys[:0]).find(keys[:5]) == -1).all()
+
+
+def test_a_column_of_junk_languages_is_no_burden(spark):
+    from trailstone.llm import langid
+
+    real = [("the word of that and this with which " * 4 + str(i), "en") for i in range(400)] + [("der und die nicht ein werden für auch " * 4 + str(i), "de") for i in range(400)]
+    junk = [(f"zz{i} qq", f"junk{i}") for i in range(20_000)]
+    model = langid.fit_language_model(spark.createDataFrame(real * 30 + junk, "text string, lang string"))
+    assert model.languages == ["de", "en"]
+    docs = spark.createDataFrame([(1, "this with that which and the word"), (2, "nicht werden und auch für die ein")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify_language(docs, model).collect()} == {1: "en", 2: "de"}
+
+
+def test_languages_that_are_equally_likely(spark):
+    from trailstone.llm import langid
+
+    same = [("words that both of them have", lang) for lang in ("aa", "bb") for _ in range(5)]
+    model = langid.fit_language_model(spark.createDataFrame(same, "text string, lang string"))
+    docs = spark.createDataFrame([(1, "words that both of them have")], "doc_id long, text string")
+    r = langid.identify_language(docs, model).first()
+    assert (r.lang_pred, r.ambiguous) == ("aa", True) and abs(r.score - 0.5) < 1e-9
+
+
+def test_long_texts_are_scored_but_not_learned_from(spark, monkeypatch):
+    from trailstone.llm import toxicity
+
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, share: seen.append((sorted(map(len, texts)), share)) or toxicity.ToxicityModel())
+    monkeypatch.setattr(toxicity, "LONGEST", 50)
+    docs = spark.createDataFrame([(1, "a" * 50), (2, "b" * 51), (3, "c"), (4, "é" * 26)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1)], "doc_id long, toxic int")
+    from pyspark.sql import functions as F
+
+    toxicity.fit_toxicity(docs, labels, F.lit(True))
+    assert seen == [([1, 50], 0.5)]

@@ -6,7 +6,9 @@ also where the whole item has been copied into many documents. A second pass fin
 passage around each diagonal (document position minus item position) and aligns it with the item: +2 for equal words,
 -1 for others, -1 for a gap. Items over PIECE words are aligned in pieces of PIECE words that overlap by half. The passages
 of an item that a text holds are added up where they come from different words of the item; the score is that sum over what
-an unedited copy would get. A leak has LEAK of an unedited copy's score, of items over PIECE words LEAK of a piece's.
+an unedited copy would get. An item that is copied in scattered runs is scored by its words in them, whatever lies between:
+every seed's diagonal is searched for runs of PART equal words or more. A leak has LEAK of an unedited copy's score, of
+items over PIECE words LEAK of a piece's.
 
 Items of fewer than MIN_WORDS words (any item in a script without spaces) are looked up whole: within a text from
 SHORT_BYTES bytes on, where the words are ASCII only at word boundaries; shorter ones only as the whole text.
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, text_blocks
+from .common import pick, staged, text_blocks
 
 SEED, SPAN, RARE, MIN_WORDS, ITEM_CHARS = 3, 4, 2, 5, 8_000_000
 #: Share of an unedited copy's score from which a passage counts as a leak.
@@ -145,16 +147,42 @@ class Seeds:
         self.chosen, self.first = np.unique(self.of, return_index=True)
         self.last = np.append(self.first[1:], len(self.of)) if len(self.first) else self.first
 
-    def windows(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items and the first word of the passage to align each with; neighbouring diagonals share a passage."""
+    def diagonals(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and diagonals (text position minus item position) of the seeds in a text, sorted, each pair once."""
         at, which = self.found(words, self.chosen)
         n = self.last[which] - self.first[which] if len(which) else np.empty(0, np.int64)
         if not n.sum():
             return np.empty(0, np.int64), np.empty(0, np.int64)
         rows = np.repeat(self.first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item, diagonal = self.item[rows], np.repeat(at, n) - self.place[rows]
-        order = np.lexsort((diagonal, item))
-        item, diagonal = item[order], diagonal[order]
+        item, diagonal = np.unique(np.stack([self.item[rows], np.repeat(at, n) - self.place[rows]]), axis=1)
+        return item, diagonal
+
+    def runs(self, words: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> dict[int, tuple[np.ndarray, int]]:
+        """By item: which of its words the text holds in runs of PART or more on these diagonals, and the word after the last."""
+        wide = max((len(self.words[i]) for i in np.unique(item)), default=0)
+        around = np.concatenate([np.full(wide, -1), words, np.full(wide, -1)])
+        out: dict[int, tuple[np.ndarray, int]] = {}
+        for start in range(0, len(item), 4096):
+            i, d = item[start : start + 4096], diagonal[start : start + 4096]
+            left = np.full((len(i), wide), -2, np.int64)
+            for k in np.unique(i):
+                left[i == k, : len(self.words[k])] = self.words[k]
+            same = around[np.clip(d[:, None] + wide + np.arange(wide), 0, len(around) - 1)] == left
+            long = np.zeros(same.shape, np.int16)
+            for c in range(wide):
+                long[:, c] = (long[:, c - 1] + 1 if c else 1) * same[:, c]
+            held = long >= PART
+            for c in range(wide - 2, -1, -1):
+                held[:, c] |= held[:, c + 1] & same[:, c]
+            for row in np.flatnonzero(held.any(1)):
+                places, k = np.flatnonzero(held[row]), self.owner[i[row]]
+                mark, end = out.get(k) or (np.zeros(self.sizes[k], bool), 0)
+                mark[self.offset[i[row]] + places] = True
+                out[k] = mark, max(end, int(d[row] + places[-1] + 1))
+        return out
+
+    def windows(self, item: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and the first word of the passage to align each with; neighbouring diagonals share a passage."""
         items, starts, i = [], [], 0
         while i < len(item):
             items.append(item[i])
@@ -163,7 +191,7 @@ class Seeds:
             while j < len(item) and item[j] == item[i] and diagonal[j] - diagonal[i] <= SLACK:
                 j += 1
             i = j
-        return np.array(items), np.array(starts) - SLACK
+        return np.array(items, np.int64), np.array(starts, np.int64) - SLACK
 
 
 def align(items: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,11 +225,14 @@ def _scan(seeds: Seeds, texts: list[str], leak: float) -> list[tuple[int, int, f
     """(text, item, score, word at which the aligned passage ends) of the leaks in a list of texts."""
     rows: list[tuple[int, int, int]] = []
     held: dict[int, np.ndarray] = {}
+    scattered: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
     for t, text in enumerate(texts):
         words = seeds.numbers(text)
-        items, starts = seeds.windows(words)
+        seen = seeds.diagonals(words)
+        items, starts = seeds.windows(*seen)
         if len(items):
             held[t] = words
+            scattered.update({(t, k): found for k, found in seeds.runs(words, *seen).items()})
             rows += [(t, int(i), int(s)) for i, s in zip(items, starts, strict=True)]
     parts: dict[tuple[int, int], list[tuple[int, int, int, int, int, int]]] = {}
     rows.sort(key=lambda r: len(seeds.words[r[1]]))
@@ -220,9 +251,10 @@ def _scan(seeds: Seeds, texts: list[str], leak: float) -> list[tuple[int, int, f
             if score >= 2 * PART or score >= leak * 2 * len(seeds.words[i]):
                 parts.setdefault((t, seeds.owner[i]), []).append((score, max(s, 0) + end + 1, i, max(s, 0), end + 1, last + 1))
     out = []
-    for (t, k), passages in parts.items():
-        size, least = 2 * seeds.sizes[k], leak * 2 * min(seeds.sizes[k], PIECE)
-        total, end = max(passages)[:2]
+    for t, k in dict.fromkeys([*parts, *scattered]):
+        size, least, passages = 2 * seeds.sizes[k], leak * 2 * min(seeds.sizes[k], PIECE), parts.get((t, k), [])
+        mark, after = scattered.get((t, k), (np.zeros(0, bool), 0))
+        total, end = max(passages)[:2] if passages else (0, after)
         if len(passages) > 1 and (total < least or size > 2 * PIECE):
             ranges = []
             for score, _, i, s, wide, last in passages:  # backwards from its end, the alignment ends where it began
@@ -230,6 +262,7 @@ def _scan(seeds: Seeds, texts: list[str], leak: float) -> list[tuple[int, int, f
                 back = align(seeds.words[i][:last][::-1][None], piece[None])[2][0]
                 ranges.append((score, seeds.offset[i] + last - 1 - int(back), seeds.offset[i] + last))
             total = max(total, min(_added_up(ranges), size))
+        total = max(total, 2 * int(mark.sum()))
         if total >= least:
             out.append((t, k, total / size, end))
     return out + [(t, k, 1.0, end) for t, text in enumerate(texts) for k, end in seeds.looked_up(text)]
@@ -239,13 +272,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, id_col
     """doc_id, item_id, score (share of an unedited copy's, 0 to 1) and end_word (of the best passage) for each text and item it leaks."""
     spark = docs.sparkSession
     rows = pick(docs, id_col, text_col)
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col("text"))
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col("text"), F.monotonically_increasing_id().alias("place"))
+    items = staged(items, "items")  # places stay, so that equal items are dealt to blocks like all others
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, ceil(chars / ITEM_CHARS))
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, score double, end_word int"
     out = None
     for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        block = items.where(F.pmod(F.xxhash64("place"), F.lit(blocks)) == b).collect()
         seeds = Seeds([(r["item_id"], r["text"]) for r in block])
         first = spark.sparkContext.broadcast(seeds)
 
