@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .common import pick, text_blocks
 from .labelled import class_counts, labelled_sample
@@ -28,6 +29,8 @@ from .labelled import class_counts, labelled_sample
 WINDOW, STEP = 32, 16
 #: Labelled texts of each class that training sees at most; least rounds over their chosen windows, and least steps in all.
 SAMPLE, ROUNDS, STEPS = 2000, 7, 330
+#: Bytes of the longest text that is learned from.
+LONGEST = 1 << 17
 SLICE = 8192  # words whose n-grams are held at once
 WORD_ROWS, CHAR_ROWS, DIM, HIDDEN = 1 << 13, 1 << 13, 12, 8
 _STRIP = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¡¿«»“”„’…"
@@ -260,9 +263,14 @@ def train(texts: list[str], y: np.ndarray, share: float, seed: int = 11) -> Toxi
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", rows: int = SAMPLE) -> ToxicityModel:
-    """The network from at most `rows` labelled texts of each class; `learn` selects on doc_id which labels may be seen."""
+    """The network from at most `rows` labelled texts of each class; `learn` selects on doc_id which labels may be seen.
+
+    Texts of more than LONGEST bytes are scored like all others but not learned from, so that the sample has
+    2 * rows * LONGEST bytes at most.
+    """
     zeros, ones = class_counts(labels, label, learn)
-    frame = labelled_sample(docs, labels, label, learn, rows).toPandas().sort_values("doc_id") if zeros and ones else None
+    sample = labelled_sample(docs, labels, label, learn, rows).where(F.octet_length("text") <= LONGEST)
+    frame = sample.toPandas().sort_values("doc_id") if zeros and ones else None
     if frame is None or frame["label"].nunique() < 2:
         model = ToxicityModel()
         model.constant = (ones + 0.5) / (zeros + ones + 1)
