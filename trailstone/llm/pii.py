@@ -42,12 +42,18 @@ _SHAPES = [
     ("ssn", re.compile(r"[0-9]{3}(?<![\w.-][0-9]{3})-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("iban", re.compile(r"[A-Z]{2}(?<!\w[A-Z]{2})[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("ipv4", re.compile(r"(?<![\w.-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w-]|\.[0-9])")),
-    ("email", re.compile(r"[A-Za-z0-9](?<![\w.+%-].)[A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\w-])")),
+    ("iban", re.compile(r"[a-z]{2}(?<!\w[a-z]{2})[0-9]{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?(?!\w)")),
+    ("email", re.compile(r"[^\W_](?<![\w.+%-].)[\w.%+-]{0,63}@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,24}(?![\w-])")),
+    ("ipv6", re.compile(r"(?<![\w:.])(?:[0-9a-f]{3,4}(?::[0-9a-f]{1,4}){0,6}::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})?|[0-9A-F]{3,4}(?::[0-9A-F]{1,4}){0,6}::(?:[0-9A-F]{1,4}(?::[0-9A-F]{1,4}){0,6})?)(?![\w:]|[.][0-9])")),
     ("ipv6", re.compile(r"(?<![\w:.])(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}|[0-9A-F]{1,4}(?::[0-9A-F]{1,4}){7})(?![\w:]|[.][0-9])")),
     ("secret", re.compile(r"eyJ(?<!\weyJ)[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?![\w-])")),
     ("secret", re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----\s+(?P<value>[A-Za-z0-9+/=\s]{32,}?)\s+-----END ")),
     ("secret", re.compile(r"AKIA(?<!\wAKIA)[0-9A-Z]{16}(?!\w)")),
     ("secret", re.compile(r"[pstkaPSTKA](?:(?<![^\W_].)|(?<=[a-z][PSTKA]))(?i:assword|asswd|ecret|ecret[_-]?key|oken|pi[_-]?key|ccess[_-]?key|ey)(?:\\?[\"'])?\s*[=:]\s*(?:\\?[\"'])?(?P<value>[A-Za-z0-9][A-Za-z0-9_+/.-]{6,})")),
+    ("secret", re.compile(r"(?<=[pP])(?i:assword|asswd|assphrase|wd)(?:\\?[\"'])?\s*[=:]\s*(?:\\?[\"'])?(?P<value>(?=[^\s\"'<>]*[0-9!#$%&*?@^~])[^\s\"'<>\\]{4,128})")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_])(?:gh[pousr]_|github_pat_|[sr]k_(?:live|test)_|xox[abprs]-|glpat-|AIza)(?P<value>(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{16,255})(?![A-Za-z0-9_-])")),
+    ("secret", re.compile(r"(?i:authorization)(?:\\?[\"'])?\s*[:=]\s*(?:\\?[\"'])?(?i:bearer|basic|token)\s+(?P<value>[A-Za-z0-9+/=._~-]{4,})")),
+    ("secret", re.compile(r"(?i:bearer)\s+(?P<value>(?=[A-Za-z+/=._~-]*[0-9])[A-Za-z0-9+/=._~-]{16,})")),
 ]
 #: Runs of digit groups a space or dash apart, and the candidates that follow each other in them whatever their grouping.
 _RUN = re.compile(r"[0-9](?<![\w.+][0-9])(?:[ -]?[0-9]){12,}(?![\w]|[.][0-9])")
@@ -231,7 +237,7 @@ class Pseudonymiser:
         s = shown.replace(" ", "")
         if not 15 <= len(s) <= 34 or iban_digits(s[:2], s[4:]) != s[2:4]:
             return None
-        account = self._classes(s[4:], "iban" + s[:2], back)
+        account = self._classes(s[4:], "iban" + s[:2].upper(), back)
         return _refill(shown, s[:2] + iban_digits(s[:2], account) + account)
 
     def ipv4(self, shown: str, back: bool) -> str | None:
@@ -277,6 +283,9 @@ class Pseudonymiser:
         return f"{first:02d}{shown[2]}{second:02d}{shown[5]}{new.year}"
 
     def ipv6(self, shown: str, back: bool) -> str | None:
+        """The digits that are written; a shortened address keeps its shape, and isn't linked with its long form."""
+        if "::" in shown and len(re.findall(r"[0-9A-Fa-f]+", shown)) > 7:
+            return None
         return _refill(shown, self._hex(shown.replace(":", ""), back))
 
     def secret(self, shown: str, back: bool) -> str | None:
