@@ -174,3 +174,18 @@ def test_clusters_need_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         staging.shared_folder(Session())
+
+
+def test_a_hundred_thousand_points_on_one_spot(spark):
+    """The k smallest ids of a spot stand for it; poses don't meet the rest."""
+    spot = spark.range(100_000).selectExpr("id AS point_id", "1.0D AS x", "2.0D AS y", "3.0D AS z", "1 AS segment_id")
+    near = spark.range(40).selectExpr("500000 + id AS point_id", "id * 0.25D - 5 AS x", "0.5D AS y", "3.5D AS z", "1 AS segment_id")
+    poses = spark.createDataFrame([(i, i * 0.1, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0) for i in range(30)], "step_nr long, tx double, ty double, tz double, qx double, qy double, qz double, qw double")
+    placed, _, _ = knn.cell_tree(spot.unionByName(near), (), 5)
+    assert placed.count() <= 5 + 40
+    got = knn.nearest_points(spot.unionByName(near), poses, k=5, half_angle=None).collect()
+    for step in range(30):
+        own = sorted((r.distance, r.point_id) for r in got if r.step_nr == step)
+        rows = [(i, 1.0, 2.0, 3.0) for i in range(5)] + [(500_000 + i, i * 0.25 - 5, 0.5, 3.5) for i in range(40)]
+        want = sorted((round(math.dist((step * 0.1, 1.0, 0.0), p[1:]), 6), p[0]) for p in rows)[:5]
+        assert own == want

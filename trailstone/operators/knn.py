@@ -50,9 +50,11 @@ def _level(points: DataFrame, n: int, above: int, by: Sequence[str]) -> int:
     return DEEPEST
 
 
-def cell_tree(points: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, int]:
+def cell_tree(points: DataFrame, by: Sequence[str] = (), k: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """(points with the number of their leaf, nodes, deepest level): cubes cut in eight until they hold about LEAF points.
 
+    Of points on one spot that no level parts the k with the smallest ids stay (None: all), as no search for k takes others.
+
     The depth follows where the points are: cells that are still DENSE go deeper, so that neither an outlier nor a cluster
     puts many points into one leaf. A node has its cell, its parent, its number of points and their bounding box.
     """
@@ -66,6 +68,9 @@ def cell_tree(points: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, Dat
     nodes: list[DataFrame] = []
     while True:
         level = _level(left, n, level, by)
+        if level == DEEPEST and k is not None:
+            spot = Window.partitionBy(*by, "x", "y", "z").orderBy("point_id")
+            left = written(left.withColumn("_r", F.row_number().over(spot)).where(F.col("_r") <= k).drop("_r"), "spots")
         keyed = left.withColumn("leaf", _cell(level))
         bounds = [f(c).alias(f"{k}{c}") for c in "xyz" for f, k in ((F.min, "lo_"), (F.max, "hi_"))]
         cells = written(keyed.groupBy(*by, "leaf").agg(F.count("*").alias("n"), *bounds, *(F.min(f"c{i}").alias(f"c{i}") for i in range(3))), "cells")
@@ -97,20 +102,19 @@ def _placed() -> Column:
 
 
 def _met(half_angle: float | None, axes: list[tuple[float, ...]]) -> dict[str, Column]:
-    """Of a pose and a node's box: the least and the greatest distance, and whether all or none of it is in the cone."""
-    centre = [(F.col(f"lo_{c}") + F.col(f"hi_{c}")) / 2 - F.col(f"t{c}") for c in "xyz"]
-    half = [(F.col(f"hi_{c}") - F.col(f"lo_{c}")) / 2 for c in "xyz"]
+    """Of a pose and a node's box (middle m, half its width w, ball around it): the least and the greatest distance, and whether all or none of it is in the cone."""
+    centre, half = [F.col(f"m{c}") - F.col(f"t{c}") for c in "xyz"], [F.col(f"w{c}") for c in "xyz"]
     near = far = F.lit(0.0)
     for axis in axes:  # the box seen along each axis of the distance
-        mid = F.abs(sum(F.lit(a) * c for a, c in zip(axis, centre, strict=True)))
-        wide = sum(F.lit(abs(a)) * h for a, h in zip(axis, half, strict=True))
-        near = near + F.greatest(mid - wide, F.lit(0.0)) * F.greatest(mid - wide, F.lit(0.0))
-        far = far + (mid + wide) * (mid + wide)
+        mid = F.abs(sum(F.lit(a) * c for a, c in zip(axis, centre, strict=True) if a))
+        wide = sum(F.lit(abs(a)) * h for a, h in zip(axis, half, strict=True) if a)
+        near = near + F.pow(F.greatest(mid - wide, F.lit(0.0)), F.lit(2.0))
+        far = far + F.pow(mid + wide, F.lit(2.0))
     out = {"near": F.sqrt(near), "far": F.sqrt(far)}
     if half_angle is None:
         return out | {"inside": F.lit(True), "outside": F.lit(False)}
     # a sphere around the box: its centre's angle to the axis of the cone, and the angle it fills
-    size, ball, cone = g.norm(tuple(centre)), g.norm(tuple(half)) * (1 + 1e-9), math.radians(half_angle)
+    size, ball, cone = g.norm(tuple(centre)), F.col("ball"), math.radians(half_angle)
     apart = size > ball + 1e-5
     safe = F.when(apart, size).otherwise(1.0)
     angle = F.acos(F.least(F.greatest(g.dot(tuple(centre), g.vec("f0", "f1", "f2")) / safe, F.lit(-1.0)), F.lit(1.0)))
@@ -142,12 +146,19 @@ def nearest_points(
         floor = unit_plane(floor)
         eligible = eligible.where(off_floor(floor, floor_threshold))
         axes = list(plane_axes(floor))
-    placed, nodes, deepest = cell_tree(written(eligible, "eligible"), by)
-    seen = poses.select(*by, "step_nr", *at, *(f.alias(f"f{i}") for i, f in enumerate(g.forward(g.pose_quaternion()))))
-
-    pose = [*by, "step_nr", "tx", "ty", "tz", "f0", "f1", "f2"]
-    own = Window.partitionBy(*by, "step_nr")
-    children = nodes.select(*by, "node", F.col("parent").alias("_parent"), "n", *_BOUNDS)
+    placed, nodes, deepest = cell_tree(written(eligible, "eligible"), by, k)
+    # few rows that become many: each goes to the task of its number, which no merging of small partitions undoes
+    spark = points.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    deal = F.pmod(F.xxhash64(*by, "step_nr"), F.lit(tasks)).cast("int").alias("_deal")
+    seen = poses.select(deal, *by, "step_nr", *at, *(f.alias(f"f{i}") for i, f in enumerate(g.forward(g.pose_quaternion())))).repartitionById(tasks, "_deal")
+
+    pose = ["_deal", *by, "step_nr", "tx", "ty", "tz", "f0", "f1", "f2"]
+    own = Window.partitionBy("_deal", *by, "step_nr")
+    middle = [((F.col(f"lo_{c}") + F.col(f"hi_{c}")) / 2).alias(f"m{c}") for c in "xyz"]
+    half = [((F.col(f"hi_{c}") - F.col(f"lo_{c}")) / 2).alias(f"w{c}") for c in "xyz"]
+    ball = (g.norm(tuple(half)) * (1 + 1e-9)).alias("ball")
+    children = nodes.select(*by, "node", F.col("parent").alias("_parent"), "n", *middle, *half, ball)
     active = seen.withColumns({"_parent": F.lit(1).cast("long"), "_inside": F.lit(False), "bound": F.lit(float("inf"))})
     for level in range(TOP, deepest + 1):
         met = active.join(children, [*by, "_parent"]).withColumns(_met(half_angle, axes)).withColumn("inside", F.col("inside") | F.col("_inside"))
