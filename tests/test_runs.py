@@ -99,3 +99,28 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT count(*) n FROM VALUES (0D), (NULL) t(x), LATERAL view_cone(x, 0D, 0D, 0D, 0D, 0D, 1D, 1D) c").first().n == 24
     slanted = spark.sql("SELECT * FROM floor_grid(1D, 2D, 3D, 0.6D, 0.8D, 0D, 1D)").collect()
     assert len(slanted) == 22 and all(abs(0.6 * r.ax + 0.8 * r.ay - 1) < 1e-9 and abs(0.6 * r.bx + 0.8 * r.by - 1) < 1e-9 for r in slanted)
+
+
+def test_components_of_a_whole_run(spark, tmp_path):
+    """Detections, segmentation, scene and writer as steps of one pipeline."""
+    from trailstone.plans import pipeline
+    from trailstone.sources import bindings as b
+    from trailstone.sources import files, ply
+
+    d = "/root/testdata/sf0.001"
+    raw = b.detections(spark, d)
+    odd = raw.limit(3).withColumn("x2", F.col("x1") - 1)
+    logits = spark.range(4000).selectExpr("id % 3 AS mask_id", "id DIV 3 % 40 AS row", "id DIV 120 AS col", "CAST(id % 7 AS LONG) - 3 AS logit")
+    steps = pipeline.steps_of({"pipeline": {"components": [{"type": "detections", "config": {"per_frame": 2}}, {"type": "segmentation", "config": {"min_area": 100}}, {"type": "scene"}, {"type": "output_writer", "config": {"folder": str(tmp_path), "only_save_last": False}}]}})
+    given = {"raw_detections": raw.unionByName(odd), "mask_logits": logits, "poses": b.poses(spark, d), "segment_labels": b.segment_labels(spark, d), "points": b.points(spark, d)}
+    out = pipeline.run(steps, given)
+    assert out["rejected_detections"].count() == 3 and out["detections"].groupBy("step_nr").count().agg(F.max("count")).first()[0] == 2
+    sizes = [r["count"] for r in out["mask_pixels"].groupBy("mask_id").count().collect()]
+    assert sizes and min(sizes) > 100 and out["mask_pixels"].groupBy("row", "col").count().where("count > 1").isEmpty()
+    log = out["scene_log"]
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"pose", "detection", "label"} and log.where("kind = 'detection'").count() == out["detections"].count()
+    written = {r.kind: r for r in out["written_files"].collect()}
+    assert written["pointcloud"].rows == given["points"].count() == ply.read_ply(spark, written["pointcloud"].path).count()
+    assert written["trajectory"].rows == 5 == files.read_trajectory(spark, written["trajectory"].path).count()
+    with pytest.raises(ValueError, match="folder"):
+        pipeline.run(pipeline.steps_of({"pipeline": {"components": [{"type": "output_writer"}]}}), given)

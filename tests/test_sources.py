@@ -1,11 +1,12 @@
 import json
+from datetime import datetime
 
 import numpy as np
 import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
-from trailstone.sources import files, ply
+from trailstone.sources import files, ply, runs
 
 
 def test_ply_round_trip_with_and_without_optional_columns(spark, tmp_path):
@@ -79,7 +80,7 @@ def test_metadata_snapshots_and_run_names(spark, tmp_path):
     assert json.loads(text) == {"data_summary": {"poses": 3, "duration": 1.5}, "configuration": {"k": "20"}, "file_paths": {}}
     files.write_snapshots(spark.range(40).selectExpr("id AS step_nr", "id AS point_id"), str(tmp_path / "s"))
     assert sorted(r.step_nr for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [9, 19, 29, 39]
-    assert ply.next_run_name(["run_2", "run_10", "other"]) == "run_11" and ply.next_run_name([]) == "run_1"
+    assert runs.next_run_name(["run_2", "run_10", "other", "run_x"]) == "run_11" and runs.next_run_name([]) == "run_0"
     frames = spark.range(10).withColumnRenamed("id", "frame_idx")
     assert sorted(r.frame_idx for r in files.sampled_frames(frames, 2).collect()) == [0, 1, 2, 3, 4]
 
@@ -171,3 +172,42 @@ def test_ascii_and_big_endian_files(spark, tmp_path):
     with pytest.raises(Exception, match="ends after 1 of 3"):
         ply.read_ply(spark, str(tmp_path)).count()
     assert ply.read_ply(spark, str(tmp_path), skip_bad=True).count() == 5
+
+
+# ---- a run's folder
+
+
+def test_runs_get_folders_of_their_own(spark, tmp_path):
+    assert [runs.new_run(spark, str(tmp_path)).rsplit("/", 1)[1] for _ in range(3)] == ["run_0", "run_1", "run_2"]
+    with pytest.raises(FileNotFoundError):
+        runs.new_run(spark, str(tmp_path / "nowhere"))
+    assert runs.output_folder("/a/", "slam", datetime(2024, 2, 29, 7, 8, 9)) == "/a/slam_20240229_070809" and runs.output_folder("/a", "slam") == "/a/slam"
+
+
+def test_which_file_is_read(spark, tmp_path):
+    at = lambda n: str(tmp_path / n)
+    assert runs.resolved(spark, str(tmp_path), None, "trajectory_path", runs.TRAJECTORIES) == at(runs.TRAJECTORIES[0])
+    (tmp_path / runs.TRAJECTORIES[1]).write_text("")
+    assert runs.resolved(spark, str(tmp_path), None, "trajectory_path", runs.TRAJECTORIES) == at(runs.TRAJECTORIES[1])
+    assert runs.resolved(spark, str(tmp_path), {"trajectory_path": "elsewhere/t.txt"}, "trajectory_path", runs.TRAJECTORIES) == at("t.txt")
+    assert runs.resolved(spark, str(tmp_path), {"trajectory_path": "/abs/t.txt"}, "trajectory_path", runs.TRAJECTORIES) == "/abs/t.txt"
+    assert runs.closest_source(spark, str(tmp_path)) is None
+    (tmp_path / runs.CLOSEST_POINTS[0]).write_text("")
+    assert runs.closest_source(spark, str(tmp_path)) == ("points", at(runs.CLOSEST_POINTS[0]))
+    (tmp_path / runs.CLOSEST_OBJECTS[1]).write_text("")
+    assert runs.closest_source(spark, str(tmp_path)) == ("objects", at(runs.CLOSEST_OBJECTS[1]))
+    assert runs.closest_source(spark, str(tmp_path), prefer_points=True) == ("points", at(runs.CLOSEST_POINTS[0]))
+
+
+def test_the_converted_video_comes_first(spark, tmp_path):
+    out, work = tmp_path / "runs" / "run_0", tmp_path / "work"
+    out.mkdir(parents=True)
+    work.mkdir()
+    found = lambda p: runs.video_path(spark, p, str(out), str(work), str(tmp_path / "home"))
+    assert found(None) is None and found("v.mov") is None
+    (tmp_path / "runs" / "v.mov").write_text("")
+    assert found("v.mov") == str(tmp_path / "runs" / "v.mov")
+    (work / "v.mov").write_text("")
+    assert found("v.mov") == str(work / "v.mov")
+    (work / "v_rerun_compatible.mp4").write_text("")
+    assert found("v.mov") == found(str(work / "v.mov")) == str(work / "v_rerun_compatible.mp4")

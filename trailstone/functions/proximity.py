@@ -81,3 +81,14 @@ def duration_text(seconds: Column) -> Column:
     """Hours, minutes and seconds, as many of them as needed."""
     h, m, s = F.floor(seconds / 3600).cast("int"), F.floor((seconds % 3600) / 60).cast("int"), seconds % 60
     return F.when(seconds >= 3600, F.format_string("%dh %dm %.2fs", h, m, s)).when(seconds >= 60, F.format_string("%dm %.2fs", m, s)).otherwise(F.format_string("%.2fs", s))
+
+
+def run_stamp(ts: Column) -> Column:
+    """A time as it names a run's folder."""
+    return F.date_format(ts, "yyyyMMdd_HHmmss")
+
+
+def iso_format(ts: Column) -> Column:
+    """A time without zone in ISO form; microseconds only where there are any."""
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_format(ts, "SSSSSS") == "000000", whole).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))

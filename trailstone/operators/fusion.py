@@ -42,10 +42,10 @@ def first(obs: DataFrame) -> DataFrame:
     return obs.withColumn("k", F.row_number().over(w)).where("k <= 2").groupBy("pixel").agg(F.max_by("x", "k").alias("x"))
 
 
-def best_score(obs: DataFrame, group: str = "grp") -> DataFrame:
-    """All pixels of the frame group with the highest lower-median confidence, the earliest of equals."""
-    lower = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY c)")
-    scores = obs.groupBy(group).agg(F.round(lower, 6).alias("score"))
+def best_score(obs: DataFrame, group: str = "grp", by_mean: bool = False) -> DataFrame:
+    """All pixels of the frame group with the highest lower-median (or mean) confidence, the earliest of equals."""
+    score = F.avg("c") if by_mean else F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY c)")
+    scores = obs.groupBy(group).agg(F.round(score, 6).alias("score"))
     best = scores.orderBy(F.desc("score"), group).limit(1)
     return obs.join(F.broadcast(best), group).select(group, "pixel", "frame", "x", "c")
 

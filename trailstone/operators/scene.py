@@ -27,10 +27,10 @@ def boxes(detections: DataFrame) -> DataFrame:
     return detections.select("step_nr", "detection_id", "x1", "y1", w.alias("w"), h.alias("h"), (F.col("x1") + w / 2).alias("cx"), (F.col("y1") + h / 2).alias("cy"), (w / 2).alias("hw"), (h / 2).alias("hh"))
 
 
-def prompts(detections: DataFrame, width: int, height: int, model_size: int = 1024) -> DataFrame:
-    """Two labelled corner points (2, 3) for each box, scaled to the model's square input."""
+def prompts(detections: DataFrame, width: int, height: int, model_size: int = 1024, also: Sequence[str] = ()) -> DataFrame:
+    """Two labelled corner points (2, 3) for each box, scaled to the model's square input; columns in `also` come along."""
     corner = lambda label, x, y: F.struct(F.lit(label).alias("label"), (F.col(x) / width * model_size).alias("px"), (F.col(y) / height * model_size).alias("py"))
-    return detections.select("step_nr", "detection_id", F.explode(F.array(corner(2, "x1", "y1"), corner(3, "x2", "y2"))).alias("p")).select("step_nr", "detection_id", "p.*")
+    return detections.select("step_nr", "detection_id", *also, F.explode(F.array(corner(2, "x1", "y1"), corner(3, "x2", "y2"))).alias("p")).select("step_nr", "detection_id", *also, "p.*")
 
 
 def detection_labels(detections: DataFrame, least: float = 0.3) -> DataFrame:

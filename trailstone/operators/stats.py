@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -112,3 +112,25 @@ def lists_by_step(table: DataFrame, *columns: str) -> DataFrame:
 def stage_timing(seconds: float, frames: int) -> dict[str, float]:
     """Whole time, time a frame and frames a second of a run; zeros where nothing ran."""
     return {"total_s": seconds, "s_per_frame": seconds / frames if frames else 0.0, "frames_per_s": frames / seconds if seconds else 0.0}
+
+
+def numbered_in_step(detections: DataFrame, *order: Column, name: str = "detection_id", step: str = "step_nr") -> DataFrame:
+    """detections with their place, from 0, among those of their step in `order`; a step's detections are few (the model's limit)."""
+    rest = [c for c in detections.columns if c not in (step, name)]
+    row = F.struct(*(o.alias(f"_o{i}") for i, o in enumerate(order)), F.struct(*rest).alias("_row"))
+    placed = detections.groupBy(step).agg(F.sort_array(F.collect_list(row)).alias("_rows")).select(step, F.posexplode("_rows").alias(name, "_one"))
+    return placed.select(step, name, "_one._row.*")
+
+
+def reporting_counts(rows: DataFrame, shown: Column, by: Sequence[str] = ("step_nr",)) -> DataFrame:
+    """seen and shown rows of each of `by`."""
+    return rows.groupBy(*by).agg(F.count("*").alias("seen"), F.count_if(shown).alias("shown"))
+
+
+def class_union(*tables: tuple[DataFrame, str]) -> DataFrame:
+    """class_name of every class that any of the (table, column) pairs names, once, and in how many of the tables it is."""
+    parts = [t.where(F.col(c).isNotNull()).select(F.col(c).alias("class_name"), F.lit(i).alias("_t")).distinct() for i, (t, c) in enumerate(tables)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("class_name").agg(F.count("*").alias("tables"))

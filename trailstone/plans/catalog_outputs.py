@@ -212,7 +212,7 @@ def distinct_labels(spark, d):
 
 @query("SELECT step_nr, count(*) AS seen, sum(CASE WHEN value > 100 THEN 1 ELSE 0 END) AS shown FROM (SELECT event_id // 10 AS step_nr, value FROM events) GROUP BY 1")
 def frame_tally(spark, d):
-    return b.table(spark, d, "events").groupBy(F.expr("event_id DIV 10").alias("step_nr")).agg(F.count("*").alias("seen"), F.count_if(F.col("value") > 100).alias("shown"))
+    return stats.reporting_counts(b.table(spark, d, "events").selectExpr("event_id DIV 10 AS step_nr", "value"), F.col("value") > 100)
 
 
 @query()

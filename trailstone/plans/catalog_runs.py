@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import checks, fusion, scene, sketches, versions
+from ..functions import proximity
+from ..operators import checks, fusion, scene, sketches, stats, versions
 from ..operators.ordered import running
 from ..sources import bindings as b
 from ..sql import register
 from ..streaming import frames as frame_loop_
-from .catalog import ORACLE_SQL, query
+from .catalog import _OBSERVED, ORACLE_SQL, _observed, query
 from .staging import shared_folder
 
 # ---- the frame loop over a table
@@ -259,3 +260,72 @@ def slanted_floor_grid(spark, d):
     centre = b.points(spark, d).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg("z").alias("cz"))
     out = scene.floor_grid(centre, SLANTED)
     return out.withColumns({c: F.col(c) + 0.0 for c in ("ax", "ay", "az", "bx", "by", "bz")})
+
+
+# ---- the rest by name
+
+
+@query(
+    f"""WITH {_OBSERVED}, gr AS (SELECT *, frame // 50 AS grp FROM obs), s AS (SELECT grp, round(avg(c), 6) AS score FROM gr GROUP BY grp),
+best AS (SELECT grp FROM s ORDER BY score DESC, grp LIMIT 1) SELECT grp, pixel, frame, x, c FROM gr WHERE grp IN (SELECT grp FROM best)"""
+)
+def fuse_best_mean_score(spark, d):
+    return fusion.best_score(_observed(spark, d).withColumn("grp", F.expr("frame DIV 50")), by_mean=True)
+
+
+@query(
+    """SELECT step_nr, CAST(row_number() OVER (PARTITION BY step_nr ORDER BY confidence DESC, class_name, ts, x1, y1, x2, y2, user_id) - 1 AS INTEGER) AS detection_id,
+  class_name, round(confidence, 6) AS confidence, x1 FROM detections""",
+    "detections",
+)
+def detection_numbers(spark, d):
+    """Detections numbered within their frame, the most confident first."""
+    rows = b.detections(spark, d).drop("detection_id")
+    order = [-F.col("confidence"), *(F.col(c) for c in ("class_name", "ts", "x1", "y1", "x2", "y2", "user_id"))]
+    return stats.numbered_in_step(rows, *order).select("step_nr", "detection_id", "class_name", F.round("confidence", 6).alias("confidence"), "x1")
+
+
+@query(
+    """SELECT step_nr, detection_id, class_name, unnest([2, 3]) AS label, unnest([x1 / 640 * 1024, x2 / 640 * 1024]) AS px,
+  unnest([y1 / 480 * 1024, y2 / 480 * 1024]) AS py FROM detections""",
+    "detections",
+)
+def bbox_prompts_labelled(spark, d):
+    return scene.prompts(b.detections(spark, d), 640, 480, also=["class_name"])
+
+
+@query(
+    """WITH u AS (SELECT DISTINCT class_name, 0 AS t FROM detections UNION ALL SELECT DISTINCT class_label, 1 FROM segment_labels)
+SELECT class_name, count(*) AS tables FROM u GROUP BY 1""",
+    "detections segment_labels",
+)
+def class_union(spark, d):
+    return stats.class_union((b.detections(spark, d), "class_name"), (b.segment_labels(spark, d), "class_label"))
+
+
+@query("SELECT step_nr, class_name FROM detections EXCEPT ALL SELECT step_nr, class_name FROM detections WHERE confidence >= 0.5", "detections")
+def detections_except_sure(spark, d):
+    """Steps and classes of detections, as often as they are left once the sure ones are taken out."""
+    rows = b.detections(spark, d)
+    return rows.select("step_nr", "class_name").exceptAll(rows.where("confidence >= 0.5").select("step_nr", "class_name"))
+
+
+@query("SELECT step_nr, tx, ty, tz FROM poses WHERE step_nr IN (SELECT step_nr FROM segment_labels WHERE segment_id > 0)", "poses segment_labels")
+def poses_with_labels(spark, d):
+    """Poses of steps in which a segment is named."""
+    return b.poses(spark, d).join(b.segment_labels(spark, d).where("segment_id > 0"), "step_nr", "left_semi").select("step_nr", "tx", "ty", "tz")
+
+
+@query("SELECT segment_id, class_label, step_nr FROM segment_labels WHERE step_nr < (SELECT count(*) FROM poses)", "segment_labels poses")
+def labels_within_run(spark, d):
+    """Labels of steps that the run has."""
+    many = b.poses(spark, d).agg(F.count("*").alias("_many"))  # one row
+    return b.segment_labels(spark, d).join(F.broadcast(many), F.col("step_nr") < F.col("_many")).select("segment_id", "class_label", "step_nr")
+
+
+@query(
+    """SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS stamp,
+  strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || strftime(ts, '%f') END AS iso FROM events"""
+)
+def run_stamps(spark, d):
+    return b.table(spark, d, "events").select("event_id", proximity.run_stamp(F.col("ts")).alias("stamp"), proximity.iso_format(F.col("ts")).alias("iso"))

@@ -385,7 +385,3 @@ def write_ply(points: DataFrame, path: str, mode: str = "overwrite", by_step: bo
         out = points.select(*have)
     out.write.format("ply").options(**options).mode(mode).save(path)
 
-
-def next_run_name(names: list[str]) -> str:
-    """run_<largest + 1> among the names of a folder."""
-    return f"run_{max([0, *(int(m[1]) for n in names if (m := re.fullmatch(r'run_(\d+)', n)))]) + 1}"
