@@ -13,6 +13,8 @@ from ..operators import align, asof, floor, fusion, graph, knn, masks, memory, s
 from ..operators import points as pt
 from ..operators.ordered import over_recent
 from ..sources import bindings as b
+from ..sources import files
+from ..streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -546,7 +548,7 @@ def trajectory_video_map(spark, d):
 
 @query("SELECT step_nr, tx, ty, tz FROM poses WHERE (step_nr + 1) % 10 = 0", "poses")
 def snapshot_gate(spark, d):
-    return b.poses(spark, d).where("(step_nr + 1) % 10 = 0").select("step_nr", "tx", "ty", "tz")
+    return files.snapshot_rows(b.poses(spark, d)).select("step_nr", "tx", "ty", "tz")
 
 
 @query("SELECT step_nr, CASE WHEN step_nr % 3 = 0 THEN count(*) ELSE 0 END AS n FROM detections GROUP BY step_nr", "detections")
@@ -672,14 +674,23 @@ def trajectory_txt(spark, d):
 # ---- event time and grouping beyond the trajectory operators
 
 
+def _zoned_events(spark, d):
+    """Watermarks need times with a zone; it is taken off again from what comes out."""
+    return b.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _unzoned(df: DataFrame) -> DataFrame:
+    return df.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def events_tumbling(spark, d):
-    return b.table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return _unzoned(stateful.windowed_counts(_zoned_events(spark, d), total="value")).withColumn("total", F.round("total", 4))
 
 
 @query("SELECT time_bucket(INTERVAL '30 minutes', ts) - k * INTERVAL '30 minutes' AS start, count(*) AS n FROM events, range(2) r(k) GROUP BY 1")
 def events_sliding(spark, d):
-    return b.table(spark, d, "events").groupBy(F.window("ts", "1 hour", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
+    return _unzoned(stateful.windowed_counts(_zoned_events(spark, d), slide="30 minutes", by=()))
 
 
 @query(
@@ -687,7 +698,7 @@ def events_sliding(spark, d):
  s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k"""
 )
 def events_session(spark, d):
-    return b.table(spark, d, "events").groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+    return _unzoned(stateful.sessions(_zoned_events(spark, d)))
 
 
 @query("SELECT class_name, coalesce(detection_id, -1) AS detection_id, count(*) AS n, round(avg(confidence), 6) AS mean FROM detections GROUP BY CUBE (class_name, detections.detection_id)", "detections")

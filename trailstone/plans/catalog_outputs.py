@@ -43,11 +43,11 @@ def ply_round_trip(spark, d):
     return back.select((F.col("r").cast("long") * 65536 + F.col("g") * 256 + F.col("b")).alias("point_id"), "x", "y", "z", "confidence", "segment_id")
 
 
-@query("SELECT round(epoch(ts), 3) AS ts_sec, round(tx, 6) AS tx, ty, round(tz, 6) AS tz, qx, qy, qz, qw FROM poses", "poses")
+@query("SELECT round(epoch(ts), 3) AS ts_sec, round(tx, 6) AS tx, round(ty, 6) AS ty, round(tz, 6) AS tz, qx, qy, qz, qw FROM poses", "poses")
 def trajectory_round_trip(spark, d):
     path = _folder(spark, "trajectory")
     files.write_trajectory(b.poses(spark, d).withColumn("ts_sec", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6), path)
-    return files.read_trajectory(spark, path).withColumns({"ts_sec": F.round("ts_sec", 3), "tx": F.round("tx", 6), "tz": F.round("tz", 6)})
+    return files.read_trajectory(spark, path).withColumns({"ts_sec": F.round("ts_sec", 3), "tx": F.round("tx", 6), "ty": F.round("ty", 6), "tz": F.round("tz", 6)})
 
 
 @query("SELECT 'csv' AS kind, nx, ny, nz, \"offset\", step_nr FROM floors WHERE step_nr = (SELECT max(step_nr) FROM floors) UNION ALL SELECT 'json', nx, ny, nz, \"offset\", step_nr FROM floors WHERE step_nr = (SELECT max(step_nr) FROM floors)", "poses floors")

@@ -181,9 +181,14 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
+def snapshot_rows(rows: DataFrame, interval: int = 10) -> DataFrame:
+    """Rows of every interval-th step: interval-1, 2*interval-1, ..."""
+    return rows.where((F.col("step_nr") + 1) % interval == 0)
+
+
 def write_snapshots(points: DataFrame, path: str, interval: int = 10) -> None:
-    """Points of every interval-th step (interval-1, 2*interval-1, ...), one folder a step."""
-    points.where((F.col("step_nr") + 1) % interval == 0).write.mode("overwrite").partitionBy("step_nr").parquet(path)
+    """Points of the steps that `snapshot_rows` names, one folder a step."""
+    snapshot_rows(points, interval).write.mode("overwrite").partitionBy("step_nr").parquet(path)
 
 
 def sampled_frames(frames: DataFrame, every: int) -> DataFrame:

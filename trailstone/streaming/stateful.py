@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -131,10 +131,12 @@ def warning_changes(warnings: DataFrame) -> DataFrame:
     return warnings.select("session_id", "step_nr", "level", "distance").groupBy("session_id").applyInPandasWithState(step, f"session_id string, step_nr long, {kinds}, previous_level string, previous_distance double", kinds, "append", GroupStateTimeout.NoTimeout)
 
 
-def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
-    """Event counts by window and type, late rows admitted up to the watermark."""
+def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes", slide: str | None = None, by: Sequence[str] = ("event_type",), total: str | None = None) -> DataFrame:
+    """start, `by`, n (and the sum of the column `total`) of each window, late rows admitted up to the watermark."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
-    return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    sums = [F.sum(total).alias("total")] if total else []
+    counted = events.withWatermark("ts", late).groupBy(w.alias("w"), *by).agg(F.count("*").alias("n"), *sums)
+    return counted.select(F.col("w.start").alias("start"), *by, "n", *(["total"] if total else []))
 
 
 def sessions(events: DataFrame, gap: str = "2 hours", late: str = "10 minutes") -> DataFrame:
