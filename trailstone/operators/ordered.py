@@ -27,21 +27,20 @@ def ranged(df: DataFrame, *order: str) -> DataFrame:
 
 
 def with_ordinal(df: DataFrame, *order: str, name: str = "i", by: Sequence[str] = ()) -> DataFrame:
-    """0-based position by `order` among the rows of equal `by`, counted within ranges and offset by their sizes."""
+    """0-based position by `order` among the rows of equal `by`, counted within ranges and offset by what lies before them.
+
+    With `by`, a range's first key alone may go on from the ranges before it, so there are fewer offsets than ranges.
+    """
     cut = ranged(df, *by, *order)
-    local = cut.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*by, *order)) - 1)
-    sizes = cut.groupBy("_range").agg(F.count("*").alias("_size"))  # one row a range
-    offsets = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
-    out = local.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_n")).drop("_range", "_n", "_before")
-    if not by:
-        return out
-    out = written(out, "placed")
-    counts = written(out.groupBy(*by).agg(F.min(name).alias("_first")), "firsts")
-    same = F.lit(True)
+    local = cut.withColumn("_n", F.row_number().over(Window.partitionBy("_range", *by).orderBy(*order)) - 1)
+    sizes = cut.groupBy("_range", *by).agg(F.count("*").alias("_size"))  # one row a range and key
+    before = F.sum("_size").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(F.col("_range").alias("_of"), *(F.col(c).alias(f"_by_{c}") for c in by), before.alias("_before")).where("_before IS NOT NULL")
+    same = F.col("_range") == F.col("_of")
     for c in by:
-        counts = counts.withColumnRenamed(c, f"_by_{c}")
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return out.join(counts, same).withColumn(name, F.col(name) - F.col("_first")).drop("_first", *(f"_by_{c}" for c in by))
+    out = local.join(F.broadcast(offsets), same, "left").withColumn(name, F.col("_n") + F.coalesce("_before", F.lit(0).cast("long")))
+    return out.drop("_range", "_n", "_before", "_of", *(f"_by_{c}" for c in by))
 
 
 def over_recent(df: DataFrame, order: str, before: int, name: str, value: Column, block: int = BLOCK, by: Sequence[str] = ()) -> DataFrame:
