@@ -76,6 +76,27 @@ def test_versions(spark, tmp_path):
     assert sorted((r.keyframe_id, r.step_nr, r.pose) for r in got.collect()) == [(1, 9, None), (1, 10, "a"), (2, 29, None), (2, 30, "e"), (9, 1, None)]
 
 
+def test_many_batches_are_applied_and_withdrawn_at_once(spark, tmp_path):
+    log = [(b, 10 * b, k, f"{b}-{k}") for b in range(1, 40) for k in (b % 5, 7)]
+    changes = spark.createDataFrame(log, "batch long, step_nr long, keyframe_id long, pose string")
+    one, many = (versions.VersionedTable(spark, str(tmp_path / n), "keyframe_id long, pose string") for n in ("one", "many"))
+    for batch in range(1, 40):
+        one.apply(batch, 10 * batch, changes.where(F.col("batch") == batch))
+    for batch in (4, 8, 12):
+        one.withdraw(100 + batch, batch)
+    many.apply(3, 30, changes.where("batch = 5"))  # replaced below
+    many.apply(50, 500, changes.where("batch = 5"))  # stays
+    one.apply(50, 500, changes.where("batch = 5"))
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    many.apply_all(changes)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(before) < 8  # not a job a batch
+    many.apply_all(changes)
+    many.withdraw(100, spark.createDataFrame([(4,), (8,), (12,)], "withdrawn_batch long"))
+    rows = lambda t: sorted(tuple(r) for r in t.intervals().na.fill(-1).collect())
+    assert rows(many) == rows(one) and len(rows(many)) == 2 * 39 + 2 - 2 * 3
+    assert sorted(map(tuple, many.as_of(85).collect())) == sorted(map(tuple, one.as_of(85).collect()))
+
+
 def test_sketches_merged_over_runs_are_within_their_bounds(spark):
     df = spark.range(200_000).selectExpr("id % 3 AS c", "id % 40 AS run", "(id * 7919) % 20011 AS who", "CAST((id * 104729) % 100003 AS DOUBLE) AS v")
     parts = sketches.by_run(df, ["c"], "run", "who", "v")

@@ -32,8 +32,21 @@ class VersionedTable:
             out = out.unionByName(deleted.select(self.key, *rest, F.lit(step).cast("long").alias("step_nr"), F.lit(True).alias("deleted")))
         out.write.mode("overwrite").parquet(f"{self.path}/changes/batch={batch}")
 
-    def withdraw(self, batch: int, withdrawn: int, keys: DataFrame | None = None) -> None:
-        """Batch `batch` takes back batch `withdrawn`, or its `keys` alone."""
+    def apply_all(self, changes: DataFrame) -> None:
+        """Many batches in one job: `changes` has `batch` and `step_nr` beside the table's columns, and may say what is `deleted`.
+
+        A batch that has rows there replaces what it wrote before; the folders of others stay as they are.
+        """
+        gone = F.col("deleted") if "deleted" in changes.columns else F.lit(False).alias("deleted")
+        out = changes.select(*self.columns, F.col("step_nr").cast("long").alias("step_nr"), gone, F.col("batch").cast("long").alias("batch"))
+        out.hint("rebalance", "batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/changes")
+
+    def withdraw(self, batch: int, withdrawn: int | DataFrame, keys: DataFrame | None = None) -> None:
+        """Batch `batch` takes back batch `withdrawn` (or all of a table of withdrawn_batch), or its `keys` alone."""
+        if isinstance(withdrawn, DataFrame):
+            own = F.lit(None).cast(self.gone.split()[3].rstrip(",")).alias(self.key)
+            withdrawn.select(F.col("withdrawn_batch").cast("long").alias("withdrawn_batch"), own).write.mode("overwrite").parquet(f"{self.path}/withdrawals/batch={batch}")
+            return
         rows = keys.select(self.key) if keys is not None else self.spark.sql(f"SELECT CAST(NULL AS {self.gone.split()[3].rstrip(',')}) AS {self.key}")
         rows.select(F.lit(withdrawn).cast("long").alias("withdrawn_batch"), self.key).write.mode("overwrite").parquet(f"{self.path}/withdrawals/batch={batch}")
 

@@ -14,7 +14,7 @@ from ..sources import bindings as b
 from ..sql import register
 from ..streaming import frames as frame_loop_
 from .catalog import _OBSERVED, ORACLE_SQL, _observed, query
-from .staging import shared_folder
+from .staging import shared_folder, written
 
 # ---- the frame loop over a table
 
@@ -138,13 +138,14 @@ SELECT keyframe_id, step_nr AS valid_from, lead(step_nr) OVER (PARTITION BY keyf
 def keyframe_versions(spark, d):
     """A batch of upserts for each thousand events; every fourth is withdrawn, and the first is applied twice."""
     events = b.table(spark, d, "events").selectExpr("event_id % 97 AS keyframe_id", "event_id DIV 1000 AS step_nr", "event_id", "value")
-    rows = events.groupBy("keyframe_id", "step_nr").agg(F.max("event_id").alias("seen"), F.max("value").alias("value"))
+    rows = events.where("step_nr IS NOT NULL").groupBy("keyframe_id", "step_nr").agg(F.max("event_id").alias("seen"), F.max("value").alias("value"))
+    rows = written(rows.withColumn("batch", F.col("step_nr")), "batches")
     table = versions.VersionedTable(spark, f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}", "keyframe_id long, seen long, value double")
-    steps = [r[0] for r in rows.select("step_nr").distinct().orderBy("step_nr").collect()]  # one number a batch
-    for step in [*steps[:1], *steps]:
-        table.apply(step, step, rows.where(F.col("step_nr") == step))
-    for step in [s for s in steps if s % 4 == 2]:
-        table.withdraw(10_000_000 + step, step)
+    first = rows.agg(F.min("step_nr")).first()[0]
+    if first is not None:
+        table.apply(first, first, rows.where(F.col("step_nr") == first))
+    table.apply_all(rows)
+    table.withdraw(10_000_000, rows.where("step_nr % 4 = 2").select(F.col("step_nr").alias("withdrawn_batch")).distinct())
     return table.intervals().select("keyframe_id", "valid_from", "valid_to", "seen", "value")
 
 
