@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trailstone.functions import geometry as g
 from trailstone.functions import proximity
-from trailstone.operators import align, asof, floor, fusion, knn, masks, sampling, stats, video
+from trailstone.operators import align, asof, floor, fusion, knn, masks, memory, sampling, stats, video
 from trailstone.plans import pipeline
 
 POINTS = [(0, 0.0, 0.0, 1.0, 0), (1, 0.0, 0.05, 1.0, 1), (2, 0.0, 1.5, 2.0, 1), (3, 1.0, 1.5, 2.0, 2), (4, 0.0, 1.5, -1.0, 2), (5, 0.0, 0.5, 0.5, 1), (6, 0.3, 1.5, 0.0, 0), (7, 0.0, 1.5, 0.0, 3)]
@@ -213,6 +213,20 @@ def test_assignment_is_optimal():
         assert sum(cost[i, j] for i, j in masks._assign(cost)) == pytest.approx(best)
 
 
+def test_cleared_frames_near_conditioning_ones(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(o), int(f), bool(c)) for o, f, c in zip(rng.integers(0, 4, 400), rng.integers(-900, 900, 400), rng.random(400) < 0.1, strict=True)] + [(None, 5, True), (1, None, True), (9, 3, False), (None, 6, False)]
+    frames = spark.createDataFrame(rows, "object_id long, frame_idx long, conditioning boolean")
+    for reach in (0, 1, 7, 60):
+        near = lambda o, f: any(c and None not in (o, f, o2, f2) and o == o2 and abs(f - f2) <= reach for o2, f2, c in rows)  # noqa: E731, B023
+        got = memory.cleared(frames, frames.where("conditioning"), reach)
+        assert got.columns == frames.columns
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(r) for r in rows if not near(*r[:2]))
+    plan = memory.cleared(frames, frames.where("conditioning"), 10**6)
+    assert plan.count() <= len(rows)  # two million frames a conditioning one would not be listed
+    assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_suppression_keeps_the_strongest(spark):
     d = spark.createDataFrame([(0, "a", 0, 0.9, 0.0, 0.0, 10.0, 10.0), (0, "a", 1, 0.8, 1.0, 1.0, 10.0, 10.0), (0, "b", 2, 0.7, 1.0, 1.0, 10.0, 10.0), (0, "a", 3, 0.6, 20.0, 20.0, 30.0, 30.0)], "step_nr long, class_name string, detection_id int, confidence double, x1 double, y1 double, x2 double, y2 double")
     assert sorted(r.detection_id for r in masks.suppress(d).collect()) == [0, 2, 3]

@@ -16,10 +16,19 @@ def bank(frames: DataFrame, size: int = 7, key: str = "object_id") -> DataFrame:
 def cleared(frames: DataFrame, conditioned: DataFrame, reach: int, key: str = "object_id") -> DataFrame:
     """Frames that are not within `reach` of a conditioning frame of their object.
 
-    Each conditioning frame names the 2 * reach + 1 frames it clears, which leave by an equi-join.
+    Frames lie in slots of reach + 1. A conditioning frame clears its own slot whole; of the slots beside it only the last
+    one before and the first one behind matter, so a slot gets one row however many there are, and the join is by slot.
     """
-    gone = conditioned.select(key, F.explode(F.sequence(F.col("frame_idx") - reach, F.col("frame_idx") + reach)).alias("frame_idx")).distinct()
-    return frames.join(gone, [key, "frame_idx"], "left_anti")
+    width = reach + 1
+    slot = F.expr(f"(frame_idx - pmod(frame_idx, {width}L)) DIV {width}L").alias("_slot")
+    own = conditioned.where("frame_idx IS NOT NULL").select(key, slot, "frame_idx").groupBy(key, "_slot").agg(F.min("frame_idx").alias("lo"), F.max("frame_idx").alias("hi"))
+    none = F.lit(None).cast("long")
+    lent = F.array(*(F.struct((F.col("_slot") + i).alias("_slot"), last.alias("_last"), first.alias("_first")) for i, last, first in ((0, F.col("hi"), F.col("lo")), (1, F.col("hi"), none), (-1, none, F.col("lo")))))
+    ends = own.select(key, F.explode(lent).alias("s")).select(key, "s.*").groupBy(key, "_slot")
+    # of a frame's own slot both ends are within reach, so the nearer ones stand for those of the slots beside it
+    ends = ends.agg(F.max("_last").alias("_last"), F.min("_first").alias("_first")).hint("merge")
+    near = (F.abs(F.col("frame_idx") - F.col("_last")) <= reach) | (F.abs(F.col("_first") - F.col("frame_idx")) <= reach)
+    return frames.withColumn("_slot", slot).join(ends, [key, "_slot"], "left").where(~F.coalesce(near, F.lit(False))).select(*(f"`{c}`" for c in frames.columns))
 
 
 def consolidated(objects: DataFrame, outputs: DataFrame, missing_score: float = -1024.0) -> DataFrame:
