@@ -227,6 +227,27 @@ def test_cleared_frames_near_conditioning_ones(spark):
     assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_suppression_of_many_small_groups_and_a_large_one(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(3000):
+        x, y, w, h = (float(v) for v in rng.integers(1, 60, 4))
+        rows.append((i % 700 if i > 900 else -1, "ab"[i % 2], i, float(rng.integers(0, 5)) / 4, x, y, x + w, y + h))
+    frames = spark.createDataFrame(rows, "step_nr long, class_name string, detection_id long, confidence double, x1 double, y1 double, x2 double, y2 double")
+    want = []
+    for key in {r[:2] for r in rows}:
+        kept = []
+        for r in sorted((r for r in rows if r[:2] == key), key=lambda r: (-r[3], r[2])):
+            area = lambda b: (b[6] - b[4]) * (b[7] - b[5])
+            shared = lambda a, b: max(min(a[6], b[6]) - max(a[4], b[4]), 0.0) * max(min(a[7], b[7]) - max(a[5], b[5]), 0.0)
+            if not any(shared(r, k) > 0.5 * (area(r) + area(k) - shared(r, k)) for k in kept):
+                kept.append(r)
+        want += kept
+    got = masks.suppress(frames)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()  # no frame of its own a group
+
+
 def test_suppression_keeps_the_strongest(spark):
     d = spark.createDataFrame([(0, "a", 0, 0.9, 0.0, 0.0, 10.0, 10.0), (0, "a", 1, 0.8, 1.0, 1.0, 10.0, 10.0), (0, "b", 2, 0.7, 1.0, 1.0, 10.0, 10.0), (0, "a", 3, 0.6, 20.0, 20.0, 30.0, 30.0)], "step_nr long, class_name string, detection_id int, confidence double, x1 double, y1 double, x2 double, y2 double")
     assert sorted(r.detection_id for r in masks.suppress(d).collect()) == [0, 2, 3]

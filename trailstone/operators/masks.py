@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -102,24 +103,36 @@ def match_masks(scores: DataFrame, accept: float = 0.7, frame: str = "step_nr")
 def suppress(detections: DataFrame, limit: float = 0.5) -> DataFrame:
     """Greedy non-maximum suppression within (step_nr, class_name): strongest first, ties by detection_id.
 
-    Detections of a frame and class are few, so they are one group.
+    A frame and class is one row, a list, as its detections are few; a batch of lists is gone through together. In each
+    round the strongest that is left of each list stays, and takes out what it covers.
     """
     columns = ["step_nr", "class_name", "detection_id", "confidence", "x1", "y1", "x2", "y2"]
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["confidence", "detection_id"], ascending=[False, True])
-        box, kept = f[["x1", "y1", "x2", "y2"]].to_numpy(float), []
-        area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
-        for i in range(len(box)):
-            w = np.minimum(box[i, 2], box[kept, 2]) - np.maximum(box[i, 0], box[kept, 0])
-            h = np.minimum(box[i, 3], box[kept, 3]) - np.maximum(box[i, 1], box[kept, 1])
-            shared = np.clip(w, 0, None) * np.clip(h, 0, None)
-            if not (shared > limit * (area[i] + area[kept] - shared)).any():
-                kept.append(i)
-        return f.iloc[kept][columns]
-
-    schema = ", ".join(f"{c} {dict(detections.dtypes)[c]}" for c in columns)
-    return detections.select(columns).groupBy("step_nr", "class_name").applyInPandas(run, schema)
+    kinds = dict(detections.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("rows")
+            rows = pa.RecordBatch.from_struct_array(lists.flatten())
+            number = lambda c: rows.column(c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            group = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            at = np.lexsort((number("detection_id"), -number("confidence").astype(float), group))
+            group, box, kept = group[at], np.stack([number(c).astype(float) for c in columns[4:]], 1)[at], []
+            area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+            while len(at):
+                first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+                best = np.repeat(first, np.diff(np.r_[first, len(at)]))
+                kept.append(at[first])
+                w = np.minimum(box[:, 2], box[best, 2]) - np.maximum(box[:, 0], box[best, 0])
+                h = np.minimum(box[:, 3], box[best, 3]) - np.maximum(box[:, 1], box[best, 1])
+                shared = np.clip(w, 0, None) * np.clip(h, 0, None)
+                left = ~(shared > limit * (area + area[best] - shared))
+                left[first] = False
+                at, group, box, area = at[left], group[left], box[left], area[left]
+            if kept:
+                yield rows.take(pa.array(np.concatenate(kept)))
+
+    lists = detections.select(columns).groupBy("step_nr", "class_name").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    return lists.select("rows").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 def strongest(detections: DataFrame, per_frame: int = 20) -> DataFrame:
