@@ -1,6 +1,7 @@
 import itertools
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from trailstone.functions import geometry as g
 from trailstone.functions import proximity
 from trailstone.operators import align, asof, floor, fusion, knn, masks, memory, sampling, stats, video
+from trailstone.operators import scene as scene_tables
 from trailstone.plans import pipeline
 
 POINTS = [(0, 0.0, 0.0, 1.0, 0), (1, 0.0, 0.05, 1.0, 1), (2, 0.0, 1.5, 2.0, 1), (3, 1.0, 1.5, 2.0, 2), (4, 0.0, 1.5, -1.0, 2), (5, 0.0, 0.5, 0.5, 1), (6, 0.3, 1.5, 0.0, 0), (7, 0.0, 1.5, 0.0, 3)]
@@ -253,6 +255,25 @@ def test_suppression_keeps_the_strongest(spark):
     assert sorted(r.detection_id for r in masks.suppress(d).collect()) == [0, 2, 3]
 
 
+def test_labels_round_as_their_sql_does(spark):
+    shares = [k / 1000 for k in range(300, 4000)]  # 0.575 * 100 is less than 57.5
+    d = spark.createDataFrame([(0, i, None if i == 7 else "Chair", c) for i, c in enumerate(shares)], "step_nr long, detection_id int, class_name string, confidence double")
+    got = {r.detection_id: r.label for r in scene_tables.detection_labels(d).collect()}
+    want = duckdb.sql("SELECT i, CASE WHEN i <> 7 THEN 'Chair (' || printf('%.2f', round((i + 300) / 1000, 2)) || ')' END FROM range(3700) t(i)").fetchall()
+    assert got == dict(want) and got[275] == "Chair (0.57)" and got[7] is None
+    assert "0.57m" in spark.range(1).select(proximity.warning_message(F.lit(0.575), F.lit("caution"), F.lit("Chair"), F.lit(5), F.lit(None).cast("string"))).first()[0]
+
+
+def test_estimated_users_need_one_sketch_a_class(spark):
+    d = spark.range(60_000).selectExpr("concat('c', id % 3) AS class_name", "CASE WHEN id % 50 = 0 THEN NULL ELSE id DIV 4 END AS user_id")
+    got = stats.users_of_classes(d)
+    want = d.groupBy("class_name").agg(F.countDistinct("user_id").alias("users"), F.approx_count_distinct("user_id", 0.01).alias("about"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    sketched = [line for line in plan.splitlines() if "approx_count_distinct" in line]
+    assert sketched and all("Aggregate [class_name#" in line and ", user_id#" not in line.split("], [")[0] for line in sketched)
+
+
 def test_video_reasons(spark):
     rows = [(1, "mp4", "yuv420p", "High", "bt709", "h264", None), (2, "matroska", "yuv420p10le", "High 10", "bt2020nc", "av1", ["DOVI configuration record"])]
     got = {r.video_id: (r.reasons, r.convert) for r in video.compatibility(spark.createDataFrame(rows, "video_id long, container string, pix_fmt string, profile string, color_space string, codec string, side_data array<string>")).collect()}

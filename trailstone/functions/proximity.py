@@ -20,6 +20,14 @@ STYLES = {
 PREFIXES = {"critical": "🚨 CRITICAL: ", "strong": "⚠️ WARNING: ", "caution": "⚠️ CAUTION: "}
 
 
+def rounded(number: Column, digits: int) -> Column:
+    """The product with 10^digits, rounded half up, and divided again: 0.575 * 100 is less than 57.5, so it gives 0.57.
+
+    Spark's own round takes the number's decimal form, so it would give 0.58; SQL engines and numpy work as this does.
+    """
+    return F.round(number * 10.0**digits, 0) / 10.0**digits
+
+
 def warning_level(distance: Column, critical: float = CRITICAL, strong: float = STRONG, caution: float = CAUTION) -> Column:
     return F.when(distance <= critical, "critical").when(distance <= strong, "strong").when(distance <= caution, "caution").when(distance.isNotNull(), "normal")
 
@@ -63,9 +71,9 @@ def warning_message(distance: Column, level: Column, label: Column, segment: Col
     number = F.concat(F.lit(" #"), segment.cast("string"))
     if not enabled:
         named = F.when(known, F.concat(label, number)).otherwise(F.concat(F.lit("Segment "), segment.cast("string")))
-        plain = F.format_string("Distance: %.3fm", F.round(distance, 3))
+        plain = F.format_string("Distance: %.3fm", rounded(distance, 3))
         return F.when(segmented, F.concat(plain, F.lit(" ("), named, F.lit(")"))).otherwise(plain)
-    metres = F.format_string("%.2fm", F.round(distance, 2))
+    metres = F.format_string("%.2fm", rounded(distance, 2))
     name = F.when(segmented & known, F.concat(label, number)).when(segmented, F.concat(F.lit("Object"), number)).otherwise("Object") if objects else F.lit("Point")
     prefix = F.lit("")
     for k, v in PREFIXES.items():

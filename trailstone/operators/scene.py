@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
+from ..functions.proximity import rounded
 from ..plans.staging import written
 from .ordered import with_ordinal
 
@@ -35,7 +36,7 @@ def prompts(detections: DataFrame, width: int, height: int, model_size: int = 10
 
 def detection_labels(detections: DataFrame, least: float = 0.3) -> DataFrame:
     colours = F.create_map(*(F.lit(x) for kv in CLASS_COLOURS.items() for x in kv))
-    shown = F.format_string("%s (%.2f)", "class_name", F.round("confidence", 2))
+    shown = F.concat("class_name", F.format_string(" (%.2f)", rounded(F.col("confidence"), 2)))
     return detections.where(F.col("confidence") >= least).select("step_nr", "detection_id", shown.alias("label"), F.coalesce(F.try_element_at(colours, F.col("class_name")), F.lit(OTHER_COLOUR)).alias("colour"))
 
 
