@@ -134,3 +134,13 @@ def class_union(*tables: tuple[DataFrame, str]) -> DataFrame:
     for p in parts[1:]:
         every = every.unionByName(p)
     return every.groupBy("class_name").agg(F.count("*").alias("tables"))
+
+
+def users_of_classes(detections: DataFrame, error: float = 0.01) -> DataFrame:
+    """class_name, users (distinct user_id) and about (their number as estimated).
+
+    The estimate is taken over the distinct users, which gives the same: together with a distinct count over all rows each
+    pair of class and user would hold a sketch of its own.
+    """
+    pairs = detections.select("class_name", "user_id").distinct()
+    return pairs.groupBy("class_name").agg(F.count("user_id").alias("users"), F.approx_count_distinct("user_id", error).alias("about"))

@@ -218,7 +218,7 @@ def frame_tally(spark, d):
 @query()
 def approx_classes(spark, d):
     """Users of each class, counted and as estimated with a standard error of a hundredth (no twin: the estimate is Spark's own)."""
-    return b.detections(spark, d).groupBy("class_name").agg(F.countDistinct("user_id").alias("users"), F.approx_count_distinct("user_id", 0.01).alias("about"))
+    return stats.users_of_classes(b.detections(spark, d))
 
 
 # ---- poses, styles, words
