@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailstone.operators import balls, graph
+from trailstone.operators import balls, graph, tiles
 
 
 def clustered(spark, n=6000, centres=40, dim=24, spread=0.02, seed=3):
@@ -51,3 +51,24 @@ def test_runs_don_t_meet(spark):
     got = graph.retrieve(both, 2, 5e-3, by=["session_id"], block=16, few=0)
     want = brute(ids, x, 2, 5e-3)
     assert {tuple(r) for r in got.select("session_id", "keyframe_id", "match_id", "similarity").collect()} == {(s, *w) for s in "ab" for w in want}
+
+
+@pytest.mark.parametrize("kind", ["even", "copies"])
+def test_tiles_find_what_all_pairs_hold(kind):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 9)) if kind == "even" else rng.normal(size=(40, 9))[rng.integers(40, size=3000)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(3000) * 7
+    q, m, s = tiles.best_earlier(x, ids, x, ids, 3, 5e-3)
+    assert {(int(ids[a]), int(ids[b]), float(c)) for a, b, c in zip(q, m, s, strict=True)} == brute(ids, x, 3, 5e-3)
+
+
+def test_a_vector_goes_to_a_bounded_number_of_groups(spark):
+    for n in (1, 5000, 100_000, 1 << 20):
+        for block in (8, 512):
+            assert n / (block * tiles.tile_size(n, block)) <= tiles.TILES
+    assert tiles.tile_size(1 << 30, 512) * 512 == tiles.MOST
+    ids, x, frame = clustered(spark, n=3000, centres=3000, spread=1.0)
+    for how in ({"block": 8}, {"block": 8, "few": 0}):  # in 375 blocks: 70,500 pairs of them
+        found = graph.retrieve(frame, 3, 5e-3, **how)
+        assert {tuple(r) for r in found.collect()} == brute(ids, x, 3, 5e-3)

@@ -2,16 +2,18 @@
 
 Descriptors are dealt to cells, each to the nearest of a bounded number of pivots (far from each other among a bounded
 sample) and, where that leaves cells of many blocks, by the signs of projections on fixed random directions. A cell's
-keyframes are cut, in the order of their ids, into blocks. A block is a ball (centre, radius), FAN neighbouring balls
-are the ball above them, up to one root a run. Two balls hold no pair more similar than
+keyframes are cut, in the order of their ids, into blocks. A block is a ball (centre, radius), and so is a tile of
+neighbouring blocks (`tiles.py`: a bounded number of tiles until they are full). Two balls hold no pair more similar than
 
     <c, d> + r |d| + s |c| + r s
 
 A first round compares each block with itself and the one before it in its cell, which gives nearly all keyframes k good
 matches. These then ask the tree as the block they are in, with the least of their k-th similarities as what a ball must
-reach; keyframes with fewer or far worse matches than the rest of their block (the first of a cell, outliers) are put into
+reach: tiles of queries meet the tiles that can hold a match, and within such a pair slabs of queries meet the blocks that
+can; keyframes with fewer or far worse matches than the rest of their block (the first of a cell, outliers) are put into
 blocks of their own, so that they don't lower what others ask for. Only pairs of blocks that the tree leaves are
-multiplied. Nothing is approximate: pivots and directions decide how much is left out, not what is found.
+multiplied. Where descriptors don't cluster that is nearly all of them, but a vector still goes to no more groups than
+there are tiles. Nothing is approximate: pivots and directions decide how much is left out, not what is found.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.staging import written
+from . import tiles
 from .ordered import with_ordinal
 
-#: Balls below one ball of the tree; pivots at most, and blocks of a cell about.
-FAN, PIVOTS, CELL = 16, 512, 4
+#: Pivots at most, blocks of a cell about, and queries of a slab at least.
+PIVOTS, CELL, SLAB = 512, 4, 128
 #: Bytes of the sample that pivots are chosen from, at most, and its rows for each pivot.
 SAMPLE_BYTES, SAMPLE = 1 << 24, 8
 #: More than rounding to six digits and the bounds' own arithmetic can take from a similarity.
@@ -98,31 +101,67 @@ def _packed(dim: int, keep: list[str]):
     return run
 
 
-def _above(dim: int, names: list[str]):
+def _above(dim: int, names: list[str], least: str):
+    """The ball around the balls of a group, with the least of a column."""
+
     def run(table: pa.Table) -> pa.Table:
         first = table.slice(0, 1)
         centre, radius = ball_of(_rows(table.column("centre").combine_chunks(), dim), np.asarray(table.column("radius")))
-        columns = {c: first.column(c) for c in names if c not in ("centre", "radius", "lo")}
-        return pa.table(columns | {"centre": pa.array([centre.tobytes()], pa.binary()), "radius": pa.array([radius]), "lo": pa.array([min(table.column("lo").to_pylist())], table.schema.field("lo").type)})
+        columns = {c: first.column(c) for c in names if c not in ("centre", "radius", least)}
+        return pa.table(columns | {"centre": pa.array([centre.tobytes()], pa.binary()), "radius": pa.array([radius]), least: pa.array([min(table.column(least).to_pylist())], table.schema.field(least).type)})
 
     return run
 
 
+def _most(c: np.ndarray, r: np.ndarray, d: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """More than any similarity between balls around c and balls around d, all against all."""
+    most = c @ d.T + r[:, None] * np.linalg.norm(d, axis=1) + np.linalg.norm(c, axis=1)[:, None] * s + r[:, None] * s
+    return most + SLIP + 1e-9 * np.abs(most)
+
+
 def _reach(dim: int):
-    """Pairs of a block of queries and a ball that may hold a match for one of them."""
+    """Pairs of a tile of queries and a tile that may hold a match for one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c, d = _rows(batch.column("centre"), dim), _rows(batch.column("other"), dim)
             r, s = np.asarray(batch.column("radius")), np.asarray(batch.column("other_radius"))
-            most = (c * d).sum(1) + r * np.linalg.norm(d, axis=1) + s * np.linalg.norm(c, axis=1) + r * s
-            most += SLIP + 1e-9 * np.abs(most)
-            keep = pa.array(most >= np.asarray(batch.column("floor")))
-            yield batch.select([n for n in batch.schema.names if not n.startswith("other")]).filter(keep)
+            most = [float(_most(c[i : i + 1], r[i : i + 1], d[i : i + 1], s[i : i + 1])[0, 0]) for i in range(len(c))]
+            keep = pa.array(np.asarray(most) >= np.asarray(batch.column("floor")))
+            yield batch.select([n for n in batch.schema.names if n not in ("centre", "radius", "floor") and not n.startswith("other")]).filter(keep)
 
     return run
 
 
+def _met(queries: pa.Table, matches: pa.Table, dim: int, block: int, multiplied: bool, k: int, threshold: float, by: list[str]) -> pa.Table:
+    """Of two tiles the matches found, or the pairs of blocks that are multiplied for them."""
+    queries, matches = queries.sort_by("q"), matches.sort_by("b")
+    few = len(queries) == 0 or len(matches) == 0
+    first = queries if len(queries) else matches
+    kind = first.schema.field("ids").type.value_type
+    size_q, size_m = (np.asarray(t.column("ids").combine_chunks().value_lengths()) for t in (queries, matches))
+    of_q, of_m = np.repeat(np.arange(len(size_q)), size_q), np.repeat(np.arange(len(size_m)), size_m)
+    (c, r), (d, s) = ((tiles.rows_of(t.column("centre"), dim), np.asarray(t.column("radius"))) for t in (queries, matches))
+    floor, lo, hi = np.asarray(queries.column("floor")), np.asarray(matches.column("lo")), np.asarray(queries.column("hi"))
+
+    def blocks(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        own = np.unique(of_q[i:j])
+        return own, ((_most(c[own], r[own], d, s) >= floor[own, None]) & (lo < hi[own, None])).any(0)
+
+    slab = max(1, SLAB // block) * block
+    keys = lambda n: [pa.array(first.column(x).to_pylist()[:1] * n, first.schema.field(x).type) for x in by]
+    if multiplied:
+        pairs = [np.stack(np.meshgrid(own, np.flatnonzero(some), indexing="ij")).reshape(2, -1) for own, some in (blocks(i, min(i + slab, len(of_q))) for i in range(0, 0 if few else len(of_q), slab))]
+        q, m = np.concatenate(pairs, 1) if pairs else np.empty((2, 0), np.int64)
+        q, m = np.unique(np.stack([np.asarray(queries.column("q"))[q], np.asarray(matches.column("b"))[m]]), axis=1)
+        return pa.table([*keys(len(q)), pa.array(q, pa.int64()), pa.array(m, pa.int64())], [*by, "q", "b"])
+    ids, other = (np.asarray(t.column("ids").combine_chunks().flatten()) for t in (queries, matches))
+    q, m, s_ = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    if not few:
+        q, m, s_ = tiles.best_earlier(tiles.rows_of(queries.column("e"), dim), ids, tiles.rows_of(matches.column("e"), dim), other, k, threshold, floor[of_q], lambda i, j: blocks(i, j)[1][of_m], slab)
+    return pa.table([*keys(len(q)), pa.array(ids[q], kind), pa.array(other[m], kind), pa.array(s_, pa.float64())], [*by, "keyframe_id", "match_id", "similarity"])
+
+
 def _compare(dim: int, k: int, threshold: float, by: list[str]):
     """The best k matches of each query among the earlier keyframes of the other block."""
 
@@ -193,26 +232,30 @@ def retrieve_by_balls(descriptors: DataFrame, k: int = 3, threshold: float = 5e-
     queries = packed(groups.groupBy(*by, "q").agg(F.sort_array(F.collect_list(F.struct("keyframe_id", "v", "kth"))).alias("rows")), [*by, "q"])
     queries = written(queries, "queries")
 
-    # the tree, leaves first
-    names = [*by, "b", "centre", "radius", "lo"]
-    levels = [blocks.select(*names)]
-    width = (blocks.agg(F.max("b")).first()[0] or 0) + 1
-    ball = f"{of_run} b long, centre binary, radius double, lo {types['keyframe_id']}".strip(", ")
-    while width > 1:
-        up = levels[-1].withColumn("b", F.expr(f"b DIV {FAN}"))
-        levels.append(written(up.groupBy(*by, "b").applyInArrow(_above(dim, names), ball), "balls"))
-        width = -(-width // FAN)
-
-    pairs = queries.select(*by, "q", "hi", "floor", "centre", "radius", F.lit(0).cast("long").alias("b"))
-    schema = f"{of_run} q long, hi {types['keyframe_id']}, floor double, centre binary, radius double, b long".strip(", ")
-    for depth, level in enumerate(reversed(levels)):
-        balls = level.select(*by, F.col("b").alias("child"), F.col("centre").alias("other"), F.col("radius").alias("other_radius"), F.col("lo").alias("other_lo"))
-        balls = balls.withColumn("b", F.expr(f"child DIV {FAN}") if depth else F.lit(0).cast("long"))
-        below = pairs.join(balls, [*by, "b"]).where(F.col("other_lo") < F.col("hi"))
-        below = below.select(*by, "q", "hi", "floor", "centre", "radius", F.col("child").alias("b"), "other", "other_radius")
-        pairs = written(below.mapInArrow(_reach(dim), schema), "pairs")
-    pairs = pairs.select(*by, "q", "b")
-    left = pairs.join(queries.select(*by, "q", F.col("ids").alias("ids_q"), F.col("e").alias("e_q")), [*by, "q"])
-    away = compared(left.join(blocks.select(*by, "b", "ids", "e"), [*by, "b"]))
+    # tiles of queries and of blocks as balls, and the pairs of them that may hold a match
+    of_tile = tiles.tile_size(n, block)
+    queries = queries.withColumn("qt", F.expr(f"CASE WHEN q < 0 THEN -1 - (-1 - q) DIV {of_tile} ELSE q DIV {of_tile} END"))
+    blocks = blocks.withColumn("bt", F.expr(f"b DIV {of_tile}"))
+
+    def balls(rows: DataFrame, tile: str, extra: str) -> DataFrame:
+        names = [*by, tile, "centre", "radius", extra]
+        kind = types["keyframe_id"] if extra == "lo" else "double"
+        return rows.select(*names).groupBy(*by, tile).applyInArrow(_above(dim, names, extra), f"{of_run} {tile} long, centre binary, radius double, {extra} {kind}".strip(", "))
+
+    other = balls(blocks, "bt", "lo").select(*by, "bt", F.col("centre").alias("other"), F.col("radius").alias("other_radius"))
+    asks = balls(queries, "qt", "floor")
+    met = asks.join(other, by) if by else asks.crossJoin(other)
+    met = met.select(*by, "qt", "bt", "centre", "radius", "floor", "other", "other_radius")
+    met = written(met.mapInArrow(_reach(dim), f"{of_run} qt long, bt long".strip(", ")), "met")
+    group = [*by, "qt", "bt"]
+    left = queries.join(met, [*by, "qt"]).select(*group, "q", "ids", "hi", "floor", "centre", "radius", "e")
+    right = blocks.join(met, [*by, "bt"]).select(*group, "b", "ids", "lo", "centre", "radius", "e")
+
+    def meeting(multiplied: bool, schema: str) -> DataFrame:
+        run = lambda q, m: _met(q, m, dim, block, multiplied, k, threshold, by)
+        return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(run, schema)
+
+    pairs = meeting(True, f"{of_run} q long, b long".strip(", "))
+    away = meeting(False, found_schema)
     every = home.drop("r").unionByName(away).distinct()
     return every.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r"), pairs

@@ -2,61 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..plans.staging import written
+from . import tiles
 from .balls import retrieve_by_balls
 from .ordered import with_ordinal
 
 #: Keyframes that one block of the comparison holds; blocks up to which all pairs of them cost less than a tree.
-BLOCK, FEW_BLOCKS = 512, 64
-
-
-def _matrix(column: pa.Array, i: int, n: int) -> np.ndarray:
-    """Row i of a column of lists as n rows of numbers."""
-    return np.asarray(column[i].values, np.float64).reshape(n, -1)
+BLOCK, FEW_BLOCKS = 512, 2048
 
 
 def retrieve(descriptors: DataFrame, k: int = 3, threshold: float = 5e-3, by: Sequence[str] = (), block: int = BLOCK, few: int = FEW_BLOCKS) -> DataFrame:
     """keyframe_id, match_id, similarity: for each keyframe the k most similar earlier ones (of the same `by`).
 
-    Exact at every size: long sequences go down a tree of balls (`balls.retrieve_by_balls`), short ones are compared in
-    blocks of the sequence: a block is one row, each pair of blocks is one matrix product, and only its best k of each
-    keyframe come out of it to meet those of other pairs. Blocks are cut by position, so ids may have gaps of any size;
-    embeddings are as long as each other, keyframes without one are left out.
+    Exact at every size: long sequences go down a tree of balls (`balls.retrieve_by_balls`), short ones are compared tile by
+    tile of the sequence (`tiles.in_order`); only the best k of each keyframe come out of a pair of tiles to meet those of
+    other pairs. Blocks are cut by position, so ids may have gaps of any size; embeddings are as long as each other,
+    keyframes without one are left out.
     """
-    if descriptors.where("embedding IS NOT NULL").count() > few * block:
+    given = descriptors.where("embedding IS NOT NULL")
+    n, dim = given.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    if n > few * block:
         return retrieve_by_balls(descriptors, k, threshold, by, block)[0]
-    kind = dict(descriptors.dtypes)["keyframe_id"]
-    placed = with_ordinal(descriptors.where("embedding IS NOT NULL").select(*by, "keyframe_id", "embedding"), "keyframe_id", by=by)
+    types = dict(descriptors.dtypes)
+    keys = "".join(f"{c} {types[c]}, " for c in by)
+    kind = types["keyframe_id"]
+    placed = with_ordinal(given.select(*by, "keyframe_id", "embedding"), "keyframe_id", by=by)
     one = F.struct("keyframe_id", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
     rows = placed.groupBy(*by, F.expr(f"i DIV {block}").alias("block")).agg(F.sort_array(F.collect_list(one)).alias("rows"))
-    blocks = written(rows.select(*by, "block", F.col("rows.keyframe_id").alias("ids"), F.flatten("rows.e").alias("e")), "blocks")
-    earlier = F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("other")
-    pairs = blocks.select(*by, "block", earlier, F.col("ids").alias("ids_q"), F.col("e").alias("e_q")).join(blocks.withColumnRenamed("block", "other"), [*by, "other"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                queries, matches = (np.asarray(batch.column(c)[i].values) for c in ("ids_q", "ids"))
-                s = np.round(_matrix(batch.column("e_q"), i, len(queries)) @ _matrix(batch.column("e"), i, len(matches)).T, 6)
-                s[(s <= threshold) | (matches[None] >= queries[:, None])] = -np.inf
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]  # matches are in the order of their ids
-                found = np.take_along_axis(s, top, 1)
-                q, r = np.nonzero(found > -np.inf)
-                keys = [batch.column(c).take(pa.array(np.full(len(q), i))) for c in by]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(queries[q]), pa.array(matches[top[q, r]]), pa.array(found[q, r])], [*by, "keyframe_id", "match_id", "similarity"])
-
-    types = dict(descriptors.dtypes)
-    some = pairs.mapInArrow(compare, ", ".join([*(f"{c} {types[c]}" for c in by), f"keyframe_id {kind}, match_id {kind}, similarity double"]))
-    rank = F.row_number().over(Window.partitionBy(*by, "keyframe_id").orderBy(F.desc("similarity"), "match_id"))
-    return some.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+    lists = rows.select(*by, "block", F.col("rows.keyframe_id").alias("ids"), F.flatten("rows.e").alias("e"))
+    blocks = written(lists.mapInArrow(tiles.packed, f"{keys}block long, ids array<{kind}>, e binary"), "blocks")
+    found = tiles.in_order(blocks, k, threshold, by, dim or 1, tiles.tile_size(n, block), f"{keys}keyframe_id {kind}, match_id {kind}, similarity double")
+    return tiles.best(found, k, by)
 
 
 def consecutive(descriptors: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -474,7 +474,7 @@ def keyframe_knn(spark, d):
 
 @query(f"WITH {_RETRIEVED} SELECT keyframe_id, match_id, similarity FROM got", "descriptors")
 def keyframe_knn_tree(spark, d):
-    """The same down a tree of balls, whose blocks are small here so that it has several levels."""
+    """The same down a tree of balls, whose blocks are small here so that tiles have many of them."""
     return graph.retrieve(b.descriptors(spark, d), block=8, few=0)
 
 
