@@ -189,3 +189,20 @@ def test_a_hundred_thousand_points_on_one_spot(spark):
         rows = [(i, 1.0, 2.0, 3.0) for i in range(5)] + [(500_000 + i, i * 0.25 - 5, 0.5, 3.5) for i in range(40)]
         want = sorted((round(math.dist((step * 0.1, 1.0, 0.0), p[1:]), 6), p[0]) for p in rows)[:5]
         assert own == want
+
+
+def test_columns_left_out_hold_no_point_of_a_cone(spark):
+    rng = np.random.default_rng(8)
+    x = rng.uniform(-2, 2, (1500, 3))
+    q = rng.normal(size=(40, 4))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    t = rng.uniform(-1.5, 1.5, (40, 3))
+    points = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "point_id long, x double, y double, z double")
+    poses = spark.createDataFrame([(i, *map(float, a), *map(float, r)) for i, (a, r) in enumerate(zip(t, q, strict=True))], "step_nr long, tx double, ty double, tz double, qx double, qy double, qz double, qw double")
+    a, b, c, d = q.T
+    f = np.stack([2 * (a * c + b * d), 2 * (b * c - a * d), 1 - 2 * (a * a + b * b)], 1)
+    for half in (20.0, 45.0, 100.0):
+        v = x[None] - t[:, None]
+        inside = ((v * f[:, None]).sum(2) >= np.linalg.norm(v, axis=2) * np.cos(np.radians(half))) & (np.hypot(v[..., 0], v[..., 2]) <= 0.7)
+        got = knn.points_in_cone(points, poses, 0.7, floor=(0.0, 1.0, 0.0, 0.0), half_angle=half).select("step_nr", "point_id").collect()
+        assert {tuple(r) for r in got} == set(map(tuple, np.argwhere(inside).tolist())) and len(got) == inside.sum()

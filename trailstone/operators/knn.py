@@ -17,6 +17,8 @@ from .points import Plane, in_cone, off_floor, segmented, unit_plane
 LEAF, DENSE = 32, 16
 #: The first level below the root, and the deepest (2 ** 20 cells a dimension).
 TOP, DEEPEST = 2, 20
+#: Cells along a floor for one reach of a search for all points within it.
+FINE = 4
 _BOUNDS = [f"{f}{c}" for c in "xyz" for f in ("lo_", "hi_")]
 
 
@@ -188,14 +190,30 @@ def points_in_cone(points: DataFrame, poses: DataFrame, reach: float, floor: Pla
     """step_nr, point_id and distance of all points within `reach` of each pose that are in its view cone.
 
     Points without an id or with a coordinate that is null or not finite are left out. Space is cut into cells as wide as
-    the reach; a pose meets the points of its own and the adjoining cells in an equi-join.
+    the reach, or a FINE-th of it along a floor; a pose meets the points of the cells around it in an equi-join. Along a
+    floor it leaves those beyond the reach, and those where the cone holds no point, however high or low.
     """
     axes = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)] if floor is None else list(plane_axes(unit_plane(floor)))
-    cell = lambda v, axis: F.floor(g.dot(v, g.const(*axis)) / reach)
+    fine, cos = 1 if floor is None else FINE, math.cos(math.radians(half_angle))
+    size = reach / fine
+    cell = lambda v, axis: F.floor(g.dot(v, g.const(*axis)) / size)
     names = [f"_c{i}" for i in range(len(axes))]
     around = poses.select(*by, "step_nr", *g.pose_position(), *(f.alias(f"f{i}") for i, f in enumerate(g.forward(g.pose_quaternion()))))
     for name, axis in zip(names, axes, strict=True):
-        around = around.withColumn(name, F.explode(F.array(*(cell(g.pose_position(), axis) + i for i in (-1, 0, 1)))))
+        around = around.withColumn(name, F.explode(F.array(*(cell(g.pose_position(), axis) + i for i in range(-fine, fine + 1)))))
+    if floor is not None:
+        at = [g.dot(g.pose_position(), g.const(*axis)) for axis in axes]
+        slack = 1e-6 * size + 1e-9 * F.greatest(*(F.abs(a) for a in at))
+        mid = [(F.col(name) + 0.5) * size - a for name, a in zip(names, at, strict=True)]
+        beyond = sum(F.pow(F.greatest(F.abs(m) - size / 2 - slack, F.lit(0.0)), F.lit(2.0)) for m in mid) > reach**2
+        # a column at u along the floor holds points of the cone if u . f >= |u| sqrt(cos^2 - f_n^2), f_n being f's part upwards
+        along = [g.dot(g.vec("f0", "f1", "f2"), g.const(*axis)) for axis in axes]
+        upward = g.dot(g.vec("f0", "f1", "f2"), g.const(*unit_plane(floor)[:3]))
+        ball, flat = size * math.sqrt(0.5) + 2 * slack, F.sqrt(along[0] * along[0] + along[1] * along[1])
+        least = F.sqrt(F.greatest(F.lit(cos * cos) - upward * upward, F.lit(0.0))) if cos > 0 else F.lit(0.0)
+        seen = mid[0] * along[0] + mid[1] * along[1] + ball * flat >= least * (F.sqrt(mid[0] * mid[0] + mid[1] * mid[1]) - ball) - slack
+        any_height = F.lit(cos <= 0) | (F.abs(upward) >= cos - 1e-9)
+        around = around.where(~F.coalesce(beyond, F.lit(False)) & (any_height | F.coalesce(seen, F.lit(True))))
     keyed = points.where(_placed()).select(*by, "point_id", "x", "y", "z", *(cell(g.vec(), axis).alias(name) for name, axis in zip(names, axes, strict=True)))
     squares = F.lit(0.0)
     for axis in axes:
