@@ -48,7 +48,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_language_model(docs.where(bucket_of("doc_id") != 0))
     named = identify_language(docs, model, carry=tuple(docs.columns))
     accepted: Column = F.col("lang_pred") != "und"
-    if not model.languages:  # nothing was learned: a letter is all that can be asked for
+    if not model.learned:  # nothing was learned: a letter is all that can be asked for
         accepted = F.col("row.text").rlike(r"\p{L}")
     return named.where(accepted).select("row.*")
 

@@ -255,6 +255,58 @@ def test_a_column_of_junk_languages_is_no_burden(spark):
     assert {r.doc_id: r.lang_pred for r in langid.identify_language(docs, model).collect()} == {1: "en", 2: "de"}
 
 
+def words_of(i, n=12):
+    """Words of letters that a language uses more than others."""
+    rng = random.Random(i)
+    own = rng.sample("abcdefghijklmnopqrstuvwxyz", 6)
+    return " ".join("".join(rng.choices(own, k=5)) for _ in range(n))
+
+
+def test_languages_of_few_rows_are_learned(spark):
+    rows = [("the word of that and this with which " + str(i), "en") for i in range(700)] + [("der und die nicht ein werden für auch", "de") for _ in range(700)] + [("eta hau ez da baina zer dugu gure etxean", "eu")]
+    model = langid.fit_language_model(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == ["de", "en"]
+    docs = spark.createDataFrame([(1, "gure etxean eta hau"), (1, "gure etxean eta hau"), (2, "nicht werden und auch"), (3, "with the word"), (None, "zer da hau"), (4, None), (5, "12 !")], "doc_id long, text string")
+    found = langid.identify_language(docs, model, carry=("text", "doc_id")).collect()
+    assert sorted((str(r.doc_id), r.lang_pred) for r in found) == [("1", "eu"), ("1", "eu"), ("2", "de"), ("3", "en"), ("4", "und"), ("5", "und"), ("None", "eu")]
+    assert all(r.row.doc_id == r.doc_id and (0.5 < r.score <= 1 if r.lang_pred != "und" else r.score == 0) for r in found)
+
+
+@pytest.mark.parametrize("often", [True, False])
+def test_rare_languages_equal_one_against_each_other(spark, monkeypatch, often):
+    """More languages than codewords are given, in several tiles: the likeliest one by counts of one text at a time."""
+    monkeypatch.setattr(langid, "TILE", 50)
+    names = [f"l{i:03}" for i in range(600)]
+    rows = [(words_of(i), name) for i, name in enumerate(names)] + [(words_of(1000 + k), name) for k, name in enumerate(("aa", "bb")) for _ in range(300 if often else 1)]
+    rows.append((words_of(7), "l599b"))  # equal to l007
+    model = langid.fit_language_model(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == (["aa", "bb"] if often else [])
+    texts = [words_of(i)[5:30] for i in range(0, 600, 13)] + [words_of(7), words_of(1000)[:20], words_of(1001)] + [words_of(2000 + i) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.identify_language(docs, model).collect()}
+    counts = defaultdict(Counter)
+    for text, name in rows:
+        counts[name].update(langid.grams(*langid.text_bytes(langid.pa.array([text])))[0].tolist())
+    assert len(got) == len(texts)
+    block = langid.text_bytes(langid.pa.array(texts))
+    codes = model.scores(*block) if often else None
+    for i, text in enumerate(texts):
+        own = langid.grams(*langid.text_bytes(langid.pa.array([text])))[0].tolist()
+        sure = min(len(own) / len(langid.SIZES), langid.EVIDENCE)
+        mean = {name: round(-sum(math.log((c[g] + 0.5) / (c.total() + 0.5 * langid.BUCKETS)) for g in own) / len(own), 9) for name, c in counts.items()}
+        frequent = min((mean[name] for name in model.languages), default=math.inf)
+        best, rare = min((v, name) for name, v in mean.items() if name not in model.languages)
+        odds = {name: math.exp(-sure * (v - min(best, frequent))) for name, v in mean.items() if name not in model.languages}
+        if often:
+            odds |= {name: p / max(codes[i]) * math.exp(-sure * (frequent - min(best, frequent))) for name, p in zip(model.languages, codes[i], strict=True)}
+        wins = rare if best < frequent else model.languages[codes[i].argmax()]
+        total = sum(odds.values())
+        first, second = odds.pop(wins) / total, max(odds.values()) / total
+        assert got[i].lang_pred == wins
+        assert got[i].score == pytest.approx(first, rel=1e-5)
+        assert got[i].ambiguous == (first - second < langid.AMBIGUOUS)
+
+
 def test_languages_that_are_equally_likely(spark):
     from trailstone.llm import langid
 
