@@ -37,6 +37,8 @@ MOST_LANGUAGES = 512
 TILE, TILES_TOGETHER, TEXTS_TOGETHER = 128, 8, 512
 #: Letters beyond which evidence no longer sharpens the score.
 EVIDENCE = 60.0
+#: Text bytes whose n-grams a task holds at once, several times their size.
+HELD_BYTES = 1 << 18
 #: ASCII letters in lower case, any byte of a longer UTF-8 character as it is, all else a space.
 _FOLD = np.array([i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256)], np.uint8)
 
@@ -118,7 +120,7 @@ def _sure(count: np.ndarray) -> np.ndarray:
 
 def _sparse_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, bucket, n of each block: only what occurs, so a block of many languages is held as small as its text."""
-    for block in text_blocks(batches):
+    for block in text_blocks(batches, limit=HELD_BYTES):
         found, owner = grams(*text_bytes(block.column("text")))
         named = block.column("lang").dictionary_encode()
         kind = np.asarray(named.indices).astype(np.int64)[owner]
@@ -206,7 +208,7 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, limit=HELD_BYTES):
             data, at = text_bytes(block.column("text"))
             found, owner = grams(data, at)
             named = block.column("lang").dictionary_encode()
@@ -252,7 +254,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, limit=HELD_BYTES):
             letters = np.fromiter(map(has_letter, block.column("text").to_pylist()), bool, block.num_rows)
             letters &= bool(m.languages)
             if m.languages:
