@@ -8,15 +8,22 @@ stay (also where no language could be learned, or a prediction is ambiguous). Wh
 named by its doc_id and its text, so rows that share their doc_id only, null ones included, are documents of their own.
 Of rows with equal id and text one stays; of a group of copies the row with the smallest doc_id, null ones last. Empty
 tables give no rows at any stage.
+
+Whole texts and sets of shingles meet Python at every stage. Where the session has no limit of its own for the bytes of an
+Arrow batch, the stages set one of BATCH_BYTES, which stays set: by default a batch may take 64 MB, several times over in
+the executor and in its workers. Batches don't change a result.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailstone.llm.bpe import bpe_decode, bpe_encode
+from trailstone.llm.bpe import bpe_round_trip
 from trailstone.llm.common import bucket_of, staged
 from trailstone.llm.decontaminate import find_leaks
 from trailstone.llm.exact_dedup import exact_dedup
@@ -24,6 +31,21 @@ from trailstone.llm.langid import fit_language_model, identify_language
 from trailstone.llm.near_dedup import near_dedup
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _bounded(f: Stage) -> Stage:
+    """The stage, with Arrow batches of BATCH_BYTES unless the session says otherwise."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(BATCH_LIMIT, None) is None:
+            spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+        return f(spark, docs, sf_dir)
+
+    return run
 
 
 def _digest(text: Column) -> Column:
@@ -43,6 +65,7 @@ def _kept(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
     return docs.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
+@_bounded
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the language identifier rejects: texts it calls undetermined."""
     model = fit_language_model(docs.where(bucket_of("doc_id") != 0))
@@ -53,18 +76,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.where(accepted).select("row.*")
 
 
+@_bounded
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
     rows, name = _named(docs)
     return _kept(rows, exact_dedup(rows, id_col=name), name)
 
 
+@_bounded
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked by five-word shingles at a similarity of 0.8 or more."""
     rows, name = _named(docs)
     return _kept(rows, near_dedup(rows, k=5, share=80, id_col=name), name)
 
 
+@_bounded
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of a benchmark item, edited or not. That depends on the text only, which names the rows."""
     name = "_" + "".join(docs.columns)
@@ -73,10 +99,11 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(found.select(F.col("doc_id").alias(name)).distinct(), name, "left_anti").drop(name)
 
 
+@_bounded
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (packed) and the digest of the text that the ids decode to."""
     path = public_tokenizers.path(VOCABULARY)
-    both = bpe_decode(bpe_encode(docs, path, public_tokenizers.PATTERN), path)
+    both = bpe_round_trip(docs, path, public_tokenizers.PATTERN)
     return both.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -3,7 +3,9 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_dedup import brute
@@ -79,3 +81,32 @@ def test_rows_are_judged_one_by_one_whatever_their_ids(spark, tmp_path):
     assert [r for r in kept if "w5" not in r[2]] == want({0, 1, 2, 3, 4, 6, 8, 13}) and [r[1] for r in kept if "w5" in r[2]] == [11]
     left = texts(stages["benchmark leaks"](spark, docs, str(tmp_path)))
     assert [r for r in left if "w5" not in r[2]] == want({1, 3, 4, 6, 8, 13}) and len(left) == 7
+
+
+def test_stages_meet_python_in_batches_of_a_few_mb(spark):
+    """Batches of up to 64 MB, Spark's own limit, took an executor beyond its memory."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    def largest():
+        texts = spark.range(0, 600, 1, 1).select(F.repeat(F.lit("x"), 40_000).alias("text"))
+        return max(r.n for r in texts.mapInArrow(sizes, "n long").collect())
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(corpus_pipeline.BATCH_LIMIT)
+        stage(spark, docs.limit(20), SMALL)
+        assert largest() < 10 << 20
+    spark.conf.set(corpus_pipeline.BATCH_LIMIT, str(2 << 20))  # the session's own limit holds
+    corpus_pipeline.tokens(spark, docs, SMALL)
+    assert largest() < 3 << 20
+    spark.conf.unset(corpus_pipeline.BATCH_LIMIT)
+
+
+def test_tokens_take_one_worker_a_task(spark):
+    """A worker for the encoder and one for the decoder, each with a vocabulary, stayed for all stages after."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    plan = corpus_pipeline.tokens(spark, docs, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1

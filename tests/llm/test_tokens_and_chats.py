@@ -86,3 +86,9 @@ def test_chat_query_equals_its_sql(spark):
     from trailstone.llm.queries import ORACLE_SQL
 
     assert_same(QUERIES["op8_chat"](spark, SMALL), ORACLE_SQL["op8_chat"], SMALL)
+
+
+def test_round_trip_is_decode_of_encode(spark, tricky):
+    docs = spark.read.parquet(f"{tricky}/documents.parquet")
+    rows = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in df.collect())
+    assert rows(bpe.bpe_round_trip(docs, PATH, public_tokenizers.PATTERN)) == rows(bpe.bpe_decode(bpe.bpe_encode(docs, PATH, public_tokenizers.PATTERN), PATH))

@@ -15,12 +15,13 @@ from __future__ import annotations
 import base64
 import heapq
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 
 from .common import pick, text_blocks
@@ -207,34 +208,49 @@ class ShardEncoder:
         return out
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids: the token ids packed as little-endian unsigned 32-bit integers.
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
-    The rank file (under 1 MB for 50,000 tokens) is read on the driver and broadcast; its size doesn't follow the data.
-    """
-    with open(ranks_path, "rb") as f:
-        lines = docs.sparkSession.sparkContext.broadcast(f.read())
 
+def _encode(lines: Broadcast, pattern: str) -> Run:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ShardEncoder(lines.value, pattern)
         for block in text_blocks(batches, limit=SHARD_BYTES):
             ids = encoder.encode(block.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    rows = pick(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids binary")
+    return run
 
 
-def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """The columns of bpe_encode and decoded: the bytes that the ids stand for."""
-    with open(ranks_path, "rb") as f:
-        lines = encoded.sparkSession.sparkContext.broadcast(f.read())
-
+def _decode(lines: Broadcast) -> Run:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = vocabulary(lines.value).bytes
         for block in text_blocks(batches, "ids"):
             out = [b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in block.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*block.select(["doc_id", "n_tokens", "ids"]).columns, pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
+    return run
+
+
+def _lines(rows: DataFrame, ranks_path: str) -> Broadcast:
+    """The rank file (under 1 MB for 50,000 tokens), read on the driver and broadcast; its size doesn't follow the data."""
+    with open(ranks_path, "rb") as f:
+        return rows.sparkSession.sparkContext.broadcast(f.read())
+
+
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens and ids: the token ids packed as little-endian unsigned 32-bit integers."""
+    rows = pick(docs, id_col, text_col)
+    return rows.mapInArrow(_encode(_lines(docs, ranks_path), pattern), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids binary")
+
+
+def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """The columns of bpe_encode and decoded: the bytes that the ids stand for."""
     kind = dict(encoded.dtypes)["doc_id"]
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_decode(_lines(encoded, ranks_path)), f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+
+
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """bpe_decode of bpe_encode with one Python worker a task, not one for each: workers stay, and each has a vocabulary."""
+    rows, lines = pick(docs, id_col, text_col), _lines(docs, ranks_path)
+    encode, decode = _encode(lines, pattern), _decode(lines)
+    return rows.mapInArrow(lambda batches: decode(encode(batches)), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids binary, decoded binary")
