@@ -1,10 +1,13 @@
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +247,71 @@ def test_tables_find_what_they_hold():
     assert (ppm._Table(keys[:0]).find(keys[:5]) == -1).all()
 
 
+def test_a_task_counts_grams_in_little_memory_and_hands_them_on_in_small_batches(spark):
+    """6 MB of text with few repeated grams took a worker 267 MB, and went on as one batch of 2 million rows."""
+    rng = np.random.default_rng(0)
+    data = rng.integers(97, 123, 6 << 20, np.uint8)
+    texts = [data[i : i + 4096].tobytes().decode() for i in range(0, len(data), 4096)]
+
+    class Rows:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, count, schema):  # noqa: N802
+            self.count = count
+            return spark.createDataFrame([], schema)
+
+    rows = Rows()
+    ppm.gram_counts(rows)
+    batches = [pa.record_batch({"text": texts[i : i + 500], "learn": [True] * len(texts[i : i + 500])}) for i in range(0, len(texts), 500)]
+    tracemalloc.start()
+    try:
+        most = total = 0
+        for out in rows.count(iter(batches)):
+            most, total = max(most, out.num_rows), total + pc.sum(out.column("n")).as_py()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total == len(data) + len(texts)
+    assert peak < 100e6 and most <= 1 << 17
+
+
+def test_grams_held_in_parts_add_up(monkeypatch):
+    monkeypatch.setattr(ppm, "HELD", 600)
+    rng, sums, want, got = np.random.default_rng(1), ppm._Sums(), Counter(), Counter()
+    handed = []
+    for high in [50] * 20 + [5000] * 20 + [50] * 3:
+        keys, counts = np.unique(rng.integers(0, high, 90).astype(np.uint64), return_counts=True)
+        want.update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
+        handed += sums.add(keys, counts)
+    handed += sums.flush()
+    for out in handed:
+        got.update(dict(zip(out.column("key").to_pylist(), out.column("n").to_pylist(), strict=True)))
+    assert got == want and len(handed) > 2 and not list(sums.flush())
+
+
+def test_texts_meet_the_language_model_in_batches_of_a_few_mb(spark, monkeypatch):
+    """Batches of up to 64 MB, Spark's own limit, took an executor beyond its memory."""
+    limit, found, staged = "spark.sql.execution.arrow.maxBytesPerBatch", {}, ppm.staged
+
+    def seen(df, name):
+        found[name] = spark.conf.get(limit, None)
+        return staged(df, name)
+
+    monkeypatch.setattr(ppm, "staged", seen)
+    docs = spark.createDataFrame([(1, "ab"), (2, "b c")], "doc_id long, text string")
+    spark.conf.unset(limit)
+    ppm.lm_scores(docs, F.lit(True))
+    assert all(int(found[name] or 64 << 20) <= 8 << 20 for name in ("grams", "words", "scored"))
+    assert spark.conf.get(limit, None) is None
+    spark.conf.set(limit, str(1 << 20))  # the session's own limit holds
+    try:
+        ppm.lm_scores(docs, F.lit(True))
+        assert {found[name] for name in ("grams", "words", "scored")} == {str(1 << 20)} and spark.conf.get(limit) == str(1 << 20)
+    finally:
+        spark.conf.unset(limit)
+
+
 def test_a_column_of_junk_languages_is_no_burden(spark):
     from trailstone.llm import langid
 

@@ -17,6 +17,9 @@ words of each text meet their counts in a join on the word itself.
 Defined cases: null text is empty: one end token; with no training rows all counts are 0 and all bytes equally likely;
 repeated rows are scored apart and count as often as they occur; rows for which `learn` is null don't teach; other columns
 of the input don't matter; an empty table gives no rows.
+
+Memory: an executor's Python workers, each with up to 2 * HELD / 3 sums, stand beside a heap that Spark may fill. So texts come
+in Arrow batches of BATCH_BYTES where the session has no limit of its own, and BLOCK_BYTES of them are worked on at once.
 """
 
 from __future__ import annotations
@@ -37,8 +40,22 @@ from .common import LOWER, pick, staged, sums_between, text_blocks, text_bytes
 ORDER, SHARE, WORD_SHARE, WORD_BYTES = 5, 1 << 22, 1 << 19, 64
 #: Bytes that UTF-8 never has: they stand before a text and behind it.
 START, END = 254, 255
-#: Distinct keys that a task adds up before it hands them on; bytes of distinct words.
+#: Distinct keys that a task adds up before it hands them on are half of HELD; bytes of distinct words.
 HELD, HELD_BYTES = 1 << 21, 16 << 20
+#: Text bytes in an Arrow batch, and those that a step holds at once (dozens of bytes each); keys in a batch handed on.
+BATCH_LIMIT, BATCH_BYTES, BLOCK_BYTES, BATCH_KEYS = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20, 1 << 18, 1 << 17
+
+
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    """The rows staged, Arrow batches on the way to Python being of BATCH_BYTES unless the session says otherwise."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_LIMIT, None) is not None:
+        return staged(df, name)
+    conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+    try:
+        return staged(df, name)
+    finally:
+        conf.unset(BATCH_LIMIT)
 
 
 def coded_symbols(data: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,50 +109,59 @@ class _Table:
         return found
 
 
-def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all parts in order, and their counts added up. Empties the list: no more is held than it takes."""
+    counts = [c for _, c in parts]
+    keys = np.concatenate([k for k, _ in parts])
+    parts.clear()
+    order = np.argsort(keys, kind="stable")  # the parts are in order already
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, int)
+    keys = keys[first]
+    counts = np.concatenate(counts)
+    counts = counts[order]
+    return keys, np.add.reduceat(counts, first) if len(first) else counts
 
 
 class _Sums:
-    """Adds up counts by key in one task, handing on what exceeds HELD distinct keys."""
+    """Adds up counts by key in one task, handing on what exceeds HELD / 2 distinct keys."""
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held = 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []  # the first may hold sums, the others wait
+        self.waiting = 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append((keys, counts))
-        self.held += len(keys)
-        if self.held > HELD:
-            self.parts = [_merge(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
-            self.held = len(self.parts[0][0])
-            if self.held > HELD // 2:
+        self.waiting += len(keys)
+        if self.waiting > HELD // 6:
+            self.parts, self.waiting = [_merge(self.parts)], 0
+            if len(self.parts[0][0]) > HELD // 2:
                 yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
-            keys, counts = _merge(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
-            self.parts, self.held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
+            keys, counts = _merge(self.parts) if self.waiting else self.parts[0]
+            self.parts, self.waiting = [], 0
+            for i in range(0, len(keys), BATCH_KEYS):
+                some = slice(i, i + BATCH_KEYS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(counts[some].astype(np.int64))], ["key", "n"])
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    sums, flag = _Sums(), 1 << 8 * (order + 1)
+    for block in text_blocks(batches, limit=BLOCK_BYTES):
+        keys, ends = coded_symbols(*text_bytes(block.column("text")), order)
+        learned = block.column("learn").to_numpy(zero_copy_only=False).astype(np.uint64)
+        keys |= np.repeat(learned * np.uint64(flag), np.diff(ends))
+        yield from sums.add(*np.unique(keys, return_counts=True))
+    yield from sums.flush()
 
 
 def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """key, n and m of each gram in the rows' texts: how often it occurs where `learn` holds, and at all."""
     flag = 1 << 8 * (order + 1)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums()
-        for block in text_blocks(batches):
-            keys, ends = coded_symbols(*text_bytes(block.column("text")), order)
-            learned = block.column("learn").to_numpy(zero_copy_only=False).astype(np.uint64)
-            keys |= np.repeat(learned * np.uint64(flag), np.diff(ends))
-            yield from sums.add(*np.unique(keys, return_counts=True))
-        yield from sums.flush()
-
-    tagged = rows.select("text", "learn").mapInArrow(count, "key long, n long")
+    tagged = rows.select("text", "learn").mapInArrow(lambda batches: _count_grams(batches, order), "key long, n long")
     learned = F.when(F.col("key") >= flag, F.col("n")).otherwise(0)
     return tagged.groupBy(F.col("key").bitwiseAND(flag - 1).alias("key")).agg(F.sum(learned).alias("n"), F.sum("n").alias("m"))
 
@@ -217,7 +243,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
         size = 0
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, limit=BLOCK_BYTES):
             words, ids = _block_words(block)
             before = len(held)
             held.update(dict(zip(words, np.bincount(np.concatenate(ids), minlength=len(words)).tolist(), strict=True)) if words else {})
@@ -246,11 +272,11 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
 
     `share` and `word_share` (most grams and words in a broadcast) decide where work is done, not what comes out."""
     rows = pick(docs, id_col, text_col).withColumn("learn", F.coalesce(learn, F.lit(False)))
-    grams = staged(gram_counts(rows, order), "grams")
+    grams = _staged(gram_counts(rows, order), "grams")
     logs = staged(gram_logs(grams, order), "logs")
     symbols = grams.agg(F.sum("m")).first()[0] or 0
 
-    words = staged(count_words(rows.where("learn")), "words")
+    words = _staged(count_words(rows.where("learn")), "words")
     ends = rows.where("learn").count()
     stats = words.agg(F.sum("n"), F.count("*")).first()
     n_all, kinds = (stats[0] or 0) + ends, stats[1] + (ends > 0)
@@ -267,7 +293,7 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
         gram_table, number = _Table(gram_keys), {w.encode(): i for i, w in enumerate(word_keys)}
         gram_values, word_logs = np.append(gram_values, 0.0), np.append(np.log10(word_counts + 0.5), 0.0)  # -1: found elsewhere
         end_log = math.log10(ends + 0.5)
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, limit=BLOCK_BYTES):
             n = block.num_rows
             names, ids = _block_words(block)
             size = np.fromiter(map(len, ids), np.int64, n)
@@ -290,7 +316,7 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
 
     lists = "words array<string>, word_times array<int>, grams array<long>, gram_times array<int>"
     scored = rows.mapInArrow(score, f"doc_id {kind}, n_tokens long, known long, part double, total double, {lists}")
-    scored = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = _staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
 
     def tail(keys: str, times: str, name: str) -> DataFrame:
         return scored.select("row", F.explode(F.arrays_zip(F.col(keys).alias(name), F.col(times).alias("times"))).alias("w")).select("row", f"w.{name}", "w.times")
